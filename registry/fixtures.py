@@ -113,15 +113,17 @@ FIXTURES: dict[str, tuple[str, dict[str, str]]] = {
             "o_orderpriority": "o_orderpriority",
         },
     ),
-    "dirty_nation": (
-        "nation",
+    "dirty_part": (
+        "part",
         {
+            "p_partkey": "p_partkey",
             "label": (
-                "case n_nationkey % 12 when 0 then null when 1 then '  ' when 2 then 'None' when 3 then 'a/b' when 4 then 'A/B'"
+                "case p_partkey % 12 when 0 then null when 1 then '  ' when 2 then 'None' when 3 then 'a/b' when 4 then 'A/B'"
                 " when 5 then 'a_b_1' when 6 then '''quoted''' when 7 then ''''''"
-                " when 8 then 'a long name that goes on and on ' || n_name"
-                " when 9 then 'A LONG NAME THAT GOES ON AND ON ' || n_name when 10 then n_name else 'x:y*z?' end"
-            )
+                " when 8 then 'a long name that goes on and on ' || p_type"
+                " when 9 then 'A LONG NAME THAT GOES ON AND ON ' || p_brand when 10 then p_brand || '/' || p_type"
+                " else lower(p_brand) || '*' || p_type end"
+            ),
         },
     ),
     "category_orders": (

@@ -73,7 +73,7 @@ def size_text(c: Column) -> Column:
     """A byte count with one decimal and its unit."""
     out = None
     for step, unit in enumerate(SIZE_UNITS):
-        text = F.format_string(f"%.1f {unit}", c.cast("double") / float(1024**step))
+        text = F.format_string(f"%.1f {unit}", F.bround(c.cast("double") / float(1024**step), 1))
         small = c < 1024 ** (step + 1)
         if out is None:
             out = F.when(small, text)

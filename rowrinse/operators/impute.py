@@ -78,27 +78,26 @@ def fill_along(
     """
     had_order = ORDER in df.columns
     blocks = in_blocks(with_order(df, order_by), F.col(ORDER).asc())
-    nearest = (lambda c: F.last(c, ignorenulls=True)) if forward else (lambda c: F.first(c, ignorenulls=True))
+    # a backward fill is a forward fill in descending order: frames that run to
+    # the end of a window are recomputed for every row, running ones are not
+    along = (lambda name: F.col(name).asc()) if forward else (lambda name: F.col(name).desc())
     seen = blocks.groupBy(BLOCK).agg(*[_edge_value(c, forward).alias(f"__e{i}") for i, c in enumerate(columns)])
-    before = (
-        Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-        if forward
-        else Window.orderBy(BLOCK).rowsBetween(1, Window.unboundedFollowing)
-    )
+    before = Window.orderBy(along(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
     carry = seen.select(
-        F.col(BLOCK).alias("__b"), *[nearest(F.col(f"__e{i}")).over(before).alias(f"__c{i}") for i in range(len(columns))]
-    )
-    within = Window.partitionBy(BLOCK).orderBy(SLOT)
-    within = (
-        within.rowsBetween(Window.unboundedPreceding, 0) if forward else within.rowsBetween(0, Window.unboundedFollowing)
+        F.col(BLOCK).alias("__b"), *[_latest(F.col(f"__e{i}")).over(before).alias(f"__c{i}") for i in range(len(columns))]
     )
-    filled = _replace(blocks, {c: nearest(col(c)).over(within) for c in columns})
+    within = Window.partitionBy(BLOCK).orderBy(along(SLOT)).rowsBetween(Window.unboundedPreceding, 0)
+    filled = _replace(blocks, {c: _latest(col(c)).over(within) for c in columns})
     joined = filled.join(carry, F.col(BLOCK) == F.col("__b"))
     out = _replace(joined, {c: F.coalesce(col(c), F.col(f"__c{i}")) for i, c in enumerate(columns)})
     out = out.drop("__b", BLOCK, SLOT, *[f"__c{i}" for i in range(len(columns))])
     return out if had_order else out.drop(ORDER)
 
 
+def _latest(c: Column) -> Column:
+    return F.last(c, ignorenulls=True)
+
+
 def _edge_value(column: str, forward: bool) -> Column:
     """The last (first) non-null value of a block."""
     at = F.when(col(column).isNotNull(), F.col(SLOT))

@@ -60,10 +60,14 @@ def preview(
 
 
 def clean_and_preview(
-    df: DataFrame, options: CleaningOptions, order_by: Sequence[str] | None = None, n: int = PREVIEW_ROWS
+    df: DataFrame,
+    options: CleaningOptions,
+    order_by: Sequence[str] | None = None,
+    match_list: DataFrame | None = None,
+    n: int = PREVIEW_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """The preview of a cleaned table, and the change in rows and columns."""
-    cleaned = clean(df, options, order_by)
+    cleaned = clean(df, options, order_by, match_list)
     shown = cleaned.limit(min(n, PREVIEW_ROWS_MAX))
     shown = shown.select(*[safe_cell(col(f.name), f.dataType).alias(f.name) for f in shown.schema.fields])
     return shown, before_after(df, cleaned)
