@@ -104,7 +104,7 @@ def match_key(c: Column, dtype: T.DataType) -> Column:
 
 def parse_number(c: Column) -> Column:
     """Text to double; anything that is not a plain number gives null."""
-    return F.when(c.rlike(_NUMBER), c.try_cast("double"))
+    return F.regexp_extract(c, _NUMBER, 0).try_cast("double")
 
 
 def amount(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +13,7 @@ from rowrinse.functions.labels import TOTAL_LABEL, blank_label, raw_category
 from rowrinse.functions.text import amount, blank, col, is_text, strip
 from rowrinse.operators.ordering import ORDER, data_columns, with_order
 from rowrinse.operators.roles import looks_like_money
+from rowrinse.session import stage
 
 # Sizes of the samples and reports.
 SAMPLE_VALUES = 4
@@ -20,6 +21,11 @@ NUMERIC_SAMPLE = 20
 NUMERIC_SHARE = 0.6
 DISTINCT_LIMIT = 500
 
+# Up to here each column is counted in a branch of its own.
+BRANCH_COLUMNS = 64
+# Rows looked at for each value wanted, before a column is searched on its own.
+HEAD_FACTOR = 5
+
 _NESTED = (T.ArrayType, T.MapType, T.StructType)
 
 
@@ -44,11 +50,13 @@ def table_shape(df: DataFrame) -> DataFrame:
 
 
 def column_statistics(df: DataFrame, exact: bool = True) -> DataFrame:
-    """Blank cells and distinct values of every column, in one pass.
+    """Blank cells and distinct values of every column.
 
-    Null counts as one distinct value. The exact form counts (column, value)
-    pairs, which combine before the shuffle and spread over the values; the
-    approximate form keeps a sketch per column and shuffles no values.
+    Null counts as one distinct value. The exact form counts values, which
+    combine before the shuffle and spread over the values: one branch per
+    column, so that each reads its own column only and values keep their type,
+    or one unpivoted pass for a wide table. The approximate form keeps a sketch
+    per column and shuffles no values.
     """
     names, types = data_columns(df), _types(df)
     known = df.sparkSession.createDataFrame(
@@ -60,19 +68,10 @@ def column_statistics(df: DataFrame, exact: bool = True) -> DataFrame:
             }
         )
     )
-    if exact:
-        cells = df.select(*[_value_text(col(c), types[c]).alias(str(i)) for i, c in enumerate(names)])
-        values = cells.unpivot([], [col(str(i)) for i in range(len(names))], "__position", "value")
-        counted = (
-            values.groupBy("__position", "value")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .groupBy(F.col("__position").cast("int").alias("__position"))
-            .agg(
-                F.sum("n").alias("rows"),
-                F.sum(F.when(blank(F.col("value"), T.StringType()), F.col("n")).otherwise(0)).alias("blank_count"),
-                F.count(F.lit(1)).alias("distinct_count"),
-            )
-        )
+    if exact and len(names) <= BRANCH_COLUMNS:
+        counted = _by_branch(df, names, types)
+    elif exact:
+        counted = _by_unpivot(df, names, types)
     else:
         aggregates = [F.count(F.lit(1)).alias("rows")]
         for i, c in enumerate(names):
@@ -101,6 +100,37 @@ def column_statistics(df: DataFrame, exact: bool = True) -> DataFrame:
     )
 
 
+def _by_branch(df: DataFrame, names: Sequence[str], types: dict[str, T.DataType]) -> DataFrame:
+    """Counts per column from one grouping per column."""
+    out = None
+    for i, c in enumerate(names):
+        key = F.to_json(col(c)) if isinstance(types[c], T.MapType) else col(c)
+        values = df.groupBy(key.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        part = values.agg(
+            F.sum("n").alias("rows"),
+            F.sum(F.when(blank(F.col("value"), types[c]), F.col("n")).otherwise(0)).alias("blank_count"),
+            F.count(F.lit(1)).alias("distinct_count"),
+        ).select(F.lit(i).alias("__position"), "rows", "blank_count", "distinct_count")
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def _by_unpivot(df: DataFrame, names: Sequence[str], types: dict[str, T.DataType]) -> DataFrame:
+    """Counts per column from one grouping of (column, value) pairs."""
+    cells = df.select(*[_value_text(col(c), types[c]).alias(str(i)) for i, c in enumerate(names)])
+    values = cells.unpivot([], [col(str(i)) for i in range(len(names))], "__position", "value")
+    return (
+        values.groupBy("__position", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(F.col("__position").cast("int").alias("__position"))
+        .agg(
+            F.sum("n").alias("rows"),
+            F.sum(F.when(blank(F.col("value"), T.StringType()), F.col("n")).otherwise(0)).alias("blank_count"),
+            F.count(F.lit(1)).alias("distinct_count"),
+        )
+    )
+
+
 def text_statistics(df: DataFrame) -> DataFrame:
     """The short profile: blank cells, blank share to one place and distinct values, every type as text."""
     stats = column_statistics(df.select(*[col(c) for c in data_columns(df)]))
@@ -127,26 +157,51 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 def first_values(
     df: DataFrame, columns: Sequence[str], n: int, wanted: Callable[[Column, T.DataType], Column]
 ) -> DataFrame:
-    """The first ``n`` wanted values of each column in row order: (column, rank, value).
+    """The first ``n`` wanted values of each column in row order: (position, column, __at, value).
 
-    One top-k per column, each reading that column alone; needs ``ORDER``.
+    The head of the table mostly has them all. A column that it does not serve
+    gets a top-k of its own, which reads that column alone. Needs ``ORDER``.
     """
     types = _types(df)
+    size = n * HEAD_FACTOR
+    head = stage(
+        df.select(
+            F.col(ORDER).alias("__at"),
+            *[
+                F.when(wanted(col(c), types[c]), _value_text(col(c), types[c])).alias(str(i))
+                for i, c in enumerate(columns)
+            ],
+        )
+        .orderBy("__at")
+        .limit(size)
+    )
+    positions = [str(i) for i in range(len(columns))]
+    held = head.agg(F.count(F.lit(1)).alias("rows"), *[F.count(col(i)).alias(i) for i in positions]).first()
+    served = [i for i in positions if held[i] >= n or held["rows"] < size]
+    named = F.create_map(*[F.lit(x) for pair in enumerate(columns) for x in pair])
     parts = []
-    for i, c in enumerate(columns):
-        top = df.filter(wanted(col(c), types[c])).orderBy(ORDER).limit(n)
+    if served:
+        place = Window.partitionBy("position").orderBy("__at")
         parts.append(
-            top.select(
-                F.lit(i).alias("position"),
-                F.lit(c).alias("column"),
-                F.col(ORDER).alias("__at"),
-                _value_text(col(c), types[c]).alias("value"),
-            )
+            head.unpivot(["__at"], [col(i) for i in served], "position", "value")
+            .filter(F.col("value").isNotNull())
+            .withColumn("place", F.row_number().over(place))
+            .filter(F.col("place") <= n)
+            .select(F.col("position").cast("int").alias("position"), "__at", "value")
         )
+    for i in positions:
+        if i not in served:
+            c = columns[int(i)]
+            top = df.filter(wanted(col(c), types[c])).orderBy(ORDER).limit(n)
+            parts.append(
+                top.select(
+                    F.lit(int(i)).alias("position"), F.col(ORDER).alias("__at"), _value_text(col(c), types[c]).alias("value")
+                )
+            )
     out = parts[0]
     for part in parts[1:]:
         out = out.unionAll(part)
-    return out
+    return out.select("position", F.element_at(named, F.col("position")).alias("column"), "__at", "value")
 
 
 def sample_values(df: DataFrame, n: int = SAMPLE_VALUES, order_by: Sequence[str] | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ from rowrinse.operators.ordering import BLOCK, ORDER, SLOT, in_blocks, sort_keys
 from rowrinse.operators.rows import choose_categories
 from rowrinse.operators.summary import category_counts, category_summary, file_summary
 from rowrinse.session import stage
-from rowrinse.sinks.writers import SEGMENT_ROWS, SHEET_ROWS_MAX, in_index_order, write_table
+from rowrinse.sinks.writers import SHEET_ROWS_MAX, in_index_order, rows_per_task, write_table
 
 MODES = ("sorted_unified", "zip", "sheets")
 
@@ -124,7 +124,7 @@ def write_by_category(
             counts["category"], "rows", F.concat("name", F.lit("." + fmt)).alias("file")
         ))
         rows = _numbered(blocks, split_column, runs, names).withColumn("file", F.col("__name"))
-        rows = in_index_order(rows, total, ["file"], SEGMENT_ROWS)
+        rows = in_index_order(rows, ["file"], rows_per_task(df, total, categories), total)
         write_table(_data(rows, df, "file"), f"{result['path']}/data", fmt, partition_by=["file"])
         result["summary"] = f"{result['path']}/{SUMMARY_FILE}"
         write_table(summary.coalesce(1), result["summary"], "csv")
@@ -133,7 +133,7 @@ def write_by_category(
     rows = _numbered(blocks, split_column, runs, names)
     sheet_no = (F.floor(F.col("__in_group") / sheet_rows) + 1).cast("int")
     rows = rows.withColumn("sheet_title", F.col("__name")).withColumn("sheet_no", sheet_no)
-    rows = in_index_order(rows, total, ["sheet_title", "sheet_no"], SEGMENT_ROWS)
+    rows = in_index_order(rows, ["sheet_title", "sheet_no"], rows_per_task(df, total, categories), total)
     write_table(
         _data(rows, df, "sheet_title", "sheet_no"), f"{result['path']}/data", fmt, partition_by=["sheet_title", "sheet_no"]
     )

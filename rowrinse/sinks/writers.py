@@ -88,13 +88,18 @@ def write_segments(
     else:
         number = F.floor(F.col("__index") / segment_rows) + 1
         sheet = F.concat(F.lit(SEGMENT_NAME.format("")), number.cast("string"))
-    rows = in_index_order(indexed.withColumn("sheet", sheet), total, ["sheet"], segment_rows)
+    rows = in_index_order(indexed.withColumn("sheet", sheet), ["sheet"], segment_rows, total)
     write_table(rows.drop("__index", ORDER, BLOCK, SLOT), path, fmt, partition_by=["sheet"])
     return {"rows": total, "sheets": 1 if total <= sheet_rows else -(-total // segment_rows)}
 
 
-def in_index_order(df: DataFrame, total: int, units: Sequence[str], rows_per_part: int) -> DataFrame:
+def in_index_order(df: DataFrame, units: Sequence[str], rows_per_part: int, total: int) -> DataFrame:
     """Lay rows out so that file order is ``__index`` order, ``rows_per_part`` rows to a task."""
-    parts = max(-(-total // rows_per_part), 1)
     part = F.floor(F.col("__index") / rows_per_part).cast("int")
-    return df.repartitionById(parts, part).sortWithinPartitions(*units, "__index")
+    return df.repartitionById(max(-(-total // rows_per_part), 1), part).sortWithinPartitions(*units, "__index")
+
+
+def rows_per_task(df: DataFrame, total: int, units: int) -> int:
+    """Rows to a task when ``units`` folders are written: at most a segment, fewer where cores would idle."""
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, units)
+    return max(min(SEGMENT_ROWS, -(-total // max(tasks, 1))), 1)
