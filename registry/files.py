@@ -53,7 +53,7 @@ def _segments(spark, sf):
     path = scratch_path(spark)
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
-    write_segments(rows, path, "parquet", order_by=key, sheet_rows=20_000, segment_rows=7_000)
+    write_segments(rows, path, "parquet", order_by=key, sheet_rows=5_000, segment_rows=5_000)
     return spark.read.parquet(path)
 
 
@@ -170,7 +170,7 @@ QUERIES = {
     "export_sheets": (
         _segments,
         "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, 'Cleaned_Data_Part_' || (cast(floor(("
-        "row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) - 1) / 7000) as bigint) + 1)"
+        "row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) - 1) / 5000) as bigint) + 1)"
         " as sheet from lineitem",
     ),
     "export_one_sheet": (_one_sheet, "select * exclude (o_orderdate), 'Cleaned_Data' as sheet from orders"),

@@ -27,7 +27,8 @@ CASINGS = {
 # Spark's own cast also takes Java suffixes such as "1.5f"; those are not numbers here.
 _NUMBER = r"(?i)^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf|infinity|nan)$"
 
-_WORD_START = r"(?<=[^\p{IsAlphabetic}\p{N}])(?=[\p{IsAlphabetic}\p{N}])"
+# a run of letters and digits with what follows it, or what stands before the first run
+_WORD = r"[\p{IsAlphabetic}\p{N}]+[^\p{IsAlphabetic}\p{N}]*|[^\p{IsAlphabetic}\p{N}]+"
 
 
 def col(name: str) -> Column:
@@ -49,14 +50,16 @@ def strip(c: Column) -> Column:
 
 def blank(c: Column, dtype: T.DataType) -> Column:
     """Null, or text that is empty once stripped."""
-    if is_text(dtype):
-        return c.isNull() | (F.ltrim(c, F.lit(WHITESPACE)) == "")
-    return c.isNull()
+    if not is_text(dtype):
+        return c.isNull()
+    # text that begins with a visible ASCII character needs no stripping to tell
+    doubtful = (c < "!") | (c > "~")
+    return c.isNull() | (doubtful & (F.ltrim(c, F.lit(WHITESPACE)) == ""))
 
 
 def collapse_spaces(c: Column) -> Column:
     """Runs of spaces and tabs become one space; line breaks stay."""
-    return F.regexp_replace(c, r"[ \t]+", " ")
+    return F.when(c.contains("  ") | c.contains("\t"), F.regexp_replace(c, r"[ \t]+", " ")).otherwise(c)
 
 
 def collapse_whitespace(c: Column) -> Column:
@@ -66,7 +69,7 @@ def collapse_whitespace(c: Column) -> Column:
 
 def title_case(c: Column) -> Column:
     """Upper-case the first letter of every run of letters and digits."""
-    words = F.split(F.lower(c), _WORD_START)
+    words = F.regexp_extract_all(F.lower(c), F.lit(_WORD), F.lit(0))
     return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substr(w, F.lit(2)))), "")
 
 

@@ -46,6 +46,8 @@ def test_collapse(spark):
         ("  HELLO wORLD", "  Hello World"),
         ("to infinity,and BEYOND!", "To Infinity,And Beyond!"),
         ("3rd élan", "3rd Élan"),
+        ("a\x1f\x1f bC", "A\x1f\x1f Bc"),
+        ("x\tyz\nab a1b2 _foo 9lives", "X\tYz\nAb A1b2 _Foo 9lives"),
         ("", ""),
         (None, None),
     ],
