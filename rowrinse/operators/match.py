@@ -28,7 +28,7 @@ LITERAL_KEYS = 200
 # Up to here each key is one native substring test in generated code.
 LITERAL_PATTERNS = 16
 # Text of a key list that every task may hold; a longer list goes through the shuffle.
-AUTOMATON_CHARS = 16 * 1024 * 1024
+AUTOMATON_CHARS = 4 * 1024 * 1024
 GRAM = 5
 
 _KEY = "__key"
@@ -91,7 +91,7 @@ def _contains(df: DataFrame, text: Column, keys: Sequence[str] | DataFrame, keep
     if isinstance(keys, DataFrame):
         size = keys.agg(F.sum(F.length(_KEY))).first()[0] or 0
         if size <= AUTOMATON_CHARS:
-            keys = [r[0] for r in keys.toLocalIterator()]
+            keys = [r[0] for r in keys.collect()]  # no more text than checked above
             if not keys:
                 return df
     if not isinstance(keys, DataFrame):

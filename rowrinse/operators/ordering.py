@@ -109,6 +109,25 @@ def head_rows(df: DataFrame, n: int, columns: Sequence[str] = (), descending: Se
     return (df.orderBy(*keys) if keys else df).limit(n)
 
 
+def first_rows(df: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows by ``ORDER``, for an ``n`` too large to send from every task.
+
+    The smallest value of each task is one of its rows, so the ``n``-th
+    smallest of them bounds the first ``n`` rows of the table; what lies beyond
+    is filtered out before the top-k. Fewer tasks than ``n`` need no bound.
+    """
+    smallest = (
+        df.select(F.spark_partition_id().alias("task"), F.col(ORDER).alias("at"))
+        .groupBy("task")
+        .agg(F.min("at").alias("at"))
+        .filter(F.col("at").isNotNull())
+        .orderBy("at")
+        .limit(n)
+    )
+    bound = smallest.agg(F.when(F.count(F.lit(1)) == n, F.max("at")).alias("bound"))
+    return df.filter(F.coalesce(F.col(ORDER) <= bound.scalar(), F.lit(True))).orderBy(ORDER).limit(n)
+
+
 def in_blocks(df: DataFrame, *keys: Column) -> DataFrame:
     """Rows sorted by ``keys``, cut into contiguous blocks and staged.
 

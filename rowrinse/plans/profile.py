@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rowrinse.functions.labels import report_cell, safe_cell, size_text
 from rowrinse.functions.text import col
-from rowrinse.operators.ordering import ORDER, data_columns, head_rows, with_order
+from rowrinse.operators.ordering import ORDER, first_rows, head_rows, with_order
 from rowrinse.operators.summary import (
     before_after,
     column_statistics,
@@ -73,9 +73,11 @@ def clean_and_preview(
     return shown, before_after(df, cleaned)
 
 
-def report_extract(df: DataFrame, max_rows: int = REPORT_ROWS, order_by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+def report_extract(
+    df: DataFrame, max_rows: int = REPORT_ROWS, order_by: Sequence[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """The first rows as text for a report, and one row that says how much of the table they are."""
-    top = head_rows(df, max_rows, order_by)
+    top = first_rows(with_order(df, order_by), max_rows)
     cells = top.select(
         *[report_cell(col(f.name), f.dataType).alias(f.name) for f in top.schema.fields if f.name != ORDER]
     )

@@ -123,6 +123,13 @@ def test_row_index_and_group_index(spark):
     assert sum(seen.values()) == 1000
 
 
+@pytest.mark.parametrize("n", [1, 3, 20, 5000])
+def test_first_rows(spark, n):
+    """More, as many and fewer tasks than rows wanted."""
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias(ORDER)).repartition(12)
+    assert [r[0] for r in ordering.first_rows(df, n).collect()] == list(range(min(n, 1000)))
+
+
 def test_sort_directions_stay_with_their_columns(spark):
     df = spark.createDataFrame([(1, "b"), (2, None), (3, "a")], "n int, t string")
     by = lambda *a, **k: [r["n"] for r in ordering.sort_rows(df, *a, **k).collect()]
