@@ -13,13 +13,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_CENTS = "abs(cast(round(c_acctbal * 100) as bigint))"
-_WHOLE = f"cast(({_CENTS} - {_CENTS} % 100) / 100 as bigint)"
-_FRACTION = f"lpad(cast({_CENTS} % 100 as string), 2, '0')"
-_SIGN = "case when c_acctbal < 0 then '-' else '' end"
+# name -> columns worked out before the others, each from those above it
+PREPARED: dict[str, dict[str, str]] = {
+    "dirty_customer": {
+        "cents": "abs(cast(round(c_acctbal * 100) as bigint))",
+        "whole": "cast((cents - cents % 100) / 100 as bigint)",
+        "fraction": "lpad(cast(cents % 100 as string), 2, '0')",
+        "sign": "case when c_acctbal < 0 then '-' else '' end",
+        "thousands": "cast((whole - whole % 1000) / 1000 as bigint)",
+    }
+}
+
 _GROUPED = (
-    f"case when {_WHOLE} >= 1000 then cast(cast(({_WHOLE} - {_WHOLE} % 1000) / 1000 as bigint) as string) || ','"
-    f" || lpad(cast({_WHOLE} % 1000 as string), 3, '0') else cast({_WHOLE} as string) end"
+    "case when whole >= 1000 then cast(thousands as string) || ',' || lpad(cast(whole % 1000 as string), 3, '0')"
+    " else cast(whole as string) end"
 )
 _K = "cast(c_custkey as string)"
 
@@ -55,9 +62,9 @@ FIXTURES: dict[str, tuple[str, dict[str, str]]] = {
             "amount": (
                 "case when c_custkey % 50 = 0 then null when c_custkey % 13 = 0 then 'n/a'"
                 " when c_custkey % 17 = 0 then '1.5f'"
-                f" when c_custkey % 3 = 0 then {_SIGN} || '$' || {_GROUPED} || '.' || {_FRACTION}"
-                f" when c_custkey % 3 = 1 then ' ' || {_SIGN} || cast({_WHOLE} as string) || '.' || {_FRACTION} || ' %'"
-                f" else {_SIGN} || cast({_WHOLE} as string) || chr(9) end"
+                f" when c_custkey % 3 = 0 then sign || '$' || {_GROUPED} || '.' || fraction"
+                " when c_custkey % 3 = 1 then ' ' || sign || cast(whole as string) || '.' || fraction || ' %'"
+                " else sign || cast(whole as string) || chr(9) end"
             ),
             "segment": (
                 "case when c_custkey % 50 = 0 then '' when c_custkey % 3 = 0 then '  ' || c_mktsegment || '  '"
@@ -142,7 +149,10 @@ FIXTURES: dict[str, tuple[str, dict[str, str]]] = {
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     base, columns = FIXTURES[name]
-    return table(spark, sf_dir, base).selectExpr(*[f"{e} as {c}" for c, e in columns.items()])
+    df = table(spark, sf_dir, base)
+    for column, expression in PREPARED.get(name, {}).items():
+        df = df.selectExpr("*", f"{expression} as {column}")
+    return df.selectExpr(*[f"{e} as {c}" for c, e in columns.items()])
 
 
 def fixture_sql(*names: str) -> str:
@@ -150,6 +160,8 @@ def fixture_sql(*names: str) -> str:
     parts = []
     for name in names:
         base, columns = FIXTURES[name]
+        for column, expression in PREPARED.get(name, {}).items():
+            base = f"(select *, {expression} as {column} from {base})"
         cells = ",\n  ".join(f"{e} as {c}" for c, e in columns.items())
         parts.append(f"{name} as (select\n  {cells}\nfrom {base})")
     return "with " + ",\n".join(parts) + "\n"

@@ -174,7 +174,7 @@ QUERIES = {
     "profile_table": (
         _profile_table,
         f"{PEOPLE}select (select count(*) from dirty_people) as total_rows, 4 as total_cols,"
-        " coalesce(sum(n) filter (n > 1), 0) as duplicate_rows from (select count(*) as n from dirty_people"
+        " cast(coalesce(sum(n) filter (n > 1), 0) as bigint) as duplicate_rows from (select count(*) as n from dirty_people"
         " group by first_name, last_name, full_name, city)",
     ),
     "profile_lines": (_profile_lines, _statistics_sql("", "lineitem", LINE_TYPES)),
@@ -198,7 +198,7 @@ QUERIES = {
     ),
     "duplicate_rows": (
         lambda spark, sf: duplicate_rows(table(spark, sf, "documents").drop("doc_id")),
-        "select coalesce(sum(n) filter (n > 1), 0) as duplicate_rows from (select count(*) as n from documents"
+        "select cast(coalesce(sum(n) filter (n > 1), 0) as bigint) as duplicate_rows from (select count(*) as n from documents"
         " group by text, lang, source, n_chars)",
     ),
     "value_counts": (

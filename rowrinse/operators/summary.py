@@ -102,17 +102,27 @@ def column_statistics(df: DataFrame, exact: bool = True) -> DataFrame:
 
 def _by_branch(df: DataFrame, names: Sequence[str], types: dict[str, T.DataType]) -> DataFrame:
     """Counts per column from one grouping per column."""
-    out = None
+    parts = []
     for i, c in enumerate(names):
         key = F.to_json(col(c)) if isinstance(types[c], T.MapType) else col(c)
         values = df.groupBy(key.alias("value")).agg(F.count(F.lit(1)).alias("n"))
-        part = values.agg(
-            F.sum("n").alias("rows"),
-            F.sum(F.when(blank(F.col("value"), types[c]), F.col("n")).otherwise(0)).alias("blank_count"),
-            F.count(F.lit(1)).alias("distinct_count"),
-        ).select(F.lit(i).alias("__position"), "rows", "blank_count", "distinct_count")
-        out = part if out is None else out.unionAll(part)
-    return out
+        parts.append(
+            values.agg(
+                F.lit(i).alias("__position"),
+                F.sum("n").alias("rows"),
+                F.sum(F.when(blank(F.col("value"), types[c]), F.col("n")).otherwise(0)).alias("blank_count"),
+                F.count(F.lit(1)).alias("distinct_count"),
+            )
+        )
+    return _union(parts)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    """All parts in one, joined in pairs: a chain is analysed again with every link."""
+    while len(parts) > 1:
+        pairs = [parts[i : i + 2] for i in range(0, len(parts), 2)]
+        parts = [p[0].unionAll(p[1]) if len(p) == 2 else p[0] for p in pairs]
+    return parts[0]
 
 
 def _by_unpivot(df: DataFrame, names: Sequence[str], types: dict[str, T.DataType]) -> DataFrame:
@@ -198,10 +208,7 @@ def first_values(
                     F.lit(int(i)).alias("position"), F.col(ORDER).alias("__at"), _value_text(col(c), types[c]).alias("value")
                 )
             )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return out.select("position", F.element_at(named, F.col("position")).alias("column"), "__at", "value")
+    return _union(parts).select("position", F.element_at(named, F.col("position")).alias("column"), "__at", "value")
 
 
 def sample_values(df: DataFrame, n: int = SAMPLE_VALUES, order_by: Sequence[str] | None = None) -> DataFrame:
