@@ -232,6 +232,11 @@ QUERIES = {
     ),
     "fill_forward": (_filled("forward"), _nearest("last_value", "unbounded preceding and current row")),
     "fill_backward": (_filled("backward"), _nearest("first_value", "current row and unbounded following")),
+    # the same in the order of the file, which is that of event_id
+    "fill_forward_in_file": (
+        _events(lambda df: fill_missing(df, "forward")), _nearest("last_value", "unbounded preceding and current row")),
+    "fill_backward_in_file": (
+        _events(lambda df: fill_missing(df, "backward")), _nearest("first_value", "current row and unbounded following")),
     "fill_mean": (
         _filled("mean", columns=["value", "units"]),
         f"{EVENTS}select event_id, event_type, coalesce(value, (select avg(value) from dirty_events)) as value,"

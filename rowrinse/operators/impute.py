@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowrinse.functions.text import blank, col, is_number, is_text
-from rowrinse.operators.ordering import BLOCK, ORDER, SLOT, data_columns, in_blocks, with_order
+from rowrinse.operators.ordering import BLOCK, ORDER, SLOT, as_blocks, data_columns, with_order
 from rowrinse.operators.rows import as_number
 from rowrinse.session import stage
 
@@ -77,7 +77,7 @@ def fill_along(
     partitioned by.
     """
     had_order = ORDER in df.columns
-    blocks = in_blocks(with_order(df, order_by), F.col(ORDER).asc())
+    blocks = as_blocks(with_order(df, order_by))
     # a backward fill is a forward fill in descending order: frames that run to
     # the end of a window are recomputed for every row, running ones are not
     along = (lambda name: F.col(name).asc()) if forward else (lambda name: F.col(name).desc())

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowrinse.functions.text import col
 from rowrinse.session import stage
@@ -23,6 +24,9 @@ BLOCK = "__block"
 SLOT = "__slot"
 HELPERS = (ORDER, BLOCK, SLOT)
 
+# Rows of a file in one block.
+BLOCK_ROWS = 1_000_000
+
 
 def data_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in HELPERS]
@@ -30,13 +34,12 @@ def data_columns(df: DataFrame) -> list[str]:
 
 def file_order(df: DataFrame) -> Column:
     """The order of rows in the files ``df`` was just read from."""
-    for position in ("_metadata.row_index", "_metadata.file_block_start"):
-        if not _resolves(df, position):
-            continue
-        parts = [F.col("_metadata.file_path"), F.col(position)]
-        if position != "_metadata.row_index":
-            parts.append(F.monotonically_increasing_id())
-        return F.struct(*[p.alias(f"p{i}") for i, p in enumerate(parts)])
+    file = F.col("_metadata.file_path").alias("file")
+    if _resolves(df, "_metadata.row_index"):
+        return F.struct(file, F.col("_metadata.row_index").alias("row"))
+    if _resolves(df, "_metadata.file_block_start"):
+        split = F.col("_metadata.file_block_start").alias("split")
+        return F.struct(file, split, F.monotonically_increasing_id().alias("line"))
     return F.monotonically_increasing_id()
 
 
@@ -141,6 +144,20 @@ def in_blocks(df: DataFrame, *keys: Column) -> DataFrame:
     )
 
 
+def as_blocks(df: DataFrame) -> DataFrame:
+    """Blocks along ``ORDER``.
+
+    Where ``ORDER`` is a position in a file, blocks are fixed ranges of
+    positions and nothing has to be sorted or written to find them.
+    """
+    dtype = df.schema[ORDER].dataType
+    if not isinstance(dtype, T.StructType) or dtype.names != ["file", "row"]:
+        return in_blocks(df, F.col(ORDER).asc())
+    row = F.col(ORDER)["row"]
+    number = F.floor(row / BLOCK_ROWS).alias("number")
+    return df.withColumn(BLOCK, F.struct(F.col(ORDER)["file"].alias("file"), number)).withColumn(SLOT, row)
+
+
 def _blocks_before(partition: Sequence[str] = ()):
     window = Window.partitionBy(*partition) if partition else Window
     return window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)

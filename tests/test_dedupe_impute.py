@@ -78,6 +78,24 @@ def test_fill_along_against_brute_force(gaps, forward):
     assert sorted(tuple(r) for r in out.collect()) == sorted(expected)
 
 
+@pytest.mark.parametrize("forward", [True, False])
+def test_fill_along_files(spark, gaps, tmp_path, monkeypatch, forward):
+    """Blocks of file positions give the same as blocks cut by a sort."""
+    monkeypatch.setattr(ordering, "BLOCK_ROWS", 40)
+    _, df = gaps
+    df.repartitionByRange(3, "n").sortWithinPartitions("n").write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    mode = "forward" if forward else "backward"
+    expected = sorted(tuple(r) for r in impute.fill_missing(df, mode, order_by=["n"]).collect())
+    out = impute.fill_missing(stored, mode)
+    assert sorted(tuple(r) for r in out.collect()) == expected
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in text
+    kept = impute.fill_missing(ordering.with_order(stored).filter("n % 3 <> 0"), mode)
+    cut = impute.fill_missing(df.filter("n % 3 <> 0"), mode, order_by=["n"])
+    assert sorted(tuple(r) for r in kept.drop(ORDER).collect()) == sorted(tuple(r) for r in cut.collect())
+
+
 def test_fill_modes(spark, values):
     df = spark.createDataFrame([(1, None, None), (None, "", 2.0), (4, "x", None)], "i int, t string, d double")
     assert values(impute.fill_missing(df, "empty_str")) == [("", "", "2.0"), ("1", "", ""), ("4", "x", "")]
