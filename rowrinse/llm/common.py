@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -75,6 +76,14 @@ def text_of(df: DataFrame, column: str) -> Column:
     return F.coalesce(quoted(column).cast("string"), F.lit(""))
 
 
+def held(key, make: Callable):
+    """``make()``, kept for the life of a Python worker; functions that arrive by value have no lasting globals."""
+    kept = sys.modules.setdefault("_llm_held", types.ModuleType("_llm_held")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def in_slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into short ones, so that a task holds few texts as Python objects."""
     for batch in batches:

@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rowrinse.llm import mixing, quality, simhash
+from rowrinse.llm import mixing, pieces, quality, simhash, suffixes
 from rowrinse.llm.common import table
 
 
+def op1_sentencepiece(spark, sf_dir):
+    out = pieces.encode_and_decode(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_pieces", "ids", F.md5("decoded").alias("decoded_md5"))
+
+
+def op3_suffix_dedup(spark, sf_dir):
+    return suffixes.repeats(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_mix_sources(spark, sf_dir):
     out = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return out.select(
@@ -29,8 +38,17 @@ def op8_simhash(spark, sf_dir):
         F.col("component").alias("component_id"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op6_quality_rules": op6_quality_rules,
     "op8_simhash": op8_simhash,
+    "pipeline": pipeline,
 }

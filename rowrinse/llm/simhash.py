@@ -114,14 +114,30 @@ def bit_blocks(n: int, radius: int) -> list[tuple[int, ...]]:
     return [sum(masks[i] for i in chosen) for chosen in itertools.combinations(range(b), b - radius)]
 
 
-def near_links(values: DataFrame, n: int, radius: int) -> DataFrame:
-    """Links (a, b) that connect every two of the distinct values ``fp`` that are within ``radius``.
+def sampled_blocks(n: int) -> list[tuple[int, ...]]:
+    """Masks of a few of many short blocks, for radii at which no mask is both sure and selective.
+
+    Ten blocks, two at a time: two values that differ in 8, 10, 12 bits agree
+    in some mask with probability 0.96, 0.90, 0.78. More values take three of
+    fifteen, or four of twenty, which agree about as often.
+    """
+    chosen = 2 if n < 1 << 21 else 3 if n < 1 << 28 else 4
+    b = 5 * chosen
+    edges = [round(BITS * i / b) for i in range(b + 1)]
+    masks = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(b)]
+    return [sum(masks[i] for i in some) for some in itertools.combinations(range(b), chosen)]
+
+
+def near_links(values: DataFrame, n: int, radius: int, masks: list[int] | None = None) -> DataFrame:
+    """Links (a, b) that connect the distinct values ``fp`` that agree in a mask and are within ``radius``.
+
+    The default masks miss no two values within the radius.
 
     Within a block of a shard, the links are those from each member to the
     smallest one it is connected to: as good as all of them for components.
     """
     spark = values.sparkSession
-    masks = [m - (1 << 64) if m >> 63 else m for m in bit_blocks(n, radius)]
+    masks = [m - (1 << 64) if m >> 63 else m for m in masks or bit_blocks(n, radius)]
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
     keyed = values.select(F.explode(keys).alias("key"), "fp")
     blocks = block_pairs(keyed, "key", "fp", SHARD).select("block", "fp", "left", "right")
@@ -176,7 +192,118 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id."""
+    """``docs`` with one document of each group of fingerprints: the one with the smallest id."""
     found = near_duplicates(docs, id_col, text_col, **options)
     keep = found.filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__id")).distinct()
     return docs.join(keep, quoted(id_col).eqNullSafe(F.col("__id")), "left_semi")
+
+
+def shingles(text: str, shingle: int) -> np.ndarray:
+    """The sorted distinct hashes of the word shingles, of the whole sequence where it is shorter."""
+    words = text.encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    width = min(shingle, len(words))
+    starts = np.r_[0, ends[:-1] + 1][: len(words) - width + 1].tolist()
+    digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.array([digest(joined[s:e]) for s, e in zip(starts, ends[width - 1 :].tolist())], np.uint64))
+
+
+def similar_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 14
+) -> DataFrame:
+    """Rows (text_hash, component): texts chained by a Jaccard similarity of word shingles of ``similarity`` or more.
+
+    Fingerprints within ``radius`` bits propose groups, through BK-trees;
+    inside a proposed group, in blocks of shards, similarities are computed
+    exactly. ``component`` is the smallest id of the chain. Equal texts are
+    one text; texts without words are similar to each other.
+    """
+    spark = docs.sparkSession
+    stages = Stages(spark)
+    key = docs.select(quoted(id_col).cast("bigint").alias("id"), text_of(docs, text_col).alias("text"))
+    key = key.select("id", "text", F.xxhash64("text").alias("text_hash"))
+    schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
+
+    def mark(batch):
+        found = [fingerprint(t, shingle) for t in batch["text"].to_pylist()]
+        return {"id": batch["id"], "text_hash": batch["text_hash"], "fp": np.array(found, np.uint64).view(np.int64)}
+
+    marked = key.mapInArrow(per_batch(mark, schema), "id bigint, text_hash bigint, fp bigint")
+    texts = stages(marked.groupBy("text_hash", "fp").agg(F.min("id").alias("first")))
+    values = stages(texts.select("fp").distinct())
+    n = values.count()
+    links = stages(near_links(values, n, radius, sampled_blocks(n)))
+    groups = components(links, stages)
+    proposed = texts.join(groups, texts["fp"] == groups["node"], "left").select(
+        "text_hash", "first", F.coalesce("component", "fp").alias("group"))
+    proposed = stages(proposed)
+    blocks = stages(block_pairs(proposed.select("group", "text_hash"), "group", "text_hash", 128).select("block", "text_hash", "left", "right"))
+    wanted = blocks.select("text_hash").distinct()
+    set_schema = pa.schema([("text_hash", pa.int64()), ("shingles", pa.binary())])
+
+    def gather(batch):
+        return {"text_hash": batch["text_hash"], "shingles": [shingles(t, shingle).tobytes() for t in batch["text"].to_pylist()]}
+
+    picked = key.select("text_hash", "text").join(wanted, "text_hash", "left_semi")
+    sets = picked.mapInArrow(per_batch(gather, set_schema), "text_hash bigint, shingles binary").dropDuplicates(["text_hash"])
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        for _, part in rows.groupby("block"):
+            part = part.drop_duplicates("text_hash")
+            found = exact_links(
+                [np.frombuffer(x, np.uint64) for x in part["shingles"]], part["left"].to_numpy(), part["right"].to_numpy(), similarity)
+            label = local_components(len(part), *found)
+            moved = np.flatnonzero(label != np.arange(len(part)))
+            ids = part["text_hash"].to_numpy()
+            a.append(ids[moved]), b.append(ids[label[moved]])
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}) if a else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+
+    tasks = partitions(spark, blocks.count(), 256)
+    exact = (
+        blocks.join(sets, "text_hash").withColumn("task", F.pmod(F.col("block"), F.lit(tasks)).cast("int"))
+        .groupBy("task").applyInPandas(compare, "a bigint, b bigint")
+    )
+    reached = components(stages(exact), stages)
+    joined = proposed.join(reached, proposed["text_hash"] == reached["node"], "left").select(
+        "text_hash", "first", F.coalesce("component", "text_hash").alias("root"))
+    least = joined.groupBy("root").agg(F.min("first").alias("component"))
+    out = stages(joined.join(least, "root").select("text_hash", "component"))
+    stages.close(keep=(out,))
+    return out
+
+
+def exact_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a left and a right member whose Jaccard similarity reaches ``similarity``."""
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    value, place = np.unique(np.concatenate(sets), return_inverse=True) if len(owner) else (np.zeros(0), np.zeros(0, int))
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    counts = np.bincount(place, minlength=len(value))
+    keep = counts[place] > 1
+    owner, place = owner[keep], np.unique(place[keep], return_inverse=True)[1]
+    for at in range(0, int(place.max()) + 1 if len(place) else 0, 8192):
+        here = (place >= at) & (place < at + 8192)
+        m = np.zeros((len(sets), 8192), np.float32)
+        m[owner[here], place[here] - at] = 1
+        shared += m @ m.T
+    union = size[:, None] + size[None, :] - shared
+    near = (shared >= similarity * union) & left[:, None] & right[None, :]
+    return np.nonzero(near)
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document, that with the smallest id, of each chain of similar texts.
+
+    Of rows that repeat id and text all stay; a null id stays only where its chain has no id.
+    """
+    found = similar_documents(docs, id_col, text_col, **options)
+    names = found.select(F.col("text_hash").alias("__hash"), F.col("component").alias("__id"))
+    return docs.join(
+        names,
+        (F.xxhash64(text_of(docs, text_col)) == F.col("__hash")) & quoted(id_col).cast("bigint").eqNullSafe(F.col("__id")),
+        "left_semi",
+    )
