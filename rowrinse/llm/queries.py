@@ -44,11 +44,12 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
+# name: (query, its SQL or None where SQL cannot express it; tests hold those against brute force)
 QUERIES = {
-    "op1_sentencepiece": op1_sentencepiece,
-    "op3_suffix_dedup": op3_suffix_dedup,
-    "op4_mix_sources": op4_mix_sources,
-    "op6_quality_rules": op6_quality_rules,
-    "op8_simhash": op8_simhash,
-    "pipeline": pipeline,
+    "op1_sentencepiece": (op1_sentencepiece, None),
+    "op3_suffix_dedup": (op3_suffix_dedup, None),
+    "op4_mix_sources": (op4_mix_sources, None),
+    "op6_quality_rules": (op6_quality_rules, None),
+    "op8_simhash": (op8_simhash, None),
+    "pipeline": (pipeline, None),
 }
