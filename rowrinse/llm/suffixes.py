@@ -11,8 +11,10 @@ which changes the result:
 * A rank is a hash of the bytes it ranks, so a round is a count by rank. First
   the half of the threshold at one side of the anchor is ranked. Unique ones
   are dropped; of what is left, the pair of a rank and the rest, the whole
-  range of the row, is ranked. Only starts whose range is unique although its
-  half is not, which lie at the edge of a repeat, are ranked one by one.
+  range of the row, is ranked. A range that is unique although its half is not
+  lies at the edge of a repeat. Such ranges are cut into short ones, which are
+  ranked in the same two ways, and only the starts of those that are left then
+  are ranked one by one.
 
 Ranks that decide have 128 bits.
 """
@@ -34,8 +36,12 @@ GRAM = 16
 PIECE = 1 << 20
 PLACE = np.uint64((1 << 31) - 1)
 
-RANGES = "th_hi bigint, th_lo bigint, s1 int, s2 int, half bigint, all_hi bigint, all_lo bigint"
-STARTS = "th_hi bigint, th_lo bigint, s int, rank_hi bigint, rank_lo bigint, place bigint, known boolean"
+SHORT = 24
+
+RANGES = "th_hi bigint, th_lo bigint, s1 int, s2 int, anchor int, half bigint, all_hi bigint, all_lo bigint"
+CHUNKS = "th_hi bigint, th_lo bigint, r1 int, s1 int, s2 int, known boolean, half bigint, all_hi bigint, all_lo bigint"
+STARTS = "th_hi bigint, th_lo bigint, s int, known boolean, all_hi bigint, all_lo bigint"
+TEXT, RANK = ["th_hi", "th_lo"], ["all_hi", "all_lo"]
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
@@ -80,26 +86,39 @@ def anchors(data: bytes, length: int = LENGTH, start: int = 0, stop: int | None
 
 
 def ranges_of(data: bytes, length: int = LENGTH):
-    """(first start, last start, rank of the half, rank of the whole range) of every run, cut at the half."""
+    """(first start, last start, anchor, rank of the half, rank of the whole range) of every run, cut at the half."""
     half = length // 2
     digest, wide = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_intdigest
     view = memoryview(data)
-    s1, s2, ranks, whole = [], [], [], []
+    out = []
     for begin in range(0, len(data) - length + 1, PIECE):
         runs = anchors(data, length, begin, min(begin + PIECE, len(data) - length + 1))
         for first, last, at in zip(*(r.tolist() for r in runs)):
             turn = at - half
             if last >= turn:
                 low = max(first, turn)
-                s1.append(low), s2.append(last)
-                ranks.append(digest(view[at : at + half], 1))
-                whole.append(wide(view[low : last + length], 2 * (at - low)))
+                out.append((low, last, at, digest(view[at : at + half], 1), wide(view[low : last + length], 2 * (at - low))))
             if first < turn:
                 high = min(last, turn - 1)
-                s1.append(first), s2.append(high)
-                ranks.append(digest(view[turn : at + GRAM], 2))
-                whole.append(wide(view[first : high + length], 2 * (at - first) + 1))
-    return s1, s2, ranks, whole
+                out.append((first, high, at, digest(view[turn : at + GRAM], 2), wide(view[first : high + length], 2 * (at - first) + 1)))
+    return out
+
+
+def chunks_of(context: bytes, s1: int, s2: int, anchor: int, length: int = LENGTH):
+    """(first start, last start, rank of what their stretches share, rank of the range) of the short ranges of a range.
+
+    They are cut at whole numbers of short ranges before the anchor, so equal stretches fall alike.
+    """
+    digest, wide = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_intdigest
+    short = min(SHORT, length // 2)
+    view, out, first = memoryview(context), [], s1
+    while first <= s2:
+        edge = anchor - (anchor - first) // short * short
+        last = min(s2, edge)
+        core = digest(view[edge - s1 : edge - short + 1 + length - s1], 3)
+        out.append((first, last, core, wide(view[first - s1 : last + length - s1], anchor - first)))
+        first = last + 1
+    return out
 
 
 def keyed(docs: DataFrame, text_col: str, *more) -> DataFrame:
@@ -111,75 +130,103 @@ def keyed(docs: DataFrame, text_col: str, *more) -> DataFrame:
         *base.columns, part(1).alias("th_hi"), part(16).alias("th_lo"))
 
 
-def repeated_starts(docs: DataFrame, stages: Stages, text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """Rows (th_hi, th_lo, marks): for each text digest, the starts of its stretches that start elsewhere too.
+def arrow_rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    """A batch from tuples; unsigned 64-bit ranks become signed, and a 128-bit rank two numbers."""
+    columns = list(zip(*rows)) if rows else [()] * (len(schema) - 1)
+    *plain, whole = columns
+    arrays = []
+    for field, values in zip(schema, plain):
+        if field.type == pa.int64():
+            values = np.array([v & 0xFFFFFFFFFFFFFFFF for v in values], np.uint64).view(np.int64)
+        arrays.append(pa.array(values, field.type))
+    return pa.RecordBatch.from_arrays([*arrays, *map(pa.array, halves_of(list(whole)))], schema=schema)
+
 
-    A mark is a range of starts, s1 .. s2, or, with ``mask``, single starts
-    from s1 on by bits.
+def sift(ranges: DataFrame, stages: Stages, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of ranges with ranks (half, all_hi, all_lo) those that may repeat, and their classes.
+
+    The rows whose half is unique go. A class is the rows of one whole rank,
+    with one of them, its number of rows, and whether its half is in other
+    classes too (``mixed``). ``known`` marks ranges that are known to repeat.
+    """
+    shared = ranges.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half")
+    left = stages(ranges.join(shared, "half", "left_semi"))
+    mixed = left.groupBy("half").agg(
+        F.min("all_hi").alias("a"), F.max("all_hi").alias("b"), F.min("all_lo").alias("c"), F.max("all_lo").alias("d"),
+    ).filter("a <> b or c <> d").select("half")
+    classes = left.groupBy("half", *RANK).agg(
+        ((F.count(F.lit(1)) > 1) | F.max("known")).alias("known"), *[F.first(c).alias(c) for c in key])
+    flagged = classes.join(mixed.withColumn("mixed", F.lit(True)), "half", "left").withColumn("mixed", F.col("mixed").isNotNull())
+    return left, stages(flagged.drop("half"))
+
+
+def repeated_starts(docs: DataFrame, stages: Stages, text_col: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+    """For the texts in which a stretch starts that starts elsewhere too: (texts, marks).
+
+    ``texts`` has one row (th_hi, th_lo, text) per text digest, ``marks`` rows
+    (th_hi, th_lo, marks). A mark is a range of starts, s1 .. s2, or, with
+    ``mask``, single starts from s1 on by bits.
     """
-    texts = keyed(docs, text_col, F.xxhash64(*[quoted(c) for c in docs.columns if c != text_col]).alias("row"))
-    long = texts.filter(F.octet_length("text") >= length)
-    schema = arrow_schema(RANGES)
+    long = keyed(docs, text_col, F.xxhash64(*[quoted(c) for c in docs.columns if c != text_col]).alias("row"))
+    long = long.filter(F.octet_length("text") >= length)
+    schemas = {ddl: arrow_schema(ddl) for ddl in (RANGES, CHUNKS, STARTS)}
 
     def file(batches):
         for b in in_slices(batches):
-            cols = {k: [] for k in schema.names}
+            rows = []
             for hi, lo, text in zip(b["th_hi"].to_pylist(), b["th_lo"].to_pylist(), b["text"].to_pylist()):
-                s1, s2, ranks, whole = ranges_of(text.encode(), length)
-                a, c = halves_of(whole)
-                for k, v in zip(schema.names, (np.full(len(s1), hi), np.full(len(s1), lo), s1, s2, signed(ranks), a, c)):
-                    cols[k].append(np.asarray(v, np.int64))
-            if cols["s1"]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(cols[k])).cast(schema.field(k).type) for k in schema.names], schema=schema)
+                rows += [(hi, lo, *r) for r in ranges_of(text.encode(), length)]
+            yield arrow_rows(schemas[RANGES], rows)
 
     filed = stages(long.select("th_hi", "th_lo", "text").mapInArrow(file, RANGES))
-    shared = filed.groupBy("half").agg(
-        F.count(F.lit(1)).alias("n"), F.min("all_hi").alias("a"), F.max("all_hi").alias("b"),
-        F.min("all_lo").alias("c"), F.max("all_lo").alias("d"),
-    ).filter("n > 1").select("half", F.expr("a <> b or c <> d").alias("mixed"))
-    left = stages(filed.join(shared, "half").drop("half"))
+    left, classes = sift(filed.withColumn("known", F.lit(False)), stages, [*TEXT, "s1", "s2", "anchor"])
     stages.drop(filed)
-    classes = left.groupBy("all_hi", "all_lo").agg(
-        F.count(F.lit(1)).alias("n"), F.max("mixed").alias("mixed"),
-        *[F.first(c).alias(c) for c in ("th_hi", "th_lo", "s1", "s2")])
-    classes = stages(classes.filter("mixed or n > 1"))
-    copies = left.join(classes.filter("n > 1").select("all_hi", "all_lo"), ["all_hi", "all_lo"], "left_semi")
-    whole = copies.select("th_hi", "th_lo", "s1", "s2").distinct()
-
-    # the edges: one text of each class is read again and its starts are ranked one by one
-    edges = classes.filter("mixed").groupBy("th_hi", "th_lo").agg(
-        F.collect_list(F.struct("s1", "s2", (F.col("n") > 1).alias("known"))).alias("ranges"))
-    one = long.groupBy("th_hi", "th_lo").agg(F.min("row").alias("row"))
-    edges = edges.join(one, ["th_hi", "th_lo"])
-    start_schema = arrow_schema(STARTS)
-
-    def rank(batches):
+
+    def marked(rows: DataFrame, found: DataFrame) -> DataFrame:
+        return rows.filter("not known").join(found.filter("known").select(*RANK), RANK, "left_semi").select(*TEXT, "s1", "s2")
+
+    whole = marked(left, classes).distinct()
+
+    # one text for each digest that still matters, with the ranges to be cut
+    cut = classes.filter("mixed").groupBy(*TEXT).agg(F.collect_list(F.struct("s1", "s2", "anchor", "known")).alias("ranges"))
+    one = long.select(*TEXT, "row").groupBy(*TEXT).agg(F.min("row").alias("row"))
+    wanted = left.select(*TEXT).distinct().join(one, TEXT).join(cut, TEXT, "left")
+    texts = stages(long.join(wanted, [*TEXT, "row"]).dropDuplicates([*TEXT, "row"]).drop("row"))
+    ranges = texts.select(*TEXT, "text", F.explode("ranges").alias("r")).select(*TEXT, "text", "r.*")
+    context = F.substring(F.encode("text", "UTF-8"), F.col("s1") + 1, F.col("s2") - F.col("s1") + length)
+    contexts = stages(ranges.select(*TEXT, F.col("s1").alias("r1"), "s2", "anchor", "known", context.alias("context")))
+
+    def chunk(batches):
+        for b in in_slices(batches):
+            rows = []
+            for hi, lo, r1, s2, anchor, known, data in zip(*(c.to_pylist() for c in b.columns)):
+                rows += [(hi, lo, r1, f, t, known, core, all_) for f, t, core, all_ in chunks_of(data, r1, s2, anchor, length)]
+            yield arrow_rows(schemas[CHUNKS], rows)
+
+    chunks = contexts.mapInArrow(chunk, CHUNKS)
+    short_left, short_classes = sift(stages(chunks), stages, [*TEXT, "r1", "s1", "s2"])
+    short = marked(short_left, short_classes)
+
+    def start(batches):
         wide = xxhash.xxh3_128_intdigest
-        for b in in_slices(batches, 32):
-            for hi, lo, text, ranges in zip(*(b[c].to_pylist() for c in ("th_hi", "th_lo", "text", "ranges"))):
-                view = memoryview(text.encode())
-                at = np.concatenate([np.arange(r["s1"], r["s2"] + 1) for r in ranges])
-                known = np.repeat([r["known"] for r in ranges], [r["s2"] - r["s1"] + 1 for r in ranges])
-                a, c = halves_of([wide(view[s : s + length]) for s in at.tolist()])
-                text_place = np.uint64(xxhash.xxh3_64_intdigest(b"%d %d" % (hi, lo)))
-                place = at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + text_place
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), hi)), pa.array(np.full(len(at), lo)), pa.array(at.astype(np.int32)), pa.array(a),
-                     pa.array(c), pa.array(place.view(np.int64)), pa.array(known)], schema=start_schema)
-
-    ranked = stages(
-        long.join(edges, ["th_hi", "th_lo", "row"]).select("th_hi", "th_lo", "text", "ranges").mapInArrow(rank, STARTS))
-    twice = ranked.groupBy("rank_hi", "rank_lo").agg(
-        F.min("place").alias("a"), F.max("place").alias("b"), F.max("known").alias("known")).filter("a <> b or known")
-    single = ranked.filter("not known").join(twice.select("rank_hi", "rank_lo"), ["rank_hi", "rank_lo"], "left_semi")
-    bits = single.groupBy("th_hi", "th_lo", F.expr("s div 32").alias("word")).agg(
-        F.expr("bit_or(shiftleft(1L, s % 32))").alias("mask"))
-    marks = whole.select("th_hi", "th_lo", "s1", "s2", F.lit(0).cast("bigint").alias("mask")).unionByName(
-        bits.select("th_hi", "th_lo", (F.col("word") * 32).cast("int").alias("s1"), F.lit(-1).alias("s2"), "mask"))
-    out = stages(marks.groupBy("th_hi", "th_lo").agg(F.collect_list(F.struct("s1", "s2", "mask")).alias("marks")))
-    stages.close(keep=(out,))
-    return out
+        for b in in_slices(batches):
+            rows = []
+            for hi, lo, r1, s1, s2, known, data in zip(*(c.to_pylist() for c in b.columns)):
+                view = memoryview(data)
+                rows += [(hi, lo, s, known, wide(view[s - r1 : s - r1 + length])) for s in range(s1, s2 + 1)]
+            yield arrow_rows(schemas[STARTS], rows)
+
+    edges = short_classes.filter("mixed").select(*TEXT, "r1", "s1", "s2", "known").join(
+        contexts.select(*TEXT, "r1", "context"), [*TEXT, "r1"])
+    starts = stages(edges.select(*TEXT, "r1", "s1", "s2", "known", "context").mapInArrow(start, STARTS))
+    twice = starts.groupBy(*RANK).agg(F.count(F.lit(1)).alias("n"), F.max("known").alias("known")).filter("n > 1 or known")
+    single = starts.filter("not known").join(twice.select(*RANK), RANK, "left_semi")
+    bits = single.groupBy(*TEXT, F.expr("s div 32").alias("word")).agg(F.expr("bit_or(shiftleft(1L, s % 32))").alias("mask"))
+    marks = whole.unionByName(short).withColumn("mask", F.lit(0).cast("bigint")).unionByName(
+        bits.select(*TEXT, (F.col("word") * 32).cast("int").alias("s1"), F.lit(-1).alias("s2"), "mask"))
+    out = stages(marks.groupBy(*TEXT).agg(F.collect_list(F.struct("s1", "s2", "mask")).alias("marks")))
+    stages.close(keep=(texts, out))
+    return texts.select(*TEXT, "text"), out
 
 
 def covered(size: int, marks: list[dict] | None, length: int = LENGTH) -> np.ndarray:
@@ -197,11 +244,6 @@ def covered(size: int, marks: list[dict] | None, length: int = LENGTH) -> np.nda
     return np.cumsum(step[:-1]) > 0
 
 
-def _with_marks(docs: DataFrame, text_col: str, length: int, *more) -> DataFrame:
-    marks = repeated_starts(docs, Stages(docs.sparkSession), text_col, length)
-    return keyed(docs, text_col, *more).join(marks, ["th_hi", "th_lo"], "left").drop("th_hi", "th_lo")
-
-
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Rows (id, n_bytes, n_removed, n_spans, kept_sha256) of every text as UTF-8 bytes.
 
@@ -209,23 +251,28 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     else too, in another document or in the same, judged on the input. Null
     and shorter texts stay as they are; repeated rows are copies of each other.
     """
-    ddl = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    texts, marks = repeated_starts(docs, Stages(docs.sparkSession), text_col, length)
+    ddl = "th_hi bigint, th_lo bigint, n_removed bigint, n_spans bigint, cut_sha256 string"
     schema = arrow_schema(ddl)
 
     def digest(batches):
         for b in in_slices(batches):
             rows = []
-            for text, marks in zip(b["text"].to_pylist(), b["marks"].to_pylist()):
+            for hi, lo, text, found in zip(*(b[c].to_pylist() for c in (*TEXT, "text", "marks"))):
                 data = text.encode()
-                gone = covered(len(data), marks, length) if marks else None
-                kept = data if gone is None else np.frombuffer(data, np.uint8)[~gone].tobytes()
-                spans = 0 if gone is None else int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                rows.append((len(data), len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
-            n_bytes, removed, spans, sha = zip(*rows)
+                gone = covered(len(data), found, length)
+                spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
+                kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+                rows.append((hi, lo, len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
             yield pa.RecordBatch.from_arrays(
-                [b["id"], pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha)], schema=schema)
+                [pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 5, schema)], schema=schema)
 
-    return _with_marks(docs, text_col, length, quoted(id_col).cast("bigint").alias("id")).select("id", "text", "marks").mapInArrow(digest, ddl)
+    cut = texts.join(marks, TEXT).select(*TEXT, "text", "marks").mapInArrow(digest, ddl)
+    rows = keyed(docs, text_col, quoted(id_col).cast("bigint").alias("id")).select(
+        "id", *TEXT, F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("sha256"))
+    return rows.join(cut, TEXT, "left").select(
+        "id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
+        F.coalesce("cut_sha256", "sha256").alias("kept_sha256"))
 
 
 def drop_repeats(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", length: int = LENGTH) -> DataFrame:
@@ -233,30 +280,26 @@ def drop_repeats(docs: DataFrame, text_col: str = "text", chars_col: str = "n_ch
 
     All rows stay; ``chars_col``, where there is one, follows the text.
     """
+    texts, marks = repeated_starts(docs, Stages(docs.sparkSession), text_col, length)
+    ddl = "th_hi bigint, th_lo bigint, kept string"
+    schema = arrow_schema(ddl)
+
+    def cut(batches):
+        for b in in_slices(batches):
+            kept = []
+            for text, found in zip(b["text"].to_pylist(), b["marks"].to_pylist()):
+                data = text.encode()
+                kept.append(np.frombuffer(data, np.uint8)[~covered(len(data), found, length)].tobytes().decode(errors="ignore"))
+            yield pa.RecordBatch.from_arrays([b["th_hi"], b["th_lo"], pa.array(kept, pa.string())], schema=schema)
+
+    changed = texts.join(marks, TEXT).select(*TEXT, "text", "marks").mapInArrow(cut, ddl)
     names = docs.columns
-    others = [c for c in names if c != text_col]
-    rest = F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(others)]) if others else F.struct(F.lit(0).alias("c"))
-    rows = _with_marks(docs, text_col, length, rest.alias("rest"), quoted(text_col).isNull().alias("null"))
-
-    @F.pandas_udf("string")
-    def cut(text, marks):
-        out = []
-        for t, m in zip(text, marks):
-            if m is not None and len(m):
-                data = t.encode()
-                t = np.frombuffer(data, np.uint8)[~covered(len(data), list(m), length)].tobytes().decode(errors="ignore")
-            out.append(t)
-        return type(text)(out)
-
-    marked = rows.withColumn("kept", F.when(F.col("marks").isNull(), F.col("text")).otherwise(cut("text", "marks")))
-    text = F.when(F.col("null"), F.lit(None)).otherwise(F.col("kept"))
+    inner = {c: f"c{i}" for i, c in enumerate(names)}
+    rows = keyed(docs, text_col, *[quoted(c).alias(inner[c]) for c in names]).drop("text")
+    rows = rows.join(changed, TEXT, "left")
     out = []
     for c in names:
-        if c == text_col:
-            out.append(text.alias(c))
-        elif c == chars_col:
-            old = F.col(f"rest.c{others.index(c)}")
-            out.append(F.when(F.col("marks").isNull(), old).otherwise(F.length("kept")).cast(docs.schema[c].dataType).alias(c))
-        else:
-            out.append(F.col(f"rest.c{others.index(c)}").alias(c))
-    return marked.select(*out)
+        new = F.col("kept") if c == text_col else F.length("kept").cast(docs.schema[c].dataType) if c == chars_col else None
+        old = F.col(inner[c])
+        out.append((old if new is None else F.when(F.col("kept").isNull(), old).otherwise(new)).alias(c))
+    return rows.select(*out)
