@@ -154,8 +154,9 @@ def sift(ranges: DataFrame, stages: Stages, key: list[str]) -> tuple[DataFrame,
     mixed = left.groupBy("half").agg(
         F.min("all_hi").alias("a"), F.max("all_hi").alias("b"), F.min("all_lo").alias("c"), F.max("all_lo").alias("d"),
     ).filter("a <> b or c <> d").select("half")
-    classes = left.groupBy("half", *RANK).agg(
-        ((F.count(F.lit(1)) > 1) | F.max("known")).alias("known"), *[F.first(c).alias(c) for c in key])
+    # written before the join, so that the grouping is dealt by all its keys and not by a half that many rows share
+    classes = stages(left.groupBy("half", *RANK).agg(
+        ((F.count(F.lit(1)) > 1) | F.max("known")).alias("known"), *[F.first(c).alias(c) for c in key]))
     flagged = classes.join(mixed.withColumn("mixed", F.lit(True)), "half", "left").withColumn("mixed", F.col("mixed").isNotNull())
     return left, stages(flagged.drop("half"))
 
