@@ -15,11 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowrinse.llm.common import Stages, block_pairs, components, in_slices, local_components, partitions, quoted
+from rowrinse.llm.common import Stages, block_pairs, components, in_slices, local_components, partitions, quoted, spread
 
 WIDTH = 2.0
 MISS = 0.01
 SHARD = 512
+# Blocks of up to so many vectors are compared pair by pair, all at once.
+FEW = 64
+TOGETHER = 400_000
 SEED = 20_240_601
 
 
@@ -30,9 +33,9 @@ def collision(distance: float, width: float = WIDTH) -> float:
 
 
 def tables_for(n: int, cosine: float) -> tuple[int, int]:
-    """Directions per table and tables: about eight strangers to a bucket, and at most ``MISS`` missed at the threshold itself."""
+    """Directions per table and tables: about thirty strangers to a bucket, and at most ``MISS`` missed at the threshold itself."""
     near, far = collision(math.sqrt(2 - 2 * cosine)), collision(math.sqrt(2))
-    k = max(2, math.ceil(math.log(max(n, 2) / 8) / -math.log(far)))
+    k = max(2, math.ceil(math.log(max(n, 60) / 30) / -math.log(far)))
     return k, max(1, math.ceil(math.log(MISS) / math.log(1 - near**k)))
 
 
@@ -56,11 +59,61 @@ def usable(c: Column) -> Column:
 
 
 def unit_rows(data) -> np.ndarray:
-    x = np.array([np.frombuffer(d, "<f8") for d in data])
+    data = list(data)
+    x = np.frombuffer(b"".join(data), "<f8").reshape(len(data), -1)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def block_pairs_of(x: np.ndarray, block: np.ndarray, left: np.ndarray, right: np.ndarray, cosine: float):
+    """Row pairs (i, j), i before j, of one block each, a left and a right one, whose cosine reaches the threshold."""
+    starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    sizes = np.diff(np.r_[starts, len(block)])
+    for at, m in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
+        a, b = at + np.flatnonzero(left[at : at + m]), at + np.flatnonzero(right[at : at + m])
+        i, j = np.nonzero(x[a] @ x[b].T >= cosine)
+        i, j = a[i], b[j]
+        low, high = np.minimum(i, j), np.maximum(i, j)
+        pairs = np.unique(np.c_[low, high][low < high], axis=0)
+        yield pairs[:, 0], pairs[:, 1]
+    some = np.flatnonzero(np.repeat(sizes <= FEW, sizes))
+    ends = np.repeat(starts + sizes, sizes)[some]
+    upto = np.cumsum(ends - some - 1)
+    cuts = np.searchsorted(upto, np.arange(TOGETHER, (upto[-1] if len(upto) else 0) + TOGETHER, TOGETHER))
+    for a, b in zip(np.r_[0, cuts[:-1] + 1], cuts + 1):
+        own = some[a:b]
+        owner, j = spread(own + 1, ends[a:b] - own - 1)
+        i = own[owner]
+        meet = (left[i] & right[j]) | (left[j] & right[i])
+        i, j = i[meet], j[meet]
+        near = np.einsum("ij,ij->i", x[i], x[j]) >= cosine
+        yield i[near], j[near]
+
+
+def compared(rows: pd.DataFrame, cosine: float, k: int, tables: int) -> pd.DataFrame:
+    """Links of the blocks of a task: per class their weight, of pairs first met here, and a class it is joined to."""
+    rows = rows.sort_values("block", ignore_index=True)
+    x = unit_rows(rows["v"])
+    found = list(block_pairs_of(x, rows["block"].to_numpy(), rows["left"].to_numpy(), rows["right"].to_numpy(), cosine))
+    i, j = (np.concatenate([f[side] for f in found]) if found else np.zeros(0, int) for side in (0, 1))
+    value, cls = np.unique(rows["cls"].to_numpy(), return_inverse=True)
+    i, j = i[cls[i] != cls[j]], j[cls[i] != cls[j]]
+    touched = np.unique(np.r_[i, j])
+    sig = signatures(x[touched], k, tables)
+    place = np.zeros(len(rows), int)
+    place[touched] = np.arange(len(touched))
+    table, many = rows["t"].to_numpy(), rows["n"].to_numpy()
+    links = np.zeros(len(value), np.int64)
+    for at in range(0, len(i), 16384):
+        a, b = i[at : at + 16384], j[at : at + 16384]
+        first = np.argmax(sig[place[a]] == sig[place[b]], axis=1) == table[a]
+        np.add.at(links, cls[a[first]], many[b[first]])
+        np.add.at(links, cls[b[first]], many[a[first]])
+    label = local_components(len(value), cls[i], cls[j])
+    some = np.unique(np.r_[cls[i], cls[j]])
+    return pd.DataFrame({"cls": value[some], "links": links[some], "root": value[label[some]]})
+
+
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9) -> DataFrame:
     """Rows (id, n_links, component, kept): links are pairs with a cosine of at least ``cosine``.
 
@@ -103,31 +156,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     tasks = partitions(spark, n * tables, 20_000)
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, part in rows.groupby("block"):
-            part = part.drop_duplicates("cls")
-            if len(part) < 2 or part["v"].map(len).nunique() > 1:
-                continue
-            x, left, right = unit_rows(part["v"]), part["left"].to_numpy(), part["right"].to_numpy()
-            a, b = np.flatnonzero(left), np.flatnonzero(right)
-            near = x[a] @ x[b].T >= cosine
-            near &= a[:, None] != b[None, :]
-            i, j = np.nonzero(near)
-            if not len(i):
-                continue
-            sig = signatures(x, k, tables)
-            table, many = int(part["t"].iloc[0]), part["n"].to_numpy()
-            first = np.concatenate([
-                np.argmax(sig[a[i[s : s + 8192]]] == sig[b[j[s : s + 8192]]], axis=1) == table for s in range(0, len(i), 8192)])
-            i, j = a[i[first]], b[j[first]]
-            links = np.bincount(i, many[j], len(part))
-            if part["block_i"].iloc[0] != part["block_j"].iloc[0]:
-                links += np.bincount(j, many[i], len(part))
-            label = local_components(len(part), i, j)
-            some = np.flatnonzero(links)
-            cls = part["cls"].to_numpy()
-            out.append(pd.DataFrame({"cls": cls[some], "links": links[some].astype(np.int64), "root": cls[label[some]]}))
-        return pd.concat(out) if out else pd.DataFrame({"cls": [], "links": [], "root": []}, dtype="int64")
+        parts = [compared(part, cosine, k, tables) for _, part in rows.groupby(rows["v"].map(len))]
+        return pd.concat(parts) if parts else pd.DataFrame({"cls": [], "links": [], "root": []}, dtype="int64")
 
     met = blocks.join(data.select("cls", "v", "n"), "cls").withColumn("task", F.pmod(F.col("block"), F.lit(tasks)).cast("int"))
     found = stages(met.groupBy("task").applyInPandas(compare, "cls bigint, links bigint, root bigint"))
