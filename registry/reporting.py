@@ -25,6 +25,7 @@ from rowrinse.operators.summary import (
     text_statistics,
     value_counts,
 )
+from rowrinse.session import scratch_path
 from rowrinse.plans.profile import preview, profile, report_extract, size_label
 from rowrinse.sinks.category import file_names, sheet_titles
 
@@ -113,7 +114,14 @@ def _with_gaps(df):
 
 
 def _report_meta(spark, sf):
-    return report_extract(table(spark, sf, "lineitem"), 15_000)[1].unionAll(report_extract(table(spark, sf, "part"), 10**9)[1])
+    return report_extract(table(spark, sf, "lineitem"), 15_000)[1].unionAll(report_extract(table(spark, sf, "part"))[1])
+
+
+def _source_size(spark, sf):
+    """The size of one text column, written as plain lines."""
+    path = scratch_path(spark)
+    table(spark, sf, "customer").select("c_name").write.option("compression", "none").text(path)
+    return source_size(spark.read.text(path)).select("size_bytes")
 
 
 BYTES = "n_chars * case doc_id % 6 when 0 then 1 when 1 then 64 when 2 then 1000000 when 3 then 1000000000 when 4 then 1000000000000 else 10000000000000 end"
@@ -236,13 +244,13 @@ QUERIES = {
     ),
     "numeric_likeness": (
         lambda spark, sf: numeric_likeness(
-            fixture(spark, sf, "dirty_customer").select("cust_id", "full_name", "amount", "segment", "mostly_blank"), ["cust_id"]
+            fixture(spark, sf, "dirty_customer").select("cust_id", "full_name", "amount", "segment", "mostly_blank")
         ),
         f"{CUSTOMER}"
         + "\nunion all ".join(
             f"select '{c}' as column, count(*) as sampled, count(v) as numeric, count(v) / count(*) as numeric_share,"
-            f" count(v) / count(*) >= 0.6 or ({'true' if c == 'amount' else 'false'} and count(v) > 0) as candidate"
-            f" from (select {amount(c)} as v from dirty_customer where {c} is not null order by cust_id limit 20)"
+            f" count(v) / count(*) >= 0.6 or ({'true' if c == 'amount' else 'false'} and count(v) > 0 and count(v) = count(*)) as candidate"
+            f" from (select {amount(c)} as v from dirty_customer where {c} is not null)"
             for c in ("cust_id", "full_name", "amount", "segment", "mostly_blank")
         ),
     ),
@@ -264,10 +272,8 @@ QUERIES = {
     ),
     "report_message": (
         _report_meta,
-        "select n as total_rows, 11 as total_cols, case when n > 15000 then 'Showing first 15,000 rows of ' ||"
-        " format('{:,}', n) || ' total rows for instant in-browser viewing.' else 'All ' || format('{:,}', n) ||"
-        " ' rows loaded.' end as message from (select count(*) as n from lineitem) union all"
-        " select n, 6, 'All ' || format('{:,}', n) || ' rows loaded.' from (select count(*) as n from part)",
+        "select n as total_rows, 11 as total_cols, least(n, 15000) as shown_rows, n > 15000 as truncated"
+        " from (select count(*) as n from lineitem) union all select n, 6, n, false from (select count(*) as n from part)",
     ),
     "format_size": (
         lambda spark, sf: table(spark, sf, "documents").selectExpr("doc_id", f"{BYTES} as size_bytes").withColumn(
@@ -275,7 +281,10 @@ QUERIES = {
         ),
         SIZE_SQL,
     ),
-    "source_size": (lambda spark, sf: size_label(source_size(table(spark, sf, "lineitem"))), None),
+    "source_size": (
+        _source_size,
+        "select cast(sum(octet_length(encode(c_name))) + count(*) as bigint) as size_bytes from customer",
+    ),
     "safe_sheet_title": (_names(sheet_titles), TITLES_SQL),
     "safe_file_name": (_names(file_names), FILES_SQL),
 }

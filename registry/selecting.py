@@ -48,6 +48,18 @@ def _lines(*rules):
     return run
 
 
+BIG = "with b as (select o_orderkey, 9007199254740992 + o_orderkey % 3 as big from orders)"
+
+
+def _big(*rules):
+    def run(spark, sf):
+        big = F.lit(9007199254740992) + F.col("o_orderkey") % 3
+        wanted = [dict(zip(("column", "op", "val"), r)) for r in rules]
+        return apply_rules(table(spark, sf, "orders").select("o_orderkey", big.alias("big")), wanted)
+
+    return run
+
+
 def _customers(*rules):
     def run(spark, sf):
         wanted = [dict(zip(("column", "op", "val"), r)) for r in rules]
@@ -128,6 +140,16 @@ QUERIES = {
     "rule_gt_text": (
         _customers(("amount", ">", "100")), _where("try_cast(amount as double) > 100 and not contains(amount, ' ')"
         " and not contains(amount, chr(9))", "dirty_customer")),
+    "rule_eq_bigint": (_big(("big", "=", "9007199254740993")), f"{BIG} select o_orderkey, big from b where big = 9007199254740993"),
+    "rule_range_bigint": (
+        _lines(("l_orderkey", "<=", "100.5"), ("l_orderkey", ">", 3), ("l_partkey", "!=", "7.5")),
+        _where("l_orderkey <= 100 and l_orderkey > 3"),
+    ),
+    "match_empty_keys": (
+        lambda spark, sf: match_keys(
+            fixture(spark, sf, "keyed_orders"), "cust", fixture(spark, sf, "key_list").filter("false"), "exclude", "contains"),
+        f"{MATCH}select * from keyed_orders",
+    ),
     "rule_contains": (
         _customers(("full_name", "contains", "mr.")), _where("contains(full_name, 'mr.')", "dirty_customer")),
     "rule_starts_with": (
@@ -186,6 +208,6 @@ QUERIES = {
         lambda spark, sf: preview(
             with_order(table(spark, sf, "orders").drop("o_orderdate"), ["o_orderkey"]), 900, ["o_totalprice"], [True]
         ).drop("__row_order"),
-        "select * exclude (o_orderdate) from orders order by o_totalprice desc, o_orderkey limit 500",
+        "select * exclude (o_orderdate) from orders order by o_totalprice desc, o_orderkey limit 900",
     ),
 }

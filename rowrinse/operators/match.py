@@ -8,9 +8,8 @@ from __future__ import annotations
 
 import functools
 import operator
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,18 +17,11 @@ from pyspark.sql import types as T
 
 from rowrinse.functions.text import blank, col, strip
 
-try:
-    import ahocorasick
-except ImportError:
-    ahocorasick = None
-
 # A list this short is cheaper as a literal set in the filter than as a join.
 LITERAL_KEYS = 200
 # Up to here each key is one native substring test in generated code.
 LITERAL_PATTERNS = 16
-# Text of a key list that every task may hold; a longer list goes through the shuffle.
-AUTOMATON_CHARS = 4 * 1024 * 1024
-GRAM = 5
+GRAM = 8
 
 _KEY = "__key"
 
@@ -57,7 +49,7 @@ def match_keys(
     if column not in df.columns or keys is None:
         return df
     keys = clean_keys(keys)
-    if not isinstance(keys, DataFrame) and not keys:
+    if keys.isEmpty() if isinstance(keys, DataFrame) else not keys:
         return df
     keep = mode.lower() == "keep"
     text = col(column).cast("string")
@@ -87,73 +79,33 @@ def _by_join(df: DataFrame, text: Column, keys: DataFrame, keep: bool) -> DataFr
 
 
 def _contains(df: DataFrame, text: Column, keys: Sequence[str] | DataFrame, keep: bool) -> DataFrame:
-    """Substring match: native tests, then one automaton pass, then a gram join."""
-    if isinstance(keys, DataFrame):
-        size = keys.agg(F.sum(F.length(_KEY))).first()[0] or 0
-        if size <= AUTOMATON_CHARS:
-            keys = [r[0] for r in keys.collect()]  # no more text than checked above
-            if not keys:
-                return df
-    if not isinstance(keys, DataFrame):
-        if len(keys) <= LITERAL_PATTERNS:
-            found = functools.reduce(operator.or_, [text.contains(k) for k in keys])
-            return df.filter(found if keep else ~found)
-        if ahocorasick is not None and sum(map(len, keys)) <= AUTOMATON_CHARS:
-            found = _automaton(keys)(text)
-            return df.filter(text.isNotNull()).filter(found if keep else ~found)
+    """Substring match: a native test for each key of a short list, one join for any other."""
+    if not isinstance(keys, DataFrame) and len(keys) <= LITERAL_PATTERNS:
+        found = functools.reduce(operator.or_, [text.contains(k) for k in keys])
+        return df.filter(found if keep else ~found)
     return contains_by_grams(df, text, _as_table(df, keys), keep)
 
 
-def _automaton(keys: Sequence[str]):
-    """All keys searched for in one pass over each text, a batch of rows at a time."""
-    words = list(keys)
-
-    @F.pandas_udf(T.BooleanType())
-    def holds_any(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for word in words:
-            automaton.add_word(word, 1)
-        automaton.make_automaton()
-        for batch in batches:
-            yield batch.map(lambda t: t is not None and next(automaton.iter(t), None) is not None).astype(bool)
-
-    return holds_any
-
-
 def contains_by_grams(df: DataFrame, text: Column, keys: DataFrame, keep: bool, gram: int = GRAM) -> DataFrame:
-    """Substring match for a key list of any length, as equi-joins.
-
-    Each key is filed under the gram of its own that the fewest keys share (a
-    short key under itself). A text can only hold the key if it has that gram,
-    so distinct texts semi-join the keys on the gram with the substring test
-    as the remaining condition: no pair of text and key is ever emitted.
+    """Substring match for a key list of any length, as an equi-join.
+
+    Each key is filed under its first ``gram`` characters (a short key under
+    itself). From every place of a text goes one row for each such length:
+    the text's digest and a window no longer than the longest key. It joins
+    the keys whose start it shares if it starts with one of them. So what is
+    shuffled grows with the text's length, and no pair of text and key is
+    emitted. Rows are matched by the digest, not by the text.
     """
-    keys = keys.select(F.col(_KEY), F.least(F.length(_KEY), F.lit(gram)).alias("__len"))
-    lengths = [r[0] for r in keys.select("__len").distinct().collect()]  # at most ``gram`` numbers
-    grams = keys.select(_KEY, "__len", F.explode(_grams(F.col(_KEY), lengths, F.col("__len"))).alias("__gram"))
-    shared = grams.groupBy("__gram").agg(F.count(F.lit(1)).alias("__n"))
-    filed = (
-        grams.join(shared, "__gram")
-        .groupBy(_KEY)
-        .agg(F.min(F.struct("__n", "__gram")).alias("__best"))
-        .select(_KEY, F.col("__best.__gram").alias("__gram"))
-    )
-    texts = df.select(text.alias("__text")).filter(F.col("__text").isNotNull()).distinct()
-    pieces = texts.select("__text", F.explode(_grams(F.col("__text"), lengths)).alias("__piece"))
-    matched = (
-        pieces.join(filed, (F.col("__piece") == F.col("__gram")) & F.contains(F.col("__text"), F.col(_KEY)), "left_semi")
-        .select(F.col("__text").alias(_KEY))
-        .distinct()
-    )
-    return _by_join(df, text, matched, keep)
-
-
-def _grams(c: Column, lengths: Sequence[int], only: Column | None = None) -> Column:
-    """Distinct substrings of the given lengths, or of the row's own length ``only``."""
-    arrays = []
-    for n in sorted(lengths):
-        found = F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-        arrays.append(found if only is None else F.when(only == n, found).otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(F.concat(*arrays) if len(arrays) > 1 else arrays[0])
+    keys = keys.select(_KEY, F.least(F.length(_KEY), F.lit(gram)).alias("__len"))
+    filed = keys.select(F.col(_KEY).alias("__find"), F.substring(F.col(_KEY), F.lit(1), F.col("__len")).alias("__gram"))
+    widths = keys.agg(F.array_sort(F.collect_set("__len")), F.max(F.length(_KEY))).first()  # at most ``gram`` numbers
+    lengths, longest = widths[0], widths[1] or 1
+    digest = F.md5(text)
+    texts = df.select(text.alias("__text")).filter(F.col("__text").isNotNull()).select(
+        F.md5("__text").alias("__id"), F.regexp_extract_all("__text", F.lit(f"(?s)(?=(.{{1,{longest}}}))"), F.lit(1)).alias("__w"))
+    windows = texts.select("__id", F.explode("__w").alias("__window"))
+    starts = F.array(*[F.when(F.length("__window") >= n, F.substring(F.col("__window"), 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>")
+    pieces = windows.select("__id", "__window", F.explode(starts).alias("__piece")).filter("__piece is not null")
+    same = (F.col("__piece") == F.col("__gram")) & F.col("__window").startswith(F.col("__find"))
+    matched = pieces.join(filed, same, "left_semi").select(F.col("__id").alias(_KEY)).distinct()
+    return _by_join(df, digest, matched, keep)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import functools
+import math
 import operator
 from collections.abc import Callable, Mapping, Sequence
+from decimal import Decimal, InvalidOperation
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowrinse.functions.labels import BLANK_LABEL
 from rowrinse.functions.text import blank, col, is_number, is_text, parse_number
@@ -59,6 +62,24 @@ _TEXT: dict[str, Callable[[Column, str], Column]] = {
 }
 
 
+def _compare_integers(c: Column, op: str, val: Any) -> Column:
+    """Compare without leaving the integers: exact for every value, and pushed down to the scan."""
+    try:
+        number = Decimal(str(val).strip())
+    except InvalidOperation:
+        number = Decimal(as_number(val))
+    top, bottom = number.is_nan() or number >= 2**63, not number.is_nan() and number < -(2**63)
+    if top or bottom:
+        always = op == "!=" or op in (("<", "<=") if top else (">", ">="))
+        return c.isNotNull() if always else F.lit(False)
+    floor = math.floor(number)
+    if floor == number:
+        return _COMPARE[op](c, F.lit(floor))
+    if op in ("=", "!="):
+        return c.isNotNull() if op == "!=" else F.lit(False)
+    return c > F.lit(floor) if op in (">", ">=") else c <= F.lit(floor)
+
+
 def rule_condition(df: DataFrame, column: str | None, op: str | None, val: Any = None) -> Column | None:
     """One rule as a condition, or None where the rule does not apply."""
     types = _types(df)
@@ -78,6 +99,8 @@ def rule_condition(df: DataFrame, column: str | None, op: str | None, val: Any =
     number = as_number(val)
     if number is None:
         return None
+    if isinstance(dtype, T.IntegralType):
+        return _compare_integers(c, op, val)
     left = c if is_number(dtype) else parse_number(c) if is_text(dtype) else c.try_cast("double")
     return _COMPARE[op](left, F.lit(number))
 

@@ -17,9 +17,7 @@ from rowrinse.session import stage
 
 # Sizes of the samples and reports.
 SAMPLE_VALUES = 4
-NUMERIC_SAMPLE = 20
 NUMERIC_SHARE = 0.6
-DISTINCT_LIMIT = 500
 
 # Up to here each column is counted in a branch of its own.
 BRANCH_COLUMNS = 64
@@ -220,43 +218,41 @@ def sample_values(df: DataFrame, n: int = SAMPLE_VALUES, order_by: Sequence[str]
     )
 
 
-def numeric_likeness(df: DataFrame, order_by: Sequence[str] | None = None) -> DataFrame:
-    """How far each text column looks like amounts, by its first non-null values.
+def numeric_likeness(df: DataFrame) -> DataFrame:
+    """How far each text column looks like amounts, by all its non-null values, in one aggregate.
 
-    A column is a candidate where enough of the sample reads as a number, or
-    where its name speaks of money and at least one value does.
+    A column is a candidate where enough of them read as a number, or where
+    its name speaks of money and all of them do that are not blank.
     """
     names = [c for c in data_columns(df) if is_text(_types(df)[c])]
+    empty = "column string, sampled bigint, numeric bigint, numeric_share double, candidate boolean"
     if not names:
-        return df.sparkSession.createDataFrame(
-            [], "column string, sampled bigint, numeric bigint, numeric_share double, candidate boolean"
-        )
-    found = first_values(with_order(df, order_by), names, NUMERIC_SAMPLE, lambda c, t: c.isNotNull())
-    hinted = [c for c in names if looks_like_money(c)]
+        return df.sparkSession.createDataFrame([], empty)
+    cells = [
+        F.struct(
+            F.lit(c).alias("column"), F.count(col(c)).alias("sampled"), F.count_if(amount(col(c)).isNotNull()).alias("numeric"),
+            F.count_if(~blank(col(c), T.StringType())).alias("__filled"), F.lit(looks_like_money(c)).alias("__money"))
+        for c in names
+    ]
+    found = df.agg(F.array(*cells).alias("__c")).select(F.explode("__c").alias("__c")).select("__c.*").filter("sampled > 0")
     share = F.col("numeric") / F.col("sampled")
-    return (
-        found.groupBy("column")
-        .agg(F.count(F.lit(1)).alias("sampled"), F.count_if(amount(F.col("value")).isNotNull()).alias("numeric"))
-        .withColumn("numeric_share", share)
-        .withColumn(
-            "candidate",
-            (F.col("numeric_share") >= NUMERIC_SHARE)
-            | ((F.col("numeric") > 0) & (F.col("column").isin(*hinted) if hinted else F.lit(False))),
-        )
-    )
+    every = (F.col("numeric") > 0) & (F.col("numeric") == F.col("__filled"))
+    return found.select(
+        "column", "sampled", "numeric", share.alias("numeric_share"),
+        ((share >= NUMERIC_SHARE) | (F.col("__money") & every)).alias("candidate"))
 
 
-def value_counts(df: DataFrame, column: str, limit: int = DISTINCT_LIMIT) -> DataFrame:
-    """The most frequent values; the label is trimmed after counting, ties go by value."""
+def value_counts(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
+    """The values by frequency, all or the first ``limit``; the label is trimmed after counting, ties go by value."""
     if column not in df.columns:
         return df.sparkSession.createDataFrame([], "value string, display string, count bigint")
     text = F.col("__v").cast("string")
     is_blank = blank(text, T.StringType())
+    counted = (
+        df.groupBy(col(column).alias("__v")).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), F.asc_nulls_first("__v"))
+    )
     return (
-        df.groupBy(col(column).alias("__v"))
-        .agg(F.count(F.lit(1)).alias("count"))
-        .orderBy(F.desc("count"), F.asc_nulls_first("__v"))
-        .limit(limit)
+        (counted if limit is None else counted.limit(limit))
         .select(F.when(is_blank, "").otherwise(strip(text)).alias("value"), blank_label(F.col("__v")).alias("display"), "count")
     )
 

@@ -127,7 +127,7 @@ def clean_amounts(df: DataFrame, columns: Sequence[str] | None = None, order_by:
     if columns:
         targets = {c for c in columns if c in types and is_text(types[c])}
     else:
-        likeness = numeric_likeness(df, order_by)
+        likeness = numeric_likeness(df)
         targets = {r["column"] for r in likeness.filter("candidate").select("column").collect()}  # one row per column
     return df.select(*[amount(col(c)).alias(c) if c in targets else col(c) for c in df.columns])
 

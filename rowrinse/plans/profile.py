@@ -21,10 +21,8 @@ from rowrinse.operators.summary import (
 from rowrinse.options import CleaningOptions
 from rowrinse.plans.clean import clean
 
-# Rows in a preview, at most, and in a report.
+# Rows in a preview unless the caller says otherwise.
 PREVIEW_ROWS = 100
-PREVIEW_ROWS_MAX = 500
-REPORT_ROWS = 15_000
 
 
 @dataclasses.dataclass(frozen=True)
@@ -53,7 +51,7 @@ def preview(
     descending: Sequence[bool] | None = None,
 ) -> DataFrame:
     """The first rows with cells that JSON can carry."""
-    top = head_rows(df, min(n, PREVIEW_ROWS_MAX), sort_by, descending)
+    top = head_rows(df, n, sort_by, descending)
     return top.select(
         *[col(f.name) if f.name == ORDER else safe_cell(col(f.name), f.dataType).alias(f.name) for f in top.schema.fields]
     )
@@ -68,27 +66,23 @@ def clean_and_preview(
 ) -> tuple[DataFrame, DataFrame]:
     """The preview of a cleaned table, and the change in rows and columns."""
     cleaned = clean(df, options, order_by, match_list)
-    shown = cleaned.limit(min(n, PREVIEW_ROWS_MAX))
+    shown = cleaned.limit(n)
     shown = shown.select(*[safe_cell(col(f.name), f.dataType).alias(f.name) for f in shown.schema.fields])
     return shown, before_after(df, cleaned)
 
 
 def report_extract(
-    df: DataFrame, max_rows: int = REPORT_ROWS, order_by: Sequence[str] | None = None
+    df: DataFrame, max_rows: int | None = None, order_by: Sequence[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """The first rows as text for a report, and one row that says how much of the table they are."""
-    top = first_rows(with_order(df, order_by), max_rows)
+    """All or the first rows as text for a report, and one row that says how many of the table they are."""
+    ordered = with_order(df, order_by)
+    top = ordered.orderBy(ORDER) if max_rows is None else first_rows(ordered, max_rows)
     cells = top.select(
         *[report_cell(col(f.name), f.dataType).alias(f.name) for f in top.schema.fields if f.name != ORDER]
     )
-    total = F.format_number(F.col("total_rows"), 0)
-    cut = F.concat(
-        F.lit(f"Showing first {max_rows:,} rows of "), total, F.lit(" total rows for instant in-browser viewing.")
-    )
-    meta = table_shape(df).withColumn(
-        "message",
-        F.when(F.col("total_rows") > max_rows, cut).otherwise(F.concat(F.lit("All "), total, F.lit(" rows loaded."))),
-    )
+    limit = F.col("total_rows") if max_rows is None else F.lit(max_rows).cast("bigint")
+    shown = F.least(F.col("total_rows"), limit)
+    meta = table_shape(df).withColumns({"shown_rows": shown, "truncated": F.col("total_rows") > shown})
     return cells, meta
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,16 +35,13 @@ def build_session(app: str = "rowrinse", master: str | None = None, **conf: str)
 def scratch_path(spark: SparkSession) -> str:
     """A fresh path under the session's shared checkpoint folder.
 
-    A machine-local folder is used only where no checkpoint folder is set and
-    the session runs in one process, as in tests.
+    Where none is set, as in tests, it is a path under the warehouse, which is
+    shared as well.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="rowrinse-")
-        context.setCheckpointDir(root)
+        root = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "scratch")
     return os.path.join(root, f"rowrinse-{uuid.uuid4().hex}")
 
 

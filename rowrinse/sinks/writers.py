@@ -76,7 +76,8 @@ def write_segments(
     """Write in row order as sheets of bounded length, one folder per sheet.
 
     A table within ``sheet_rows`` is one sheet; a longer one is cut every
-    ``segment_rows`` rows.
+    ``segment_rows`` rows. The folders are named by a column ``sheet``, with a
+    number where the table has one of that name.
     """
     ordered = with_order(df, order_by)
     keys = sort_keys(ordered, sort_by, descending) or [F.col(ORDER).asc()]
@@ -88,11 +89,20 @@ def write_segments(
     else:
         number = F.floor(F.col("__index") / segment_rows) + 1
         sheet = F.concat(F.lit(SEGMENT_NAME.format("")), number.cast("string"))
-    rows = in_index_order(indexed.withColumn("sheet", sheet), ["sheet"], segment_rows, total)
-    write_table(rows.drop("__index", ORDER, BLOCK, SLOT), path, fmt, partition_by=["sheet"])
+    folder = free_name(df, "sheet")
+    rows = in_index_order(indexed.withColumn(folder, sheet), [folder], segment_rows, total)
+    write_table(rows.drop("__index", ORDER, BLOCK, SLOT), path, fmt, partition_by=[folder])
     return {"rows": total, "sheets": 1 if total <= sheet_rows else -(-total // segment_rows)}
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with a number where the table has such a column: folder columns never replace data."""
+    taken, free, n = {c.lower() for c in df.columns}, name, 1
+    while free.lower() in taken:
+        free, n = f"{name}_{n}", n + 1
+    return free
+
+
 def in_index_order(df: DataFrame, units: Sequence[str], rows_per_part: int, total: int) -> DataFrame:
     """Lay rows out so that file order is ``__index`` order, ``rows_per_part`` rows to a task."""
     part = F.floor(F.col("__index") / rows_per_part).cast("int")

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import csv
+import io
 import os
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +14,8 @@ from pyspark.sql import types as T
 from rowrinse.functions.text import col, parse_number
 from rowrinse.operators.ordering import ORDER, with_order
 
-# Separators to try, rows that types are judged by, name of a missing header.
+# Separators to try, name of a missing header.
 SEPARATORS = (",", ";", "\t", "|")
-INFER_ROWS = 10_000
 MISSING_HEADER = "col_{}"
 
 _SNIFF_LINES = 50
@@ -79,13 +78,18 @@ def has_quoted_breaks(spark: SparkSession, path: str) -> bool:
     return not spark.read.text(path).filter(odd % 2 == 1).limit(1).isEmpty()
 
 
-def infer_type(values: Sequence[str | None]) -> T.DataType:
-    """Integer, decimal or boolean where every value reads as one; text otherwise."""
-    present = [v for v in values if v is not None]
-    for pattern, dtype in ((_INTEGER, T.LongType()), (_DECIMAL, T.DoubleType()), (_BOOLEAN, T.BooleanType())):
-        if present and all(re.match(pattern, v) for v in present):
-            return dtype
-    return T.StringType()
+def infer_types(df: DataFrame, names: Sequence[str]) -> list[T.DataType]:
+    """Per column: integer, decimal or boolean where every cell reads as one, else text; one aggregate over all rows."""
+    kinds = ((_INTEGER, T.LongType()), (_DECIMAL, T.DoubleType()), (_BOOLEAN, T.BooleanType()))
+    counts = []
+    for i, name in enumerate(names):
+        counts.append(F.count(col(name)).alias(f"n{i}"))
+        counts += [F.count_if(~col(name).rlike(pattern)).alias(f"odd{i}_{k}") for k, (pattern, _) in enumerate(kinds)]
+    row = df.agg(*counts).first()
+    return [
+        next((t for k, (_, t) in enumerate(kinds) if row[f"n{i}"] and not row[f"odd{i}_{k}"]), T.StringType())
+        for i in range(len(names))
+    ]
 
 
 def read_delimited(
@@ -99,9 +103,9 @@ def read_delimited(
 ) -> DataFrame:
     """Read delimited text with a header line.
 
-    Without ``sep`` it is found from the first lines. Types are judged by the
-    first rows; later cells that do not fit become null, surplus fields are
-    cut and short rows filled up. ``multi_line=None`` looks for records that
+    Without ``sep`` it is found from the first lines. Types are judged by all
+    cells, so none is lost; surplus fields are cut and short rows filled up.
+    The header is a record and may span lines. ``multi_line=None`` looks for records that
     span lines, which costs one pass over the text; such files cannot be split
     among tasks, so pass False where it is known that there are none.
     ``schema`` skips the header, the types and their reading.
@@ -110,7 +114,8 @@ def read_delimited(
     if not lines:
         raise ValueError(f"no header line in {path}")
     sep = sep or sniff_separator(lines)
-    names = schema.names if schema else repair_header(next(csv.reader(lines[:1], delimiter=sep)))
+    header = next(csv.reader(io.StringIO("\n".join(lines) + "\n"), delimiter=sep))
+    names = schema.names if schema else repair_header(header)
     if multi_line is None:
         multi_line = has_quoted_breaks(spark, path)
     text = T.StructType([T.StructField(n, T.StringType()) for n in names])
@@ -122,8 +127,7 @@ def read_delimited(
     if schema:
         types = [f.dataType for f in schema.fields]
     elif infer:
-        sample = df.select(*[col(n) for n in names]).take(INFER_ROWS)
-        types = [infer_type([row[i] for row in sample]) for i in range(len(names))]
+        types = infer_types(df, names)
     else:
         types = [T.StringType()] * len(names)
     cells = [

@@ -73,8 +73,7 @@ def test_more_than_500_substrings_all_count(spark):
 
 
 @pytest.mark.parametrize("mode", ["keep", "exclude"])
-def test_gram_join_against_brute_force(spark, table, monkeypatch, mode):
-    monkeypatch.setattr(match, "AUTOMATON_CHARS", 0)
+def test_gram_join_against_brute_force(spark, table, mode):
     keys = spark.createDataFrame([(k,) for k in KEYS], "k string")
     assert ids(match.match_keys(table, "t", keys, mode, "contains")) == brute(KEYS, mode == "keep", "contains")
 
@@ -89,3 +88,10 @@ def test_gram_join_property(spark, texts, keys):
     table = spark.createDataFrame([(k,) for k in keys], "__key string")
     kept = match.contains_by_grams(df, F.col("t"), table, True, gram=3)
     assert ids(kept) == [i for i, t in enumerate(texts) if any(k in t for k in keys)]
+
+
+@pytest.mark.parametrize("how", ["exact", "case_insensitive", "contains"])
+@pytest.mark.parametrize("mode", ["keep", "exclude"])
+def test_an_empty_key_table_changes_nothing(spark, table, how, mode):
+    none = spark.createDataFrame([(" ",), (None,)], "k string")
+    assert match.match_keys(table, "t", none, mode, how).count() == len(TEXTS)
