@@ -22,22 +22,38 @@ QUERIES = 512
 GROUP_ROWS = 40_000
 
 
-def fingerprint(text: str, shingle: int = 4) -> int:
-    """Majority bits over the XXH64 (seed 42) of all word shingles; zero for a text without words."""
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 65536):
+        part = hashes[at : at + 65536]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int((np.uint64(1) << np.flatnonzero(2 * ones > len(hashes)).astype(np.uint64)).sum(dtype=np.uint64))
+
+
+def shingles_of(text: str, shingle: int) -> list[memoryview]:
+    """All word shingles, A-Z in lower case, joined by single spaces; the whole sequence where it is shorter."""
     words = text.encode().lower().split()  # of bytes: A-Z and the six ASCII separators only
     if not words:
-        return 0
-    joined = b" ".join(words)
+        return []
+    joined = memoryview(b" ".join(words))
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     width = min(shingle, len(words))
     starts = np.r_[0, ends[:-1] + 1][: len(words) - width + 1].tolist()
+    return [joined[s:e] for s, e in zip(starts, ends[width - 1 :].tolist())]
+
+
+def fingerprint(text: str, shingle: int = 4) -> int:
+    """Majority bits over the XXH64 (seed 42) of all word shingles; zero for a text without words."""
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], 42) for s, e in zip(starts, ends[width - 1 :].tolist())], np.uint64)
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 65536):
-        part = hashes[at : at + 65536]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int((np.uint64(1) << np.flatnonzero(2 * ones > len(hashes)).astype(np.uint64)).sum(dtype=np.uint64))
+    return majority(np.array([digest(s, 42) for s in shingles_of(text, shingle)], np.uint64))
+
+
+def wide_fingerprint(text: str, shingle: int) -> tuple[int, int]:
+    """Two fingerprints from the halves of 128-bit hashes."""
+    digest = xxhash.xxh3_128_digest
+    both = np.frombuffer(b"".join([digest(s) for s in shingles_of(text, shingle)]), np.uint64).reshape(-1, 2)
+    return majority(np.ascontiguousarray(both[:, 0])), majority(np.ascontiguousarray(both[:, 1]))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -129,9 +145,10 @@ def sampled_blocks(n: int) -> list[tuple[int, ...]]:
 
 
 def near_links(values: DataFrame, n: int, radius: int, masks: list[int] | None = None) -> DataFrame:
-    """Links (a, b) that connect the distinct values ``fp`` that agree in a mask and are within ``radius``.
+    """Links (a, b) that connect the rows (node, fp, more) whose ``fp`` agree in a mask and are within ``radius``.
 
-    The default masks miss no two values within the radius.
+    The default masks miss no two values within the radius. ``more`` is null
+    or a second fingerprint; both together may then differ in twice the radius.
 
     Within a block of a shard, the links are those from each member to the
     smallest one it is connected to: as good as all of them for components.
@@ -139,12 +156,14 @@ def near_links(values: DataFrame, n: int, radius: int, masks: list[int] | None =
     spark = values.sparkSession
     masks = [m - (1 << 64) if m >> 63 else m for m in masks or bit_blocks(n, radius)]
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
-    keyed = values.select(F.explode(keys).alias("key"), "fp")
-    blocks = block_pairs(keyed, "key", "fp", SHARD).select("block", "fp", "left", "right")
+    keyed = values.select(F.explode(keys).alias("key"), "node", "fp", "more")
+    blocks = block_pairs(keyed, "key", "node", SHARD).select("block", "node", "fp", "more", "left", "right")
     tasks = partitions(spark, n * len(masks), GROUP_ROWS)
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["block", "fp"]).sort_values(["block", "fp"], ignore_index=True)
+        rows = rows.drop_duplicates(["block", "node"]).sort_values(["block", "node"], ignore_index=True)
+        node_of, wide = rows["node"].to_numpy(), rows["more"].notna().all()
+        more = rows["more"].to_numpy().astype(np.int64).view(np.uint64) if wide else None
         fp, block = rows["fp"].to_numpy().view(np.uint64), rows["block"].to_numpy()
         tree_rows = np.flatnonzero(rows["right"].to_numpy())
         forest = Forest(block[tree_rows], fp[tree_rows])
@@ -157,9 +176,13 @@ def near_links(values: DataFrame, n: int, radius: int, masks: list[int] | None =
         for at in range(0, len(asks), QUERIES):
             part = asks[at : at + QUERIES]
             for who, node in forest.within(fp[part], root[at : at + QUERIES], radius):
+                if wide:
+                    a, b = part[who], tree_rows[node]
+                    near = distance(fp[a], fp[b]) + distance(more[a], more[b]) <= 2 * radius
+                    who, node = who[near], node[near]
                 label = local_components(len(rows), part[who], tree_rows[node], label)
         moved = np.flatnonzero(label != np.arange(len(rows)))
-        return pd.DataFrame({"a": fp[moved].view(np.int64), "b": fp[label[moved]].view(np.int64)})
+        return pd.DataFrame({"a": node_of[moved], "b": node_of[label[moved]]})
 
     return (
         blocks.withColumn("task", F.pmod(F.col("block"), F.lit(tasks)).cast("int"))
@@ -181,7 +204,7 @@ def near_duplicates(
     stages = Stages(spark)
     marked = stages(fingerprints(docs, id_col, text_col, shingle))
     values = stages(marked.groupBy("fp").agg(F.min("id").alias("first")))
-    links = stages(near_links(values.select("fp"), values.count(), radius))
+    links = stages(near_links(values.select(F.col("fp").alias("node"), "fp", F.lit(None).cast("bigint").alias("more")), values.count(), radius))
     reached = components(links, stages)
     joined = values.join(reached, values["fp"] == reached["node"], "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("root"))
@@ -199,16 +222,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def shingles(text: str, shingle: int) -> np.ndarray:
-    """The sorted distinct hashes of the word shingles, of the whole sequence where it is shorter."""
-    words = text.encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    width = min(shingle, len(words))
-    starts = np.r_[0, ends[:-1] + 1][: len(words) - width + 1].tolist()
+    """The sorted distinct hashes of the word shingles."""
     digest = xxhash.xxh3_64_intdigest
-    return np.unique(np.array([digest(joined[s:e]) for s, e in zip(starts, ends[width - 1 :].tolist())], np.uint64))
+    return np.unique(np.array([digest(s) for s in shingles_of(text, shingle)], np.uint64))
 
 
 def similar_documents(
@@ -216,7 +232,8 @@ def similar_documents(
 ) -> DataFrame:
     """Rows (text_hash, component): texts chained by a Jaccard similarity of word shingles of ``similarity`` or more.
 
-    Fingerprints within ``radius`` bits propose groups, through BK-trees;
+    Fingerprints of twice 64 bits within twice ``radius`` propose groups,
+    through BK-trees over the first half, so that chance proposes almost none;
     inside a proposed group, in blocks of shards, similarities are computed
     exactly. ``component`` is the smallest id of the chain. Equal texts are
     one text; texts without words are similar to each other.
@@ -225,20 +242,19 @@ def similar_documents(
     stages = Stages(spark)
     key = docs.select(quoted(id_col).cast("bigint").alias("id"), text_of(docs, text_col).alias("text"))
     key = key.select("id", "text", F.xxhash64("text").alias("text_hash"))
-    schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64()), ("more", pa.int64())])
 
     def mark(batch):
-        found = [fingerprint(t, shingle) for t in batch["text"].to_pylist()]
-        return {"id": batch["id"], "text_hash": batch["text_hash"], "fp": np.array(found, np.uint64).view(np.int64)}
+        found = np.array([wide_fingerprint(t, shingle) for t in batch["text"].to_pylist()], np.uint64).reshape(-1, 2).view(np.int64)
+        return {"id": batch["id"], "text_hash": batch["text_hash"], "fp": found[:, 0], "more": found[:, 1]}
 
-    marked = key.mapInArrow(per_batch(mark, schema), "id bigint, text_hash bigint, fp bigint")
-    texts = stages(marked.groupBy("text_hash", "fp").agg(F.min("id").alias("first")))
-    values = stages(texts.select("fp").distinct())
-    n = values.count()
-    links = stages(near_links(values, n, radius, sampled_blocks(n)))
+    marked = key.mapInArrow(per_batch(mark, schema), "id bigint, text_hash bigint, fp bigint, more bigint")
+    texts = stages(marked.groupBy("text_hash", "fp", "more").agg(F.min("id").alias("first")))
+    n = texts.count()
+    links = stages(near_links(texts.withColumnRenamed("text_hash", "node"), n, radius, sampled_blocks(n)))
     groups = components(links, stages)
-    proposed = texts.join(groups, texts["fp"] == groups["node"], "left").select(
-        "text_hash", "first", F.coalesce("component", "fp").alias("group"))
+    proposed = texts.join(groups, texts["text_hash"] == groups["node"], "left").select(
+        "text_hash", "first", F.coalesce("component", "text_hash").alias("group"))
     proposed = stages(proposed)
     blocks = stages(block_pairs(proposed.select("group", "text_hash"), "group", "text_hash", 128).select("block", "text_hash", "left", "right"))
     wanted = blocks.select("text_hash").distinct()
