@@ -1,13 +1,14 @@
 """Token ids in a compressed binary file format.
 
-A text's ids come from a BPE tokenizer, word by word: a word is looked up once.
+A text's ids come from a BPE tokenizer; a piece between white space is looked up once.
 A file holds the ids of a range of documents in order, cut into blocks that
 each start afresh and carry a checksum. In a block, three predictions are made
 of the next id: the one that last followed the two ids before (order 2), the
 one that last followed the id before (order 1), and the block's commonest of
 late (order 0). The counts of which of them came true, each kept under its
 confidence, are mixed into the odds that drive a range coder. An id that none
-foresaw is coded by its class, with the block's counts, and its place in it.
+foresaw is coded by its class, with the block's counts of four groups and the
+four classes of each, and its place in it.
 
 All blocks of a file are coded side by side, so that each step is a few array
 operations over blocks and not a Python loop over ids.
@@ -23,6 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -34,14 +36,21 @@ from rowrinse.llm.pieces import roomy
 MAGIC = b"IDRANGE1"
 BLOCK = 2048
 END = 1
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 SLOTS = 2048
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-z0-9ªµºß-öø-ÿ²³¹¼½¾]+")
-UNUSUAL = re.compile("<\\||[\x1c-\x1f\x85]")
-FULL, LEAST, WORD_BITS = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(16)
-LOW = np.uint64((1 << 48) - 1)
-# Ids by classes of growing width: 16 classes over ids up to 2^17.
+# Texts that are not looked up by pieces: beyond Latin-1, special tokens, separators that the libraries see otherwise.
+UNUSUAL = r"<\||[\x1c-\x1f\x{85}]|[^\x{00}-\x{ff}]"
+FULL, LEAST, FIELD = (np.uint64(v) for v in ((1 << 64) - 1, 1 << 48, 0xFFFF))
+ONE, TWO, FOUR, WORD_BITS, FIRST, TOP, LAST_FIELD = (np.uint64(v) for v in (1, 2, 4, 16, 16, 48, 48))
+ONES = np.uint64(0x0001_0001_0001_0001)
+# What a count gains: seven times a block's gains, mixed, stay below 2^16. An event, a group, a class and a place take
+# 2^40 of the range at most, since what is rare among the events or groups has had few classes counted.
+GAIN, MORE = np.uint64(4), np.uint64(1)
+# Ids by classes of growing width: 16 classes, in four groups, over ids up to 2^17.
 EDGES = np.r_[0, np.round(2 ** np.linspace(8, 17, 16))].astype(np.int64)
+WIDTHS = np.diff(EDGES).astype(np.uint64)
+KIND = np.repeat(np.arange(16), np.diff(EDGES))
 
 
 def default_tokenizer() -> str:
@@ -51,100 +60,123 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of texts, equal to those of the tokenizers library for the whole text."""
+    """Ids of texts, equal to those of the tokenizers library for the whole text.
+
+    No word of the tokenizer spans white space, so a text is cut there first and
+    each different piece of a batch is cut into words, and looked up, once.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.number: dict[str, int] = {}
+        self.word: dict[str, list[int]] = {}
         self.stored, self.store, self.store_at = 0, np.zeros(1 << 20, np.uint32), np.zeros((2, 1 << 18), np.int64)
 
-    def plain(self, text: str) -> bool:
-        """Whether the words of a text can be looked up apart: Latin-1, nothing special, no separator that the libraries see otherwise."""
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return False
-        return not UNUSUAL.search(text)
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts by the library alone, and the number of each text's."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(counts.sum())), counts
 
-    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, an end id after each text, and the number of each text's."""
-        if len(self.number) > REMEMBERED:
+    def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each piece start in ``store``, and how many they are."""
+        if len(self.number) > REMEMBERED or self.stored > 16 * REMEMBERED:
             self.number, self.stored = {}, 0
-        number, known = self.number, len(self.number)
-        seen, per_text, apart = [], [], []
-        for k, text in enumerate(texts):
-            words = []
-            if self.plain(text):
-                words = WORD.findall(text.lower())
-                seen += [number.setdefault(w, len(number)) for w in words]
-            else:
-                apart.append(k)
-            per_text.append(len(words))
-        new = list(itertools.islice(reversed(number), len(number) - known))[::-1]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        if len(self.word) > REMEMBERED:
+            self.word = {}
+        number, known, word = self.number, len(self.number), self.word
+        at = np.fromiter([number.setdefault(p, len(number)) for p in pieces], np.int64, len(pieces))
+        words = [WORD.findall(p.lower()) for p in itertools.islice(number, known, None)]
+        unseen = list({w for found in words for w in found if w not in word})
+        for w, e in zip(unseen, self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False)):
+            word[w] = e.ids
+        found = [word[f[0]] if len(f) == 1 else [i for w in f for i in word[w]] for f in words]
         counts = np.fromiter(map(len, found), np.int64, len(found))
         total = int(counts.sum())
         self.store, self.store_at = roomy(self.store, self.stored + total), roomy(self.store_at, len(number))
-        self.store[self.stored : self.stored + total] = list(itertools.chain.from_iterable(found))
+        self.store[self.stored : self.stored + total] = np.fromiter(itertools.chain.from_iterable(found), np.uint32, total)
         self.store_at[:, known : len(number)] = self.stored + np.cumsum(counts) - counts, counts
         self.stored += total
-        starts, counts = self.store_at[:, np.array(seen, np.int64)]
-        ids = self.store[spread(starts, counts)[1]]
-        bounds = np.r_[0, np.cumsum(counts)][np.r_[0, np.cumsum(per_text)].astype(np.int64)]
-        parts = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
-        for k, e in zip(apart, self.tokenizer.encode_batch_fast([texts[k] for k in apart], add_special_tokens=False)):
-            parts[k] = np.array(e.ids, np.uint32)
-        end = np.array([END], np.uint32)
-        sizes = np.array([len(p) + 1 for p in parts], np.int64)
-        return np.concatenate([x for p in parts for x in (p, end)]) if parts else np.zeros(0, np.uint32), sizes
+        return self.store_at[0].take(at), self.store_at[1].take(at)
+
+    def encode_all(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, an end id after each text, and the number of each text's."""
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        apart = np.asarray(pc.match_substring_regex(texts, UNUSUAL), bool)
+        if apart.any():
+            texts, odd = pc.if_else(pa.array(apart), "", texts), texts.filter(pa.array(apart)).to_pylist()
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        starts, counts = self.pieces(coded.dictionary.to_pylist())
+        at = np.asarray(coded.indices)
+        starts, counts = starts.take(at), counts.take(at)
+        ends = np.r_[0, np.cumsum(counts)]
+        from_here = starts - ends[:-1]
+        ids = self.store.take(np.arange(ends[-1]) + np.repeat(from_here, counts))
+        cuts = ends.take(np.r_[0, np.cumsum(np.asarray(lists.value_lengths()))])
+        sizes = np.diff(cuts)
+        if apart.any():
+            more, sizes[apart] = self.whole(odd)
+            both, at_more = [], np.r_[0, np.cumsum(sizes[apart])]
+            k = 0
+            for j, alone in enumerate(apart.tolist()):
+                both.append(more[at_more[k] : at_more[k + 1]] if alone else ids[cuts[j] : cuts[j + 1]])
+                k += alone
+            ids = np.concatenate(both)
+        out = np.full(len(ids) + len(sizes), END, np.uint32)
+        word = np.ones(len(out), bool)
+        word[np.cumsum(sizes + 1) - 1] = False
+        out[word] = ids
+        return out, sizes + 1
 
 
 class Predictor:
-    """The model's state in every block: predictions, and the counts that mix them."""
+    """The model's state in every block: predictions, and the counts that mix them.
+
+    Four counts of 16 bits lie side by side in one number, so that they are
+    added, and summed up (by a product with ``ONES``), together.
+    """
 
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.before, self.last = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.slot, self.row = np.arange(lanes) * SLOTS, np.arange(lanes) * 8
+        self.before, self.last, self.zero = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int32)
         # id * 8 + confidence, under a hash of the context
-        self.two, self.one = np.zeros((lanes, SLOTS), np.int32), np.zeros((lanes, SLOTS), np.int32)
-        self.zero = np.zeros(lanes, np.int64)
-        self.by_two = np.ones((lanes, 8, 4), np.int32)
-        self.by_one = np.ones((lanes, 8, 4), np.int32)
-        self.by_zero = np.ones((lanes, 8, 4), np.int32)
-        self.classes = np.ones((lanes, 16), np.int32)
+        self.two, self.one = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)
+        self.by = [np.full(lanes * 8, ONES) for _ in range(3)]
+        # counts of the four groups of classes, and of the four classes of each group
+        self.groups, self.members = np.full(lanes, ONES), np.full(lanes * 4, ONES)
 
     def shrink(self, lanes: int) -> None:
         """Blocks of full length come first; shorter ones end and leave."""
-        for name in ("lane", "before", "last", "two", "one", "zero", "by_two", "by_one", "by_zero", "classes"):
+        for name in ("slot", "row", "before", "last", "zero", "groups"):
             setattr(self, name, getattr(self, name)[:lanes])
 
-    def predict(self):
-        """Predicted ids of order 2, 1 and 0, and the mixed counts of: order 2 is right, order 1, order 0, none."""
-        self.at_two = ((self.before * 0x9E3779B1 + self.last * 0x85EBCA77) >> 12) & (SLOTS - 1)
-        self.at_one = (self.last * 0x9E3779B1 >> 11) & (SLOTS - 1)
-        two, one, zero = self.two[self.lane, self.at_two], self.one[self.lane, self.at_one], self.zero
-        self.conf = two & 7, one & 7, zero & 7
-        c2, c1, c0 = self.conf
-        counts = 4 * self.by_two[self.lane, c2] + 2 * self.by_one[self.lane, c1] + self.by_zero[self.lane, c0]
-        self.guess = (two >> 3).astype(np.int64), (one >> 3).astype(np.int64), zero >> 3
-        return self.guess, counts
-
-    def event(self, ids: np.ndarray) -> np.ndarray:
-        two, one, zero = self.guess
-        return np.where(ids == two, 0, np.where(ids == one, 1, np.where(ids == zero, 2, 3)))
-
-    def learn(self, ids: np.ndarray, event: np.ndarray, kind: np.ndarray | None) -> None:
-        c2, c1, c0 = self.conf
-        for table, c in ((self.by_two, c2), (self.by_one, c1), (self.by_zero, c0)):
-            table[self.lane, c, event] += 24
-        two, one, zero = self.guess
-        for table, at, guess, c in ((self.two, self.at_two, two, c2), (self.one, self.at_one, one, c1)):
-            table[self.lane, at] = np.where(guess == ids, ids * 8 + np.minimum(c + 1, 7), np.where(c > 1, guess * 8 + c - 2, ids * 8 + 1))
-        self.zero = np.where(zero == ids, ids * 8 + np.minimum(c0 + 1, 7), np.where(c0 > 0, zero * 8 + c0 - 1, ids * 8 + 1))
-        self.classes[self.lane, kind] += np.where(event == 3, 32, 0).astype(np.int32)
-        self.before, self.last = self.last, ids
+    def predict(self) -> np.ndarray:
+        """The mixed counts of: order 2 is right, order 1, order 0, none. Sets the three guesses."""
+        spun = self.last * 0x9E3779B1
+        self.at_two = self.slot + ((self.before * 0x85EBCA77 + spun >> 12) & (SLOTS - 1))
+        self.at_one = self.slot + ((spun >> 11) & (SLOTS - 1))
+        self.seen = self.two.take(self.at_two), self.one.take(self.at_one), self.zero
+        self.conf = [v & 7 for v in self.seen]
+        self.guess = [v >> 3 for v in self.seen]
+        self.at = [self.row + c for c in self.conf]
+        self.counts = [t.take(a) for t, a in zip(self.by, self.at)]
+        two, one, zero = self.counts
+        return (two << TWO) + (one << ONE) + zero
+
+    def learn(self, ids: np.ndarray, shift: np.ndarray) -> None:
+        """``shift`` is 16 times the number of what came true."""
+        plus = GAIN << shift
+        for table, at, counts in zip(self.by, self.at, self.counts):
+            table[at] = counts + plus
+        fresh = ids << 3 | 1
+        two, one, zero = (
+            np.where(guess == ids, seen + (c < 7), np.where(c > floor, seen - step, fresh))
+            for seen, guess, c, floor, step in zip(self.seen, self.guess, self.conf, (1, 1, 0), (2, 2, 1)))
+        self.two[self.at_two], self.one[self.at_one], self.zero = two, one, zero
+        self.before, self.last = self.last, ids.astype(np.int64)
 
 
 def _lanes(counts: np.ndarray) -> list[tuple[int, int]]:
@@ -152,114 +184,139 @@ def _lanes(counts: np.ndarray) -> list[tuple[int, int]]:
     return [(int(c), int((counts > c).sum())) for c in np.unique(counts)[:-1]]
 
 
+def _part(packed: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, size and total of one of four counts side by side."""
+    upto = packed * ONES
+    return (upto << WORD_BITS) >> shift & FIELD, packed >> shift & FIELD, upto >> LAST_FIELD
+
+
+def _which(packed: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """16 times the number of the count among four that a value falls into."""
+    upto = packed * ONES
+    return sum((value >= (upto >> np.uint64(k) & FIELD)).astype(np.uint64) for k in (0, 16, 32)) << FOUR
+
+
 def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, list[np.ndarray]]:
     """Ids per block and the code words (16 bits each) of every block."""
+    if block > BLOCK:
+        raise ValueError(f"blocks hold up to {BLOCK} ids")
     n = len(ids)
     lanes = -(-n // block)
     counts = np.full(lanes, block)
     if n % block:
         counts[-1] = n % block
-    table = np.zeros((lanes, block), np.int64)
+    table = np.zeros((lanes, block), np.int32)
     table.ravel()[:n] = ids
+    table = np.ascontiguousarray(table.T)
     steps = int(counts.max(initial=0))
-    out, size = np.zeros((lanes, 3 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
+    width = 4 * steps + 8
+    out, at = np.zeros(lanes * width, np.uint16), np.arange(lanes) * width
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, FULL)
     model, ends, alive = Predictor(lanes), dict(_lanes(counts)), lanes
 
-    def put(start, freq, total):
-        nonlocal low, span
-        r = span[:alive] // total
-        a, s = low[:alive] + r * start, r * freq
-        over = np.flatnonzero(a >= FULL)
-        if len(over):
-            a[over] &= LOW
-            at = size[over] - 1
-            while len(over):
-                out[over, at] += 1
-                full = out[over, at] == 0
-                over, at = over[full], at[full] - 1
+    def emit(a, s):
+        carry = at[np.flatnonzero(a < low[:alive])] - 1  # the sum went round
+        while len(carry):
+            out[carry] += 1
+            carry = carry[out[carry] == 0] - 1
         short = np.flatnonzero(s < LEAST)
-        out[short, size[short]] = (a[short] >> np.uint64(32)).astype(np.uint16)
-        size[short] += 1
-        a[short] = a[short] << WORD_BITS & LOW
-        s[short] <<= WORD_BITS
+        while len(short):
+            lower, size = a[short], s[short] << WORD_BITS
+            out[at[short]] = lower >> TOP
+            at[short] += 1
+            a[short], s[short] = lower << WORD_BITS, size
+            short = short[size < LEAST]
         low[:alive], span[:alive] = a, s
 
     for step in range(steps):
         if step in ends:
             alive = ends[step]
             model.shrink(alive)
-        now = table[:alive, step]
-        _, odds = model.predict()
-        event = model.event(now)
-        upto = np.cumsum(odds, 1)
-        lane = model.lane
-        put((upto[lane, event] - odds[lane, event]).astype(np.uint64), odds[lane, event].astype(np.uint64), upto[:, 3].astype(np.uint64))
-        new = event == 3
-        kind = np.searchsorted(EDGES, now, "right") - 1
-        upto = np.cumsum(model.classes, 1)
-        freq = model.classes[lane, kind]
-        one = np.uint64(1)
-        put(np.where(new, upto[lane, kind] - freq, 0).astype(np.uint64), np.where(new, freq, 1).astype(np.uint64), np.where(new, upto[:, 15], 1).astype(np.uint64))
-        width = np.where(new, EDGES[kind + 1] - EDGES[kind], 1).astype(np.uint64)
-        put(np.where(new, now - EDGES[kind], 0).astype(np.uint64), np.full(alive, one), width)
-        model.learn(now, event, kind)
-    alive = lanes
-    for _ in range(3):  # what is left of the lower end
-        out[np.arange(lanes), size] = (low >> np.uint64(32)).astype(np.uint16)
-        low = low << WORD_BITS & LOW
-        size += 1
-    return counts, [out[k, : size[k]] for k in range(lanes)]
+        now = table[step, :alive]
+        odds = model.predict()
+        not_two, not_one, not_zero = (g != now for g in model.guess)
+        not_one &= not_two
+        none = not_zero & not_one
+        shift = (not_two.view(np.uint8) + not_one.view(np.uint8) + none.view(np.uint8)).astype(np.uint64) << FOUR
+        start, freq, total = _part(odds, shift)
+        r = span[:alive] // total
+        a, s = low[:alive] + r * start, r * freq
+        new = np.flatnonzero(none)
+        if len(new):
+            fresh = now[new]
+            kind = KIND.take(fresh)
+            group = kind >> 2
+            lower, size = a[new], s[new]
+            for tally, where, key in ((model.groups, new, group), (model.members, new * 4 + group, kind & 3)):
+                packed, key = tally.take(where), key.astype(np.uint64) << FOUR
+                start, freq, total = _part(packed, key)
+                r = size // total
+                lower, size = lower + r * start, r * freq
+                tally[where] = packed + (MORE << key)
+            size //= WIDTHS.take(kind)
+            a[new] = lower + size * (fresh - EDGES.take(kind)).astype(np.uint64)
+            s[new] = size
+        emit(a, s)
+        model.learn(now, shift)
+    for _ in range(4):  # what is left of the lower end
+        out[at] = low >> TOP
+        low = low << WORD_BITS
+        at += 1
+    return counts, [out[k * width : end] for k, end in enumerate(at.tolist())]
 
 
 def decode_blocks(counts: np.ndarray, words: list[np.ndarray]) -> list[np.ndarray]:
     """The ids of blocks; only the last may be shorter than the others."""
     lanes, steps = len(counts), int(np.max(counts, initial=0))
     width = max(map(len, words), default=0) + 4
-    data = np.zeros((lanes, width), np.uint64)
+    data = np.zeros((lanes, width), np.uint16)
     for k, w in enumerate(words):
         data[k, : len(w)] = w
-    code = (data[:, 0] << np.uint64(32)) | (data[:, 1] << WORD_BITS) | data[:, 2] if lanes else np.zeros(0, np.uint64)
-    at, span = np.full(lanes, 3), np.full(lanes, FULL)
-    out = np.zeros((lanes, steps), np.int64)
+    first = data[:, :4].astype(np.uint64)
+    code = first[:, 0] << TOP | first[:, 1] << np.uint64(32) | first[:, 2] << WORD_BITS | first[:, 3]
+    data, at, span = data.ravel(), np.arange(lanes) * width + 4, np.full(lanes, FULL)
+    out = np.zeros((steps, lanes), np.int32)
     model, ends, alive = Predictor(lanes), dict(_lanes(np.asarray(counts))), lanes
 
-    def take(start, freq, r):
-        a, s = code[:alive] - r * start, r * freq
-        short = np.flatnonzero(s < LEAST)
-        a[short] = a[short] << WORD_BITS | data[short, at[short]]
-        at[short] += 1
-        s[short] <<= WORD_BITS
-        code[:alive], span[:alive] = a, s
-
     for step in range(steps):
         if step in ends:
             alive = ends[step]
             model.shrink(alive)
-        guess, odds = model.predict()
-        lane = model.lane
-        upto = np.cumsum(odds, 1)
-        total = upto[:, 3].astype(np.uint64)
-        r = span[:alive] // total
-        value = np.minimum(code[:alive] // r, total - np.uint64(1)).astype(np.int64)
-        event = (value[:, None] >= upto[:, :3]).sum(1)
-        freq = odds[lane, event]
-        take((upto[lane, event] - freq).astype(np.uint64), freq.astype(np.uint64), r)
-        new = event == 3
-        upto = np.cumsum(model.classes, 1)
-        total = np.where(new, upto[:, 15], 1).astype(np.uint64)
-        r = span[:alive] // total
-        value = np.minimum(code[:alive] // r, total - np.uint64(1)).astype(np.int64)
-        kind = (value[:, None] >= upto[:, :15]).sum(1)
-        freq = model.classes[lane, kind]
-        take(np.where(new, upto[lane, kind] - freq, 0).astype(np.uint64), np.where(new, freq, 1).astype(np.uint64), r)
-        total = np.where(new, EDGES[kind + 1] - EDGES[kind], 1).astype(np.uint64)
-        r = span[:alive] // total
-        value = np.minimum(code[:alive] // r, total - np.uint64(1))
-        take(np.where(new, value, np.uint64(0)), np.ones(alive, np.uint64), r)
-        ids = np.where(event == 0, guess[0], np.where(event == 1, guess[1], np.where(event == 2, guess[2], EDGES[kind] + value.astype(np.int64))))
-        out[:alive, step] = ids
-        model.learn(ids, event, kind)
+        packed = model.predict()
+        a, s = code[:alive], span[:alive]
+        r = s // (packed * ONES >> LAST_FIELD)
+        shift = _which(packed, a // r)
+        start, freq, _ = _part(packed, shift)
+        a, s = a - r * start, r * freq
+        two, one, zero = model.guess
+        ids = np.where(shift == 0, two, np.where(shift == FIRST, one, zero))
+        new = np.flatnonzero(shift == LAST_FIELD)
+        if len(new):
+            rest, size, where, kind = a[new], s[new], new, 0
+            for table in (model.groups, model.members):
+                packed = table.take(where)
+                r = size // (packed * ONES >> LAST_FIELD)
+                key = _which(packed, rest // r)
+                start, freq, _ = _part(packed, key)
+                rest, size = rest - r * start, r * freq
+                table[where] = packed + (MORE << key)
+                kind = kind * 4 + (key >> FOUR).astype(np.int64)
+                where = new * 4 + kind
+            size //= WIDTHS.take(kind)
+            place = rest // size
+            a[new], s[new] = rest - size * place, size
+            ids[new] = EDGES.take(kind) + place.astype(np.int64)
+        short = np.flatnonzero(s < LEAST)
+        while len(short):
+            a[short] = a[short] << WORD_BITS | data.take(at[short]).astype(np.uint64)
+            at[short] += 1
+            size = s[short] << WORD_BITS
+            s[short] = size
+            short = short[size < LEAST]
+        code[:alive], span[:alive] = a, s
+        out[step, :alive] = ids
+        model.learn(ids, shift)
+    out = np.ascontiguousarray(out.T)
     return [out[k, : counts[k]].astype(np.uint32) for k in range(lanes)]
 
 
@@ -339,11 +396,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_co
             state.update(docs=[], sizes=[], ids=[], n=0, part=state["part"] + 1)
             return row
 
-        for b in in_slices(batches, 512):
+        for b in in_slices(batches, 2048):
             if not b.num_rows:
                 continue
             state["task"] = b["task"][0].as_py()
-            ids, sizes = encoder.encode_all(b["text"].to_pylist())
+            ids, sizes = encoder.encode_all(b["text"])
             state["docs"] += b["id"].to_pylist()
             state["sizes"].append(sizes), state["ids"].append(ids)
             state["n"] += len(ids)
