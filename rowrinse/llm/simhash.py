@@ -49,10 +49,16 @@ def fingerprint(text: str, shingle: int = 4) -> int:
     return majority(np.array([digest(s, 42) for s in shingles_of(text, shingle)], np.uint64))
 
 
-def wide_fingerprint(text: str, shingle: int) -> tuple[int, int]:
-    """Two fingerprints from the halves of 128-bit hashes."""
+def wide_hashes(text: str, shingle: int) -> np.ndarray:
+    """The distinct 128-bit hashes of the word shingles as rows of two halves, sorted by the first."""
     digest = xxhash.xxh3_128_digest
     both = np.frombuffer(b"".join([digest(s) for s in shingles_of(text, shingle)]), np.uint64).reshape(-1, 2)
+    return both[np.unique(both[:, 0], return_index=True)[1]]
+
+
+def wide_fingerprint(text: str, shingle: int) -> tuple[int, int]:
+    """Two fingerprints from the halves of 128-bit hashes; a repeated shingle counts once, as in the exact comparison."""
+    both = wide_hashes(text, shingle)
     return majority(np.ascontiguousarray(both[:, 0])), majority(np.ascontiguousarray(both[:, 1]))
 
 

@@ -93,6 +93,19 @@ def test_similar_texts_against_brute_force(docs, rows):
     assert sorted(str(r["doc_id"]) for r in simhash.drop_similar(docs).collect()) == wanted
 
 
+def test_repeated_passages_do_not_move_wide_fingerprints():
+    rng = random.Random(5)
+    for i in range(20):
+        ws = [f"t{i}w{j}" for j in range(404)]
+        at = rng.randrange(100, 300)
+        passage = ws[at : at + 14]
+        plain, repeated = " ".join(ws), " ".join(ws[:at] + passage * 8 + ws[at + 14 :])
+        a, b = set(simhash.shingles(plain, 5).tolist()), set(simhash.shingles(repeated, 5).tolist())
+        assert len(a & b) >= 0.98 * len(a | b)
+        apart = [(x ^ y).bit_count() for x, y in zip(simhash.wide_fingerprint(plain, 5), simhash.wide_fingerprint(repeated, 5))]
+        assert max(apart) <= 14
+
+
 def test_empty(empty):
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.drop_near_duplicates(empty).count() == 0 and simhash.drop_similar(empty).count() == 0
