@@ -229,8 +229,112 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def shingles(text: str, shingle: int) -> np.ndarray:
     """The sorted distinct hashes of the word shingles."""
-    digest = xxhash.xxh3_64_intdigest
-    return np.unique(np.array([digest(s) for s in shingles_of(text, shingle)], np.uint64))
+    return np.ascontiguousarray(wide_hashes(text, shingle)[:, 0])
+
+
+def least_shared(size: int, similarity: float) -> int:
+    """How many shingles a set of ``size`` shares at least with any set that is similar enough."""
+    return math.ceil(similarity * size * (1 - 1e-6))
+
+
+def common_start(size: int, similarity: float) -> int:
+    """How many of its first common shingles the start of a set must hold, see ``start_of``."""
+    return min(1 + size // 10, least_shared(size, similarity))
+
+
+def start_of(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """The first hashes of a sorted set that hold its first ``common_start`` common ones with any similar set.
+
+    At most ``size - least_shared`` hashes are not common, so the k-th common
+    one is among the first ``size - least_shared + k``.
+    """
+    return hashes[: len(hashes) - least_shared(len(hashes), similarity) + common_start(len(hashes), similarity)]
+
+
+def wanted_start(size: int, similarity: float) -> int:
+    """How many hashes the starts of a set of ``size`` and of any similar set have in common at least."""
+    return common_start(least_shared(size, similarity), similarity)
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Parity of the hashes that fall on each of about as many bits; two sets differ in no fewer elements than bits."""
+    width = 1 << min(max(len(hashes) - 1, 1).bit_length(), 12)
+    width = max(width, BITS)
+    return np.packbits(np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1)
+
+
+def possible_pairs(size: np.ndarray, root: np.ndarray, bits: list[bytes], left: np.ndarray, right: np.ndarray, similarity: float):
+    """Yields (i, j) of a left and a right member with other roots whose sizes and parities allow the similarity."""
+    width = np.array([len(b) for b in bits])
+    for low in np.unique(width):
+        near = np.flatnonzero(width == low)
+        for high in np.unique(width[width >= low]):
+            far = np.flatnonzero(width == high)
+            folded = np.bitwise_xor.reduce(np.frombuffer(b"".join([bits[j] for j in far]), np.uint8).reshape(len(far), -1, low), axis=1)
+            there = 1 - 2 * np.unpackbits(folded, axis=1).astype(np.float32)
+            for at in range(0, len(near), QUERIES):
+                part = near[at : at + QUERIES]
+                here = np.frombuffer(b"".join([bits[i] for i in part]), np.uint8).reshape(len(part), -1)
+                apart = (8 * low - (1 - 2 * np.unpackbits(here, axis=1).astype(np.float32)) @ there.T) / 2
+                a, b = size[part][:, None], size[far][None, :]
+                ok = (apart <= (a + b) * ((1 - similarity) / (1 + similarity)) + 1e-3) & (root[part][:, None] != root[far][None, :])
+                ok &= np.minimum(a, b) >= similarity * (1 - 1e-6) * np.maximum(a, b)
+                ok &= (left[part][:, None] & right[far][None, :]) | (right[part][:, None] & left[far][None, :])
+                i, j = np.nonzero(ok)
+                yield part[i], far[j]
+
+
+def missed_pairs(marked: DataFrame, roots: DataFrame, similarity: float, stages: Stages) -> DataFrame:
+    """Pairs (a, b) of text hashes with other roots, among them all whose similarity is reached.
+
+    ``marked`` has (text_hash, size, wanted, start, bits), ``roots`` (text_hash,
+    root). Exact prefix filter in two steps. The starts of two similar sets, in
+    the order of the hashes, have at least ``wanted`` hashes in common, so a
+    text stays only if so many of its start are in starts of other groups too.
+    Of these all but the ``wanted - 1`` most frequent are keys, of which two
+    similar texts have one in common. Sizes and parities then rule out pairs.
+    """
+    spark = marked.sparkSession
+    ddl = "h bigint, text_hash bigint, wanted int"
+    schema = pa.schema([("h", pa.int64()), ("text_hash", pa.int64()), ("wanted", pa.int32())])
+
+    def unfold(batch):
+        starts = batch["start"].to_pylist()
+        count = np.array([len(s) // 8 for s in starts], np.int64)
+        return {
+            "h": np.frombuffer(b"".join(starts), np.int64),
+            "text_hash": np.repeat(batch["text_hash"].to_numpy(), count), "wanted": np.repeat(batch["wanted"].to_numpy(), count)}
+
+    rows = marked.select("text_hash", "wanted", "start").mapInArrow(per_batch(unfold, schema), ddl)
+    shared = stages(rows.groupBy("h").agg(F.min("text_hash").alias("x"), F.max("text_hash").alias("y")).filter("x <> y").select("h"))
+    held = rows.join(shared, "h", "left_semi").groupBy("text_hash", "wanted").agg(F.collect_set("h").alias("hs"))
+    held = stages(held.filter(F.size("hs") >= F.col("wanted")).join(roots, "text_hash"))
+    single = held.select("text_hash", "wanted", "root", F.explode("hs").alias("h"))
+    often = stages(single.groupBy("h").agg(
+        F.count(F.lit(1)).alias("often"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("h", "often"))
+    ranked = single.join(often, "h").groupBy("text_hash", "wanted", "root").agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("hs"))
+    ranked = ranked.filter(F.size("hs") >= F.col("wanted")).select(
+        "text_hash", "root", F.slice("hs", F.lit(1), F.size("hs") - F.col("wanted") + 1)["h"].alias("hs"))
+    facts = marked.select("text_hash", "size", "bits").join(ranked.select("text_hash"), "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    keyed = stages(ranked.join(facts, "text_hash").select("text_hash", "root", "size", "bits", F.explode("hs").alias("h")))
+    blocks = block_pairs(keyed, "h", "text_hash", SHARD).select("block", "text_hash", "root", "size", "bits", "left", "right")
+    tasks = partitions(spark, keyed.count(), GROUP_ROWS)
+
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        found = [np.zeros((0, 2), np.int64)]
+        for _, part in rows.groupby("block"):
+            if part["root"].nunique() > 1:
+                ids, bits = part["text_hash"].to_numpy(), part["bits"].tolist()
+                columns = [part[c].to_numpy() for c in ("size", "root", "left", "right")]
+                for i, j in possible_pairs(columns[0], columns[1], bits, columns[2], columns[3], similarity):
+                    found.append(np.c_[np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])])
+        both = np.unique(np.concatenate(found), axis=0)
+        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+
+    return (
+        blocks.withColumn("task", F.pmod(F.col("block"), F.lit(tasks)).cast("int"))
+        .groupBy("task").applyInPandas(search, "a bigint, b bigint").distinct()
+    )
 
 
 def similar_documents(
@@ -241,20 +345,34 @@ def similar_documents(
     Fingerprints of twice 64 bits within twice ``radius`` propose groups,
     through BK-trees over the first half, so that chance proposes almost none;
     inside a proposed group, in blocks of shards, similarities are computed
-    exactly. ``component`` is the smallest id of the chain. Equal texts are
-    one text; texts without words are similar to each other.
+    exactly. This joins large groups of copies cheaply but may miss a pair; a
+    prefix filter that misses none then finds the pairs between the groups.
+    ``component`` is the smallest id of the chain. Equal texts are one text;
+    texts without words are similar to each other.
     """
     spark = docs.sparkSession
     stages = Stages(spark)
     key = docs.select(quoted(id_col).cast("bigint").alias("id"), text_of(docs, text_col).alias("text"))
     key = key.select("id", "text", F.xxhash64("text").alias("text_hash"))
-    schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64()), ("more", pa.int64())])
+    numbers = ["id", "text_hash", "fp", "more"]
+    schema = pa.schema([*[(c, pa.int64()) for c in numbers], ("size", pa.int32()), ("wanted", pa.int32()), ("start", pa.binary()), ("bits", pa.binary())])
+    ddl = "id bigint, text_hash bigint, fp bigint, more bigint, size int, wanted int, start binary, bits binary"
 
     def mark(batch):
-        found = np.array([wide_fingerprint(t, shingle) for t in batch["text"].to_pylist()], np.uint64).reshape(-1, 2).view(np.int64)
-        return {"id": batch["id"], "text_hash": batch["text_hash"], "fp": found[:, 0], "more": found[:, 1]}
-
-    marked = key.mapInArrow(per_batch(mark, schema), "id bigint, text_hash bigint, fp bigint, more bigint")
+        out = []
+        for text in batch["text"].to_pylist():
+            both = wide_hashes(text, shingle)
+            first, second = np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+            out.append((
+                majority(first), majority(second), len(first), wanted_start(len(first), similarity),
+                start_of(first, similarity).tobytes(), parity(first).tobytes()))
+        fp, more, *rest = zip(*out)
+        names = ("size", "wanted", "start", "bits")
+        return {
+            "id": batch["id"], "text_hash": batch["text_hash"],
+            "fp": np.array(fp, np.uint64).view(np.int64), "more": np.array(more, np.uint64).view(np.int64), **dict(zip(names, rest))}
+
+    marked = stages(key.mapInArrow(per_batch(mark, schema), ddl))
     texts = stages(marked.groupBy("text_hash", "fp", "more").agg(F.min("id").alias("first")))
     n = texts.count()
     links = stages(near_links(texts.withColumnRenamed("text_hash", "node"), n, radius, sampled_blocks(n)))
@@ -263,14 +381,14 @@ def similar_documents(
         "text_hash", "first", F.coalesce("component", "text_hash").alias("group"))
     proposed = stages(proposed)
     blocks = stages(block_pairs(proposed.select("group", "text_hash"), "group", "text_hash", 128).select("block", "text_hash", "left", "right"))
-    wanted = blocks.select("text_hash").distinct()
     set_schema = pa.schema([("text_hash", pa.int64()), ("shingles", pa.binary())])
 
     def gather(batch):
         return {"text_hash": batch["text_hash"], "shingles": [shingles(t, shingle).tobytes() for t in batch["text"].to_pylist()]}
 
-    picked = key.select("text_hash", "text").join(wanted, "text_hash", "left_semi")
-    sets = picked.mapInArrow(per_batch(gather, set_schema), "text_hash bigint, shingles binary").dropDuplicates(["text_hash"])
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        picked = key.select("text_hash", "text").join(wanted, "text_hash", "left_semi")
+        return picked.mapInArrow(per_batch(gather, set_schema), "text_hash bigint, shingles binary").dropDuplicates(["text_hash"])
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
@@ -285,11 +403,30 @@ def similar_documents(
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}) if a else pd.DataFrame({"a": [], "b": []}, dtype="int64")
 
     tasks = partitions(spark, blocks.count(), 256)
-    exact = (
-        blocks.join(sets, "text_hash").withColumn("task", F.pmod(F.col("block"), F.lit(tasks)).cast("int"))
+    exact = stages(
+        blocks.join(sets_of(blocks.select("text_hash").distinct()), "text_hash")
+        .withColumn("task", F.pmod(F.col("block"), F.lit(tasks)).cast("int"))
         .groupBy("task").applyInPandas(compare, "a bigint, b bigint")
     )
-    reached = components(stages(exact), stages)
+    reached = components(exact, stages)
+    roots = stages(texts.join(reached, texts["text_hash"] == reached["node"], "left").select(
+        "text_hash", F.coalesce("component", "text_hash").alias("root")))
+    pairs = stages(missed_pairs(marked, roots, similarity, stages))
+    pair_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def confirm(batch):
+        ok = []
+        for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist()):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            ok.append(both >= similarity * (len(x) + len(y) - both))
+        return {c: batch[c].filter(pa.array(ok, pa.bool_())) for c in ("a", "b")}
+
+    sets = stages(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct()))
+    sided = pairs.join(sets.select(F.col("text_hash").alias("a"), F.col("shingles").alias("x")), "a").join(
+        sets.select(F.col("text_hash").alias("b"), F.col("shingles").alias("y")), "b")
+    late = stages(sided.select("a", "b", "x", "y").mapInArrow(per_batch(confirm, pair_schema), "a bigint, b bigint"))
+    reached = components(exact.unionByName(late), stages)
     joined = proposed.join(reached, proposed["text_hash"] == reached["node"], "left").select(
         "text_hash", "first", F.coalesce("component", "text_hash").alias("root"))
     least = joined.groupBy("root").agg(F.min("first").alias("component"))

@@ -106,6 +106,53 @@ def test_repeated_passages_do_not_move_wide_fingerprints():
         assert max(apart) <= 14
 
 
+def pairs_at(rng, sizes, share=0.8):
+    """Pairs of texts whose shingle sets reach the share by as little as their sizes allow."""
+    out = []
+    for i, n in enumerate(sizes):
+        ws = [f"p{i}x{rng.randrange(10**9)}" for _ in range(n + 4)]
+        other = list(ws)
+        while True:  # change single words, from the end on, while the share is still reached
+            trial = list(other)
+            trial[rng.randrange(len(trial)) if n > 40 else -1 - (ws != other)] = f"c{rng.randrange(10**9)}"
+            a, b = (set(simhash.shingles(" ".join(t), 5).tolist()) for t in (ws, trial))
+            if len(a & b) < share * len(a | b):
+                break
+            other = trial
+        if n < 40:  # a short text against one with one shingle more
+            other = ws + ["more"]
+        out.append((" ".join(ws), " ".join(other)))
+    return out
+
+
+def test_isolated_pairs_at_the_similarity_are_all_found(spark):
+    pairs = pairs_at(random.Random(11), [4, 4, 5, 6, 9, 12] * 4 + list(range(60, 400, 6)))
+    for a, b in pairs:
+        a, b = (set(simhash.shingles(t, 5).tolist()) for t in (a, b))
+        assert len(a & b) >= 0.8 * len(a | b)
+    rows = [(2 * i + side, text) for i, pair in enumerate(pairs) for side, text in enumerate(pair)]
+    kept = simhash.drop_similar(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, len(rows), 2))
+
+
+def test_starts_and_parities_rule_out_no_similar_pair():
+    rng = np.random.default_rng(2)
+    for _ in range(400):
+        n, extra = int(rng.integers(1, 300)), int(rng.integers(0, 40))
+        base = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        a = np.sort(base[rng.random(len(base)) > 0.08])
+        b = np.unique(np.r_[base[rng.random(len(base)) > 0.08], rng.integers(0, 1 << 63, extra, dtype=np.uint64)])
+        shared = len(np.intersect1d(a, b))
+        if not len(a) or shared < 0.8 * (len(a) + len(b) - shared):
+            continue
+        common = len(np.intersect1d(simhash.start_of(a, 0.8), simhash.start_of(b, 0.8)))
+        assert common >= max(simhash.wanted_start(len(a), 0.8), simhash.wanted_start(len(b), 0.8))
+        bits = [simhash.parity(x).tobytes() for x in (a, b)]
+        both = np.array([True, True])
+        found = simhash.possible_pairs(np.array([len(a), len(b)]), np.array([1, 2]), bits, both, both, 0.8)
+        assert any(len(i) for i, _ in found)
+
+
 def test_empty(empty):
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.drop_near_duplicates(empty).count() == 0 and simhash.drop_similar(empty).count() == 0
