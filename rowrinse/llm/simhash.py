@@ -139,9 +139,9 @@ def bit_blocks(n: int, radius: int) -> list[tuple[int, ...]]:
 def sampled_blocks(n: int) -> list[tuple[int, ...]]:
     """Masks of a few of many short blocks, for radii at which no mask is both sure and selective.
 
-    Ten blocks, two at a time: two values that differ in 8, 10, 12 bits agree
-    in some mask with probability 0.96, 0.90, 0.78. More values take three of
-    fifteen, or four of twenty, which agree about as often.
+    Ten blocks, two at a time, three of fifteen or four of twenty: more values
+    need longer agreement to keep shards short. The choices miss different
+    pairs, so the caller has to find those in another way.
     """
     chosen = 2 if n < 1 << 21 else 3 if n < 1 << 28 else 4
     b = 5 * chosen

@@ -153,6 +153,15 @@ def test_starts_and_parities_rule_out_no_similar_pair():
         assert any(len(i) for i, _ in found)
 
 
+def test_choice_of_blocks_does_not_change_what_is_similar(spark, monkeypatch):
+    pairs = pairs_at(random.Random(13), [4, 5, 8, *range(80, 320, 12)])
+    rows = [(2 * i + side, text) for i, pair in enumerate(pairs) for side, text in enumerate(pair)]
+    # nothing but equal first halves is proposed
+    monkeypatch.setattr(simhash, "sampled_blocks", lambda n: [(1 << 64) - 1])
+    kept = simhash.drop_similar(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, len(rows), 2))
+
+
 def test_empty(empty):
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.drop_near_duplicates(empty).count() == 0 and simhash.drop_similar(empty).count() == 0
