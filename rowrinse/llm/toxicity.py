@@ -140,19 +140,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rate = decay(score, clean)
     sent = docs.sparkSession.sparkContext.broadcast(score)
 
+    def parts_of(text: str) -> tuple[int, list[float]]:
+        s = sent.value[buckets(text)]
+        return len(s), [x[2] * rate for x in segments(s)]
+
     def measure(batches):
         for b in in_slices(batches):
-            n, best, found = [], [], []
+            n, best = [], []
             for text in b["text"].to_pylist():
-                s = sent.value[buckets(text)]
-                parts = [x[2] * rate for x in segments(s)]
-                n.append(len(s)), best.append(max(parts, default=0.0)), found.append(sorted(parts)[-64:])
-            yield pa.RecordBatch.from_arrays([b["__toxic"], pa.array(n), pa.array(best), pa.array(found, pa.list_(pa.float64()))], ["toxic", "n", "best", "found"])
+                size, parts = parts_of(text)
+                n.append(size), best.append(max(parts, default=0.0))
+            yield pa.RecordBatch.from_arrays([b["__toxic"], pa.array(n), pa.array(best)], ["toxic", "n", "best"])
 
-    seen = train.mapInArrow(measure, "toxic int, n bigint, best double, found array<double>").collect()  # the sample's rows
+    seen = train.mapInArrow(measure, "toxic int, n bigint, best double").collect()  # the sample's rows
     ordinary = [r["best"] - math.log(max(r["n"], 1)) for r in seen if not r["toxic"] and r["best"] > 0]
     log_k = float(np.mean(ordinary)) - EULER if ordinary else 0.0
-    x = np.array([evidence(r["found"], r["n"], log_k) for r in seen])
+
+    def weigh(batches):
+        for b in in_slices(batches):
+            x = []
+            for text in b["text"].to_pylist():
+                size, parts = parts_of(text)
+                x.append(evidence(parts, size, log_k))
+            yield pa.RecordBatch.from_arrays([b["__toxic"], pa.array(x, pa.float64())], ["toxic", "x"])
+
+    seen = train.mapInArrow(weigh, "toxic int, x double").collect()  # the evidence of all segments, as in score()
+    x = np.array([r["x"] for r in seen])
     slope, offset = logistic(x, np.array([r["toxic"] > 0 for r in seen], float))
     return Model(score.astype(np.float32), rate, log_k, slope, offset)
 

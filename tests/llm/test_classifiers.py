@@ -44,6 +44,22 @@ def test_toxicity_on_held_out_documents(spark, docs, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_fit_weighs_all_segments_of_a_long_text(spark, monkeypatch):
+    quiet = "calm " * 60
+    texts = [(i, ("vile " * 30 + quiet) * 80 if i % 2 else quiet * 5) for i in range(1200)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id bigint, toxic int")
+    fitted = []
+    monkeypatch.setattr(toxicity, "logistic", lambda x, y, real=toxicity.logistic: fitted.append((x, y)) or real(x, y))
+    model = toxicity.fit(docs, labels)
+    scores = model.score[toxicity.buckets(texts[1][1])].astype(float)
+    found = toxicity.segments(scores)
+    assert len(found) > 64
+    wanted = toxicity.evidence([v * model.rate for _, _, v in found], len(scores), model.log_k)
+    x, y = fitted[0]
+    assert wanted > 0 and abs(x[y > 0] - wanted).max() < 1e-4
+
+
 def test_toxicity_without_labels(docs, spark):
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id bigint, quality int, toxic int"))
     assert {r["predicted"] for r in toxicity.score(docs, model).collect()} == {0}
