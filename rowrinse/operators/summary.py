@@ -124,21 +124,33 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _by_unpivot(df: DataFrame, names: Sequence[str], types: dict[str, T.DataType]) -> DataFrame:
-    """Counts per column from one grouping of (column, value) pairs."""
-    cells = df.select(*[_value_text(col(c), types[c]).alias(str(i)) for i, c in enumerate(names)])
-    values = cells.unpivot([], [col(str(i)) for i in range(len(names))], "__position", "value")
+    """Counts per column from one grouping of (column, value, blank) triples; blank is judged on the typed value."""
+    cells = df.select(*[
+        F.struct(_cell_text(col(c), types[c]).alias("value"), blank(col(c), types[c]).alias("blank")).alias(str(i))
+        for i, c in enumerate(names)
+    ])
+    values = cells.unpivot([], [col(str(i)) for i in range(len(names))], "__position", "cell")
     return (
-        values.groupBy("__position", "value")
+        values.groupBy("__position", F.col("cell.value").alias("value"), F.col("cell.blank").alias("blank"))
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy(F.col("__position").cast("int").alias("__position"))
         .agg(
             F.sum("n").alias("rows"),
-            F.sum(F.when(blank(F.col("value"), T.StringType()), F.col("n")).otherwise(0)).alias("blank_count"),
+            F.sum(F.when(F.col("blank"), F.col("n")).otherwise(0)).alias("blank_count"),
             F.count(F.lit(1)).alias("distinct_count"),
         )
     )
 
 
+def _cell_text(c: Column, dtype: T.DataType) -> Column:
+    """As :func:`_value_text`, but equal for equal values only: instants and nested values with all their parts."""
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c).cast("string")
+    if isinstance(dtype, (T.ArrayType, T.StructType)):
+        return F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    return _value_text(c, dtype)
+
+
 def text_statistics(df: DataFrame) -> DataFrame:
     """The short profile: blank cells, blank share to one place and distinct values, every type as text."""
     stats = column_statistics(df.select(*[col(c) for c in data_columns(df)]))

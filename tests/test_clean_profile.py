@@ -214,3 +214,22 @@ def test_source_size(spark, tmp_path):
     spark.range(100).repartition(3).write.parquet(path)
     real = sum(os.path.getsize(os.path.join(path, f)) for f in os.listdir(path) if f.endswith(".parquet"))
     assert size_label(summary.source_size(spark.read.parquet(path))).first()["size_bytes"] == real
+
+
+def test_wide_and_narrow_statistics_agree_on_every_type(spark, monkeypatch):
+    # two instants of one local time, where the clock goes back
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    rows = [(b"", 1729989000000000, "a"), (b"  ", 1729992600000000, None), (None, None, ""), (b"x", 1729989000000000, "a")]
+    df = spark.createDataFrame(rows, "raw binary, micros bigint, name string").select(
+        "raw", F.timestamp_micros("micros").alias("at"), "name",
+        F.when(F.col("raw").isNotNull(), F.struct(F.timestamp_micros("micros").alias("at"), "name")).alias("nested"),
+        F.array("name").alias("list"))
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+        narrow = sorted(map(tuple, summary.column_statistics(df).collect()))
+        monkeypatch.setattr(summary, "BRANCH_COLUMNS", 0)
+        assert sorted(map(tuple, summary.column_statistics(df).collect())) == narrow
+        assert [r[3] for r in narrow] == [1, 1, 2, 1, 0]
+        assert [r[5] for r in narrow] == [4, 3, 3, 3, 3]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
