@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rowrinse.llm import language, mixing, pieces, quality, simhash, suffixes, tokens, toxicity, vectors, warc
+from rowrinse.llm import (
+    language, merkle, mixing, negatives, oracles, packing, pieces, quality, simhash, suffixes, tokens, toxicity, vectors, warc,
+)
 from rowrinse.llm.common import table
 
 
@@ -64,6 +66,20 @@ def op10_near_vectors(spark, sf_dir):
     return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
 
 
+def op11_best_fit(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op12_merkle(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents")).drop("proof").withColumnRenamed("id", "doc_id")
+
+
+def op13_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -82,5 +98,8 @@ QUERIES = {
     "op8_simhash": (op8_simhash, None),
     "op9_language_id": (op9_language_id, None),
     "op10_near_vectors": (op10_near_vectors, None),
+    "op11_best_fit": (op11_best_fit, None),
+    "op12_merkle": (op12_merkle, oracles.merkle()),
+    "op13_hard_negatives": (op13_hard_negatives, oracles.HARD_NEGATIVES),
     "pipeline": (pipeline, None),
 }
