@@ -1,5 +1,9 @@
 """Quality rules as weak supervision: rules vote, EM weighs them, a posterior decides.
 
+A rule names one defect and a bad document seldom has several, so there is a
+class of bad documents for each rule and one of good documents. Votes are
+independent within a class.
+
 Everything on rows is built-in functions. The EM itself runs on the counts of
 the vote patterns, of which there are at most 3 to the number of rules.
 """
@@ -19,6 +23,10 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 GOOD, BAD, ABSTAIN = 1, -1, 0
 RULES = ("length", "word_length", "symbols", "shouting", "dup_lines", "repeats", "letters")
+# How a rule votes on a document with the defect it names, and the most good documents it may be wrong about.
+# Within these bounds what the rules say is estimated; without them a common defect would become the rule of a good class.
+SEEN = {BAD: 0.998, ABSTAIN: 0.001, GOOD: 0.001}
+MISTAKEN = 0.01
 # A document goes when its posterior of being good is below this.
 KEEP_FROM = 0.5
 
@@ -94,47 +102,73 @@ def votes() -> dict[str, Column]:
     }
 
 
-def fit(patterns: dict[tuple[int, ...], int], rounds: int = 100) -> tuple[float, list[dict[int, float]]]:
-    """Two-class EM over vote patterns and their counts.
+def fit(patterns: dict[tuple[int, ...], int], rounds: int = 100) -> tuple[float, list[tuple[float, list[dict[int, float]]]]]:
+    """EM over vote patterns and their counts: one class of good documents, and per rule one with its defect.
 
-    Starts from the strict reading, by which one vote for bad makes a document
-    suspect, since rules name defects and a document seldom has several. Returns the log prior odds of good and, for
-    each rule, the log likelihood ratio of each vote. Every class count is
-    smoothed by one, and a vote never argues against its own name.
+    Starts from the strict reading, by which a document belongs to the classes
+    of the rules that vote bad. The class of a rule stays tied to its votes by
+    ``SEEN``, and a rule is wrong about ``MISTAKEN`` of the good documents at
+    most; all other chances are estimated, with one document more for each vote. Returns the log prior of good and, for each rule's
+    class, its log prior odds to good and, per rule and vote, the log
+    likelihood ratio to good.
     """
     total = sum(patterns.values())
+    flat = {v: 0.0 for v in (GOOD, ABSTAIN, BAD)}
+    n = len(RULES)
     if not total:
-        return 0.0, [{GOOD: 0.0, BAD: 0.0, ABSTAIN: 0.0} for _ in RULES]
-    good = {p: 0.1 if BAD in p else 0.9 if GOOD in p else 0.5 for p in patterns}
-    prior, weights = 0.0, []
+        return 0.0, [(0.0, [dict(flat) for _ in RULES]) for _ in RULES]
+    share = {}
+    for p in patterns:
+        bad = [r for r in range(n) if p[r] == BAD]
+        good = 0.1 if bad else 0.9
+        rest = bad or range(n)
+        share[p] = [good, *((1 - good) / len(rest) if r in rest else 0.0 for r in range(n))]
+    prior, chance = [], []
     for _ in range(rounds):
-        mass = sum(good[p] * c for p, c in patterns.items())
-        prior = math.log((mass + 1) / (total - mass + 1))
-        weights = []
-        for r in range(len(RULES)):
-            seen = {v: [1.0, 1.0] for v in (GOOD, BAD, ABSTAIN)}
-            for p, c in patterns.items():
-                seen[p[r]][0] += good[p] * c
-                seen[p[r]][1] += (1 - good[p]) * c
-            g, b = (sum(s[i] for s in seen.values()) for i in (0, 1))
-            ratio = {v: math.log(s[0] / g) - math.log(s[1] / b) for v, s in seen.items()}
-            weights.append({GOOD: max(ratio[GOOD], 0.0), BAD: min(ratio[BAD], 0.0), ABSTAIN: 0.0})
-        after = {}
+        mass = [sum(share[p][c] * k for p, k in patterns.items()) for c in range(n + 1)]
+        prior = [math.log((m + 1) / (total + n + 1)) for m in mass]
+        chance = []
+        for c in range(n + 1):
+            counts = [{v: 1.0 for v in flat} for _ in RULES]
+            for p, k in patterns.items():
+                weight = share[p][c] * k
+                for r in range(n):
+                    counts[r][p[r]] += weight
+            chance.append([
+                {v: math.log(SEEN[v] if c == r + 1 else x / sum(seen.values())) for v, x in seen.items()} for r, seen in enumerate(counts)])
+        for ratios in chance[0]:
+            ratios[BAD] = min(ratios[BAD], math.log(MISTAKEN))
+        moved = 0.0
         for p in patterns:
-            x = prior + sum(w[v] for w, v in zip(weights, p))
-            after[p] = 1 / (1 + math.exp(-max(min(x, 500), -500)))
-        moved = max(abs(after[p] - good[p]) for p in patterns)
-        good = after
+            x = [prior[c] + sum(chance[c][r][p[r]] for r in range(n)) for c in range(n + 1)]
+            top = max(x)
+            e = [math.exp(v - top) for v in x]
+            after = [v / sum(e) for v in e]
+            moved = max(moved, abs(after[0] - share[p][0]))
+            share[p] = after
         if moved < 1e-9:
             break
-    return prior, weights
+    return prior[0], [
+        (prior[c] - prior[0], [{v: chance[c][r][v] - chance[0][r][v] for v in flat} for r in range(n)]) for c in range(1, n + 1)]
+
+
+def posterior(weights: list[tuple[float, list[dict[int, float]]]], votes_of: list[Column]) -> Column:
+    """The chance of the good class given the votes."""
+
+    def odds(start: float, ratios: list[dict[int, float]]) -> Column:
+        parts = [
+            F.when(v == GOOD, F.lit(w[GOOD])).when(v == BAD, F.lit(w[BAD])).otherwise(F.lit(w[ABSTAIN])) for v, w in zip(votes_of, ratios)]
+        return F.exp(F.least(functools.reduce(operator.add, parts, F.lit(start)), F.lit(500.0)))
+
+    return F.lit(1.0) / functools.reduce(operator.add, [odds(*w) for w in weights], F.lit(1.0))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_from: float = KEEP_FROM):
     """Rows (id, text_hash, counts, base_failed, p_good, kept), and the stages they are read from.
 
     A null or empty text has no words, fails the base rules and goes. Repeated
-    rows are judged alike. An empty table gives an empty result.
+    rows are judged alike, and so are documents that tie in their votes. Texts
+    are judged whole, however long. An empty table gives an empty result.
     """
     stages = Stages(docs.sparkSession)
     counted = features(docs, id_col, text_col)
@@ -142,13 +176,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     found = stages(counted.select("*", *[cast[r].cast("int").alias(f"vote_{r}") for r in RULES]))
     names = [f"vote_{r}" for r in RULES]
     patterns = {tuple(r[:-1]): r[-1] for r in found.groupBy(*names).count().collect()}  # at most 3^7 rows
-    prior, weights = fit(patterns)
-    parts = [
-        F.when(F.col(c) == GOOD, F.lit(w[GOOD])).when(F.col(c) == BAD, F.lit(w[BAD])).otherwise(F.lit(0.0))
-        for c, w in zip(names, weights)
-    ]
-    logit = functools.reduce(operator.add, parts, F.lit(prior))
-    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
+    _, weights = fit(patterns)
+    p = posterior(weights, [F.col(c) for c in names])
     return found.withColumn("base_failed", base_failed()).withColumn("p_good", p).withColumn(
         "kept", ~F.col("base_failed") & (F.col("p_good") >= keep_from))
 
