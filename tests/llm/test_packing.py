@@ -82,11 +82,30 @@ def test_against_whole_texts(docs, rows, tokenizer, capacity):
 def test_long_texts_in_parts(tokenizer, monkeypatch):
     rng = random.Random(3)
     texts = ["".join(rng.choice(["word", " ", "  ", "\n", "é", "9", "'s", " a b", " ", "<|endoftext|>"]) for _ in range(3000)) for _ in range(4)]
-    texts += ["x" * 5000, " " * 5000, ""]
+    texts += ["x" * 5000, " " * 5000 + "a", "\x85" * 300, "\u3000 " * 200_000, "<|endoftext|><|end", ""]
     monkeypatch.setattr(packing.parts_of, "__defaults__", (50,))
     assert max(len(packing.parts_of(t)) for t in texts) > 20
-    for text, ids in zip(texts, packing.encode(tokenizer, texts)):
+    encoder = packing.Encoder(packing.default_tokenizer())
+    assert encoder.fast
+    for text, ids in zip(texts, encoder.encode(texts)):
         assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+    encoder.fast = None
+    assert [x.tolist() for x in encoder.encode(texts[:2])] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts[:2]]
+
+
+def test_equal_ids_on_the_table(spark, tokenizer):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    found = packing.Encoder(packing.default_tokenizer()).encode(texts)
+    assert [x.tolist() for x in found] == [[*e.ids, 0] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_other_files_use_the_library():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert packing.ranks_of(path) is None
+    encoder = packing.Encoder(path)
+    assert encoder.encode(["Some words"])[0].tolist() == [*encoder.library.encode("Some words", add_special_tokens=False).ids, 0]
 
 
 def test_several_shares_and_copies(spark, monkeypatch):
