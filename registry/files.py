@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from registry.fixtures import fixture, fixture_sql, table
@@ -129,6 +130,64 @@ def _header_break(spark, sf):
     return out.select(F.col("`na\ntion`").alias("nation"), "c")
 
 
+def _framed(lines, before, between, after):
+    """Text files with ``before`` as first line and ``after`` as last; ``between`` follows every line but the last."""
+
+    def frame(batches):
+        kept = before
+        for batch in batches:
+            for line in batch[0].to_pylist():
+                if kept is not None:
+                    yield pa.RecordBatch.from_pydict({"value": [kept]})
+                kept = line + between
+        out = [kept.removesuffix(between) if between else kept] + ([after] if after else [])
+        yield pa.RecordBatch.from_pydict({"value": out})
+
+    return lines.mapInArrow(frame, "value string")
+
+
+def _long_ids(spark, sf):
+    """Ids of 19 and 20 digits, codes with leading zeros, amounts of many digits."""
+    path = scratch_path(spark) + ".csv"
+    key = F.col("o_orderkey")
+    rows = table(spark, sf, "orders").select(
+        (F.lit(9223372036850000000) + key).alias("id19"), F.concat(F.lit("1"), F.lpad(key.cast("string"), 19, "0")).alias("id20"),
+        F.lpad(key.cast("string"), 9, "0").alias("code"), F.concat(F.lit(9007199254740993) + key, F.lit(".25")).alias("fine"))
+    write_table(rows, path, "csv")
+    out = read_table(spark, path)
+    kinds = dict(out.dtypes)
+    return out.select(
+        F.col("id19").cast("string").alias("id19"), F.col("id20").cast("string").alias("id20"), "code", F.col("fine").cast("string").alias("fine"),
+        *[F.lit(kinds[c]).alias(f"{c}_type") for c in ("id19", "id20", "code", "fine")])
+
+
+def _reordered(spark, sf):
+    """A folder whose files have their columns in other orders, one of them a column more."""
+    path = scratch_path(spark)
+    rows = table(spark, sf, "orders")
+    for k, columns in enumerate((["o_orderkey", "o_orderpriority", "o_custkey"], ["o_custkey", "o_orderkey"], ["o_clerk", "o_orderpriority", "o_orderkey", "o_custkey"])):
+        some = rows.withColumn("o_clerk", F.concat(F.lit('clerk "'), "o_custkey", F.lit('"\nof '), "o_orderkey"))
+        some.filter(F.col("o_orderkey") % 3 == k).select(*columns).write.mode("append").options(header=True, quote='"', escape='"').csv(path)
+    return read_delimited(spark, path, ",").select("o_orderkey", "o_custkey", "o_orderpriority", "o_clerk")
+
+
+def _header_repair(spark, sf):
+    """A header with a nameless column and a name that comes three times."""
+    path = scratch_path(spark) + ".csv"
+    line = F.concat_ws(",", "c_custkey", F.concat(F.lit('"'), "c_name", F.lit('"')), "c_nationkey", "c_mktsegment")
+    _framed(table(spark, sf, "customer").select(line), "n,,n,n", "", "").write.text(path)
+    return read_table(spark, path)
+
+
+def _json_array(spark, sf):
+    """Files that are one array each, with texts that hold brackets, quotes and backslashes."""
+    path = scratch_path(spark) + ".json"
+    odd = F.concat(F.lit('}],[{ "\\'), "c_name", F.lit("\n\\\" "))
+    record = F.struct("c_custkey", odd.alias("odd"), F.struct("c_nationkey", F.array("c_acctbal").alias("all")).alias("more"))
+    _framed(table(spark, sf, "customer").select(F.to_json(record)), "[", ",", "]").write.text(path)
+    return read_table(spark, path).select("c_custkey", "odd", F.col("more.c_nationkey").alias("c_nationkey"), F.col("more.all")[0].alias("c_acctbal"))
+
+
 def _own_sheet(spark, sf):
     """A table with a column of the folders' name."""
     path = scratch_path(spark)
@@ -157,6 +216,27 @@ QUERIES = {
         _round_trip("json", ".jsonl"),
         FROM_JSON,
     ),
+    "scan_csv_long_ids": (
+        _long_ids,
+        "select cast(9223372036850000000 + o_orderkey as varchar) as id19, '1' || lpad(cast(o_orderkey as varchar), 19, '0') as id20,"
+        " lpad(cast(o_orderkey as varchar), 9, '0') as code, cast(9007199254740993 + o_orderkey as varchar) || '.25' as fine,"
+        " 'bigint' as id19_type, 'decimal(38,0)' as id20_type, 'string' as code_type, 'decimal(38,2)' as fine_type from orders",
+    ),
+    "scan_csv_reordered": (
+        _reordered,
+        "select cast(o_orderkey as bigint) as o_orderkey, cast(o_custkey as bigint) as o_custkey,"
+        " case when o_orderkey % 3 <> 1 then o_orderpriority end as o_orderpriority,"
+        " case when o_orderkey % 3 = 2 then 'clerk \"' || o_custkey || '\"' || chr(10) || 'of ' || o_orderkey end as o_clerk from orders",
+    ),
+    "scan_header_repair": (
+        _header_repair,
+        "select cast(c_custkey as bigint) as n, c_name as col_1, cast(c_nationkey as bigint) as n_duplicated_0, c_mktsegment as n_duplicated_1 from customer",
+    ),
+    "scan_json_array": (
+        _json_array,
+        "select cast(c_custkey as bigint) as c_custkey, '}],[{ \"' || chr(92) || c_name || chr(10) || chr(92) || '\" ' as odd,"
+        " cast(c_nationkey as bigint) as c_nationkey, c_acctbal from customer",
+    ),
     "lookup_list": (
         _lookup_list,
         f"{LOOKUP} select key, line, place from tokens qualify row_number() over (partition by key order by line, place) = 1",
