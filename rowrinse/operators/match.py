@@ -21,7 +21,8 @@ from rowrinse.functions.text import blank, col, strip
 LITERAL_KEYS = 200
 # Up to here each key is one native substring test in generated code.
 LITERAL_PATTERNS = 16
-GRAM = 8
+# Lengths of the stretches that texts and keys are compared by first.
+GRAMS = (1, 2, 3, 5, 8)
 
 _KEY = "__key"
 
@@ -49,10 +50,12 @@ def match_keys(
     if column not in df.columns or keys is None:
         return df
     keys = clean_keys(keys)
-    if keys.isEmpty() if isinstance(keys, DataFrame) else not keys:
-        return df
     keep = mode.lower() == "keep"
     text = col(column).cast("string")
+    if how.lower() == "contains" and isinstance(keys, DataFrame):
+        return contains_by_grams(df, text, keys, keep)  # looks at the keys itself
+    if keys.isEmpty() if isinstance(keys, DataFrame) else not keys:
+        return df
     if how.lower() == "contains":
         return _contains(df, text, keys, keep)
     if how.lower() == "case_insensitive":
@@ -78,34 +81,49 @@ def _by_join(df: DataFrame, text: Column, keys: DataFrame, keep: bool) -> DataFr
     return df.filter(text.isNotNull()).join(keys, text == F.col(_KEY), "left_anti")
 
 
-def _contains(df: DataFrame, text: Column, keys: Sequence[str] | DataFrame, keep: bool) -> DataFrame:
-    """Substring match: a native test for each key of a short list, one join for any other."""
-    if not isinstance(keys, DataFrame) and len(keys) <= LITERAL_PATTERNS:
+def _contains(df: DataFrame, text: Column, keys: Sequence[str], keep: bool) -> DataFrame:
+    """Substring match: a native test for each key of a short list, joins on grams for any other."""
+    if len(keys) <= LITERAL_PATTERNS:
         found = functools.reduce(operator.or_, [text.contains(k) for k in keys])
         return df.filter(found if keep else ~found)
     return contains_by_grams(df, text, _as_table(df, keys), keep)
 
 
-def contains_by_grams(df: DataFrame, text: Column, keys: DataFrame, keep: bool, gram: int = GRAM) -> DataFrame:
-    """Substring match for a key list of any length, as an equi-join.
+def _grams(text: Column, width: int) -> Column:
+    """The different stretches of ``width`` characters of a text, in one pass over it."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1)))
+
 
-    Each key is filed under its first ``gram`` characters (a short key under
-    itself). From every place of a text goes one row for each such length:
-    the text's digest and a window no longer than the longest key. It joins
-    the keys whose start it shares if it starts with one of them. So what is
-    shuffled grows with the text's length, and no pair of text and key is
-    emitted. Rows are matched by the digest, not by the text.
+def _width_of(length: Column, widths: Sequence[int]) -> Column:
+    """The widest gram that fits a key of this length."""
+    return functools.reduce(lambda out, w: F.when(length >= w, w).otherwise(out), sorted(widths), F.lit(None).cast("int"))
+
+
+def contains_by_grams(df: DataFrame, text: Column, keys: DataFrame, keep: bool, widths: Sequence[int] = GRAMS) -> DataFrame:
+    """Substring match for a key list of any length, by the rarest gram of each key.
+
+    A text can hold a key only if it holds all grams of the key. Of these the
+    one that fewest texts hold is looked up, and only texts that hold it are
+    searched for the key itself. Each different text counts once. What is
+    shuffled is a row per different gram of a text, whatever the keys' length,
+    combined before the shuffle where grams are counted. An empty list is a no-op.
     """
-    keys = keys.select(_KEY, F.least(F.length(_KEY), F.lit(gram)).alias("__len"))
-    filed = keys.select(F.col(_KEY).alias("__find"), F.substring(F.col(_KEY), F.lit(1), F.col("__len")).alias("__gram"))
-    widths = keys.agg(F.array_sort(F.collect_set("__len")), F.max(F.length(_KEY))).first()  # at most ``gram`` numbers
-    lengths, longest = widths[0], widths[1] or 1
-    digest = F.md5(text)
-    texts = df.select(text.alias("__text")).filter(F.col("__text").isNotNull()).select(
-        F.md5("__text").alias("__id"), F.regexp_extract_all("__text", F.lit(f"(?s)(?=(.{{1,{longest}}}))"), F.lit(1)).alias("__w"))
-    windows = texts.select("__id", F.explode("__w").alias("__window"))
-    starts = F.array(*[F.when(F.length("__window") >= n, F.substring(F.col("__window"), 1, n)) for n in lengths]) if lengths else F.array().cast("array<string>")
-    pieces = windows.select("__id", "__window", F.explode(starts).alias("__piece")).filter("__piece is not null")
-    same = (F.col("__piece") == F.col("__gram")) & F.col("__window").startswith(F.col("__find"))
-    matched = pieces.join(filed, same, "left_semi").select(F.col("__id").alias(_KEY)).distinct()
-    return _by_join(df, digest, matched, keep)
+    length = F.length(_KEY)
+    widest = _width_of(length, widths)
+    used = sorted(keys.agg(F.collect_set(widest)).first()[0])  # at most one number per width
+    if not used:
+        return df
+    own = functools.reduce(lambda out, w: F.when(widest == w, _grams(F.col(_KEY), w)).otherwise(out), used, F.array().cast("array<string>"))
+    keyed = keys.select(_KEY, F.explode(own).alias("__gram"))
+    texts = df.select(text.alias("__text")).filter(F.col("__text").isNotNull()).distinct().select("__text", F.xxhash64("__text").alias("__id"))
+    found = F.concat(*[_grams(F.col("__text"), w) for w in used])
+    held = texts.select("__id", F.explode(found).alias("__gram"))
+    often = held.groupBy("__gram").agg(F.count(F.lit(1)).alias("__n"))
+    # a key with a gram that no text holds is in none
+    counted = keyed.join(often, "__gram", "left")
+    rarest = counted.groupBy(_KEY).agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__gram")).alias("least"))
+    rarest = rarest.filter(F.col("least.n") > 0).select(_KEY, F.col("least.__gram").alias("__gram"))
+    asked = held.join(rarest, "__gram").groupBy("__id").agg(F.collect_set(_KEY).alias("__keys"))
+    # texts that share a hash are searched for each other's keys too, which changes nothing
+    holds = (F.xxhash64(text) == F.col("__id")) & F.exists("__keys", lambda k: text.contains(k))
+    return df.filter(text.isNotNull()).join(asked, holds, "left_semi" if keep else "left_anti")

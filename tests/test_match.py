@@ -86,7 +86,7 @@ def test_gram_join_against_brute_force(spark, table, mode):
 def test_gram_join_property(spark, texts, keys):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, t string")
     table = spark.createDataFrame([(k,) for k in keys], "__key string")
-    kept = match.contains_by_grams(df, F.col("t"), table, True, gram=3)
+    kept = match.contains_by_grams(df, F.col("t"), table, True, widths=(1, 2, 3))
     assert ids(kept) == [i for i, t in enumerate(texts) if any(k in t for k in keys)]
 
 
@@ -95,3 +95,13 @@ def test_gram_join_property(spark, texts, keys):
 def test_an_empty_key_table_changes_nothing(spark, table, how, mode):
     none = spark.createDataFrame([(" ",), (None,)], "k string")
     assert match.match_keys(table, "t", none, mode, how).count() == len(TEXTS)
+
+
+def test_long_keys_and_texts(spark):
+    """The keys' length changes nothing in what is shuffled, and a common start is not looked up."""
+    base = "common start of every key " * 400
+    df = spark.createDataFrame([(i, f"{base}{i:04d} end" if i % 2 else f"{base[:-1]}") for i in range(200)], "n int, t string")
+    keys = spark.createDataFrame([(f"{base}{i:04d}",) for i in range(0, 200)], "k string")
+    kept = match.match_keys(df, "t", keys, how="contains")
+    assert ids(kept) == list(range(1, 200, 2))
+    assert "{1," not in kept._jdf.queryExecution().executedPlan().toString()
