@@ -124,6 +124,9 @@ def contains_by_grams(df: DataFrame, text: Column, keys: DataFrame, keep: bool,
     rarest = counted.groupBy(_KEY).agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__gram")).alias("least"))
     rarest = rarest.filter(F.col("least.n") > 0).select(_KEY, F.col("least.__gram").alias("__gram"))
     asked = held.join(rarest, "__gram").groupBy("__id").agg(F.collect_set(_KEY).alias("__keys"))
-    # texts that share a hash are searched for each other's keys too, which changes nothing
-    holds = (F.xxhash64(text) == F.col("__id")) & F.exists("__keys", lambda k: text.contains(k))
-    return df.filter(text.isNotNull()).join(asked, holds, "left_semi" if keep else "left_anti")
+    # one row per hash, so the join adds no rows; texts that share one are searched for each other's keys too, which changes nothing
+    columns = [col(c) for c in df.columns]
+    searched = df.filter(text.isNotNull()).select("*", text.alias("__text")).join(
+        asked, F.xxhash64("__text") == F.col("__id"), "inner" if keep else "left")
+    holds = F.exists("__keys", lambda k: F.col("__text").contains(k))
+    return searched.filter(holds if keep else ~F.coalesce(holds, F.lit(False))).select(*columns)
