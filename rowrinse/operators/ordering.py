@@ -33,13 +33,20 @@ def data_columns(df: DataFrame) -> list[str]:
 
 
 def file_order(df: DataFrame) -> Column:
-    """The order of rows in the files ``df`` was just read from."""
+    """The order of rows in the files ``df`` was just read from.
+
+    What is joined or grouped from files has none: the number of a row in its
+    task would change from run to run. A table made in memory keeps the order
+    in which its tasks hold its rows.
+    """
     file = F.col("_metadata.file_path").alias("file")
     if _resolves(df, "_metadata.row_index"):
         return F.struct(file, F.col("_metadata.row_index").alias("row"))
     if _resolves(df, "_metadata.file_block_start"):
         split = F.col("_metadata.file_block_start").alias("split")
         return F.struct(file, split, F.monotonically_increasing_id().alias("line"))
+    if df.inputFiles():
+        raise ValueError("the rows of this table have no order of their own: name the columns that give it in order_by")
     return F.monotonically_increasing_id()
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import urllib.parse
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -329,6 +330,13 @@ def before_after(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
 
 
 def source_size(df: DataFrame) -> DataFrame:
-    """Bytes of the files a table was just read from."""
-    files = df.select("_metadata.file_path", "_metadata.file_size").distinct()
-    return files.agg(F.coalesce(F.sum("file_size"), F.lit(0)).alias("size_bytes"))
+    """Bytes of the files a table was read from, by their listing; no row is read. 0 where it was not read from files."""
+    return files_size(df.sparkSession, [urllib.parse.unquote(f) for f in df.inputFiles()])
+
+
+def files_size(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Bytes of files, or of all files of folders."""
+    if not paths:
+        return spark.range(1).select(F.lit(0).cast("bigint").alias("size_bytes"))
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths)).select("length")
+    return listed.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("size_bytes"))

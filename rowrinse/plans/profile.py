@@ -16,6 +16,7 @@ from rowrinse.operators.summary import (
     column_statistics,
     duplicate_rows,
     sample_values,
+    source_size,
     table_shape,
 )
 from rowrinse.options import CleaningOptions
@@ -30,10 +31,11 @@ class Profile:
     table: DataFrame
     columns: DataFrame
     preview: DataFrame
+    size: DataFrame
 
 
 def profile(df: DataFrame, order_by: Sequence[str] | None = None, exact: bool = True) -> Profile:
-    """Table counts, one row per column, and the first rows."""
+    """Table counts, one row per column, the first rows, and the size of the files."""
     ordered = with_order(df, order_by)
     stats = column_statistics(df, exact)
     samples = sample_values(ordered)
@@ -41,7 +43,7 @@ def profile(df: DataFrame, order_by: Sequence[str] | None = None, exact: bool =
         "samples", F.coalesce("samples", F.array().cast("array<string>"))
     )
     table = table_shape(df).withColumn("duplicate_rows", duplicate_rows(df).scalar())
-    return Profile(table, columns, preview(ordered).drop(ORDER))
+    return Profile(table, columns, preview(ordered).drop(ORDER), size_label(source_size(df)))
 
 
 def preview(

@@ -163,3 +163,13 @@ def test_file_order_is_the_order_in_the_files(spark, tmp_path):
     df = spark.read.parquet(str(tmp_path / "t.parquet"))
     got = [r["id"] for r in ordering.with_order(df).orderBy(ORDER).collect()]
     assert got == [r["id"] for r in spark.range(1000).orderBy(F.hash("id")).collect()]
+
+
+def test_a_joined_table_has_no_order_of_its_own(spark):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_custkey", "o_orderkey")
+    joined = orders.join(orders.groupBy("o_custkey").count(), "o_custkey")
+    with pytest.raises(ValueError, match="order_by"):
+        dedupe.dedupe(joined, "custom", ["o_custkey"])
+    first = dedupe.dedupe(joined, "custom", ["o_custkey"], order_by=["o_orderkey"])
+    assert first.count() == orders.select("o_custkey").distinct().count()
+    assert dedupe.dedupe(orders, "custom", ["o_custkey"]).count() == first.count()
