@@ -32,14 +32,13 @@ def dedupe(
 def dedupe_rows(df: DataFrame, keep: str = "first") -> DataFrame:
     """Drop exact repeats of whole rows.
 
-    Repeats are alike in every column, so a hash aggregate that combines before
-    the shuffle is enough; only a carried ``ORDER`` depends on ``keep``.
+    Repeats are alike in every column, so without an order a hash aggregate
+    that combines before the shuffle is enough. With a carried ``ORDER`` the
+    first or last row of each is picked as for any key, by a hash of the row.
     """
-    names = [col(c) for c in data_columns(df)]
     if ORDER not in df.columns:
         return df.distinct()
-    pick = F.max if keep == "last" else F.min
-    return df.groupBy(*names).agg(pick(ORDER).alias(ORDER))
+    return keep_one(df, [col(c) for c in data_columns(df)], keep)
 
 
 def dedupe_rows_normalized(df: DataFrame, keep: str = "first", order_by: Sequence[str] | None = None) -> DataFrame:

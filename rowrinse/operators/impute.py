@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from rowrinse.functions.text import blank, col, is_number, is_text
 from rowrinse.operators.ordering import BLOCK, ORDER, SLOT, as_blocks, data_columns, with_order
 from rowrinse.operators.rows import as_number
-from rowrinse.session import stage
+from rowrinse.session import leaves_no_scratch, stage
 
 # A column with this many values or fewer gives its median in one aggregate;
 # a longer one is narrowed down first.
@@ -109,6 +109,7 @@ def means(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     return {c: None if row[i] is None else float(row[i]) for i, c in enumerate(columns)}
 
 
+@leaves_no_scratch
 def medians(df: DataFrame, columns: Sequence[str], exact_rows: int = EXACT_MEDIAN_ROWS) -> dict[str, float | None]:
     """Exact medians of all columns together, in a few map-side passes.
 

@@ -167,11 +167,23 @@ def text_statistics(df: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """How many rows belong to a group of equal rows, every member counted."""
+def row_digest(df: DataFrame) -> list[Column]:
+    """Two longs that equal rows share and other rows do not, but for a chance of one in 2^128 a pair.
+
+    A null leaves a hash as it is, so the places of the nulls are hashed too;
+    nested values are hashed as JSON text, which shows the nulls inside.
+    """
     types = _types(df)
-    keys = [F.to_json(col(c)) if isinstance(types[c], T.MapType) else col(c) for c in data_columns(df)]
-    groups = df.groupBy(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("n"))
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    names = data_columns(df)
+    cells = [F.to_json(col(c), {"ignoreNullFields": "false"}) if isinstance(types[c], nested) else col(c) for c in names]
+    nulls = F.concat(*[F.when(col(c).isNull(), "1").otherwise("0") for c in names]) if names else F.lit("")
+    return [F.xxhash64(F.lit(seed), nulls, *cells).alias(f"digest_{seed}") for seed in (1, 2)]
+
+
+def duplicate_rows(df: DataFrame) -> DataFrame:
+    """How many rows belong to a group of equal rows, every member counted; only digests are shuffled."""
+    groups = df.groupBy(*row_digest(df)).agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("duplicate_rows"))
 
 

@@ -12,6 +12,7 @@ from rowrinse.operators.summary import files_size
 from rowrinse.options import CleaningOptions
 from rowrinse.plans.clean import clean
 from rowrinse.plans.profile import size_label
+from rowrinse.session import leaves_no_scratch
 from rowrinse.sinks.category import write_by_category
 from rowrinse.sinks.writers import write_table
 
@@ -22,6 +23,7 @@ def _facts(cleaned: DataFrame, rows: int, path: str) -> dict:
     return {"rows": rows, "cols": len(data_columns(cleaned)), "size_bytes": size["size_bytes"], "size": size["size"], "path": path}
 
 
+@leaves_no_scratch
 def clean_and_export(
     df: DataFrame,
     options: CleaningOptions,
@@ -43,6 +45,7 @@ def clean_and_export(
     return _facts(cleaned, written.schema(cleaned.schema if fmt.lower() == "parquet" else "c string").load(path).count(), path)
 
 
+@leaves_no_scratch
 def clean_and_split(
     df: DataFrame,
     options: CleaningOptions,

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import os
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -32,6 +35,37 @@ def build_session(app: str = "rowrinse", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at the end, through the file system that Spark uses.
+
+    A result that still reads them must be written, or staged outside, before.
+    """
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        for path in paths:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def leaves_no_scratch(run: Callable) -> Callable:
+    """For functions of a DataFrame whose result reads no staged table: writers, and those that return plain values."""
+
+    @functools.wraps(run)
+    def scoped(df: DataFrame, *args, **kwargs):
+        with scratch_scope(df.sparkSession):
+            return run(df, *args, **kwargs)
+
+    return scoped
+
+
 def scratch_path(spark: SparkSession) -> str:
     """A fresh path under the session's shared checkpoint folder.
 
@@ -50,6 +84,7 @@ def stage(df: DataFrame) -> DataFrame:
 
     Cuts the lineage, so later passes neither repeat the work above nor see
     it come out in another order, and a lost executor costs a re-read only.
+    Inside a :func:`scratch_scope` the table lives until its end.
     """
     typed = df.select(
         *[
@@ -60,6 +95,8 @@ def stage(df: DataFrame) -> DataFrame:
         ]
     )
     path = scratch_path(df.sparkSession)
+    if _scopes:
+        _scopes[-1].append(path)
     typed.write.parquet(path)
     return df.sparkSession.read.schema(typed.schema).parquet(path)
 

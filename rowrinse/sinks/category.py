@@ -22,7 +22,7 @@ from rowrinse.functions.text import col
 from rowrinse.operators.ordering import BLOCK, ORDER, SLOT, in_blocks, sort_keys, with_order
 from rowrinse.operators.rows import choose_categories
 from rowrinse.operators.summary import category_counts, category_summary, file_summary
-from rowrinse.session import stage
+from rowrinse.session import leaves_no_scratch, stage
 from rowrinse.sinks.writers import SHEET_ROWS_MAX, in_index_order, rows_per_task, write_table
 
 MODES = ("sorted_unified", "zip", "sheets")
@@ -70,6 +70,7 @@ def file_names(categories: DataFrame) -> DataFrame:
     return number_names(based, FILE_NAME_LIMIT, file_name)
 
 
+@leaves_no_scratch
 def write_by_category(
     df: DataFrame,
     split_column: str,

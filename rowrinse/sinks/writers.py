@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from rowrinse.functions.text import col
 from rowrinse.operators.ordering import BLOCK, ORDER, SLOT, in_blocks, sort_keys, with_order, with_row_index
+from rowrinse.session import leaves_no_scratch
 
 # A sheet's row limit, and names and size of the segments beyond it.
 SHEET_ROWS_MAX = 1_048_500
@@ -63,6 +64,7 @@ def write_table(
         ).csv(path)
 
 
+@leaves_no_scratch
 def write_segments(
     df: DataFrame,
     path: str,

@@ -233,3 +233,12 @@ def test_wide_and_narrow_statistics_agree_on_every_type(spark, monkeypatch):
         assert [r[5] for r in narrow] == [4, 3, 3, 3, 3]
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_repeats_with_nulls_and_nested_values(spark):
+    from rowrinse.operators.summary import duplicate_rows
+
+    rows = [(None, "a", [1, None]), ("a", None, [1, None]), ("a", None, [None, 1]), ("a", None, [1, None]), (None, None, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "x string, y string, l array<int>")
+    assert duplicate_rows(df).first()[0] == 4
+    assert duplicate_rows(df.limit(0)).first()[0] == 0

@@ -9,7 +9,8 @@ import __spark_entry__ as entry
 from registry.fixtures import table
 from rowrinse.operators import dedupe, match, rows
 from rowrinse.operators.columns import rename_columns, select_columns
-from rowrinse.operators.ordering import head_rows
+from rowrinse.operators.ordering import head_rows, with_order
+from rowrinse.operators.summary import duplicate_rows
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -42,6 +43,19 @@ def test_whole_rows_combine_before_the_shuffle(spark):
     assert text.count("HashAggregate") == 2 and text.count("Exchange") == 1
 
 
+def test_whole_rows_in_order_need_no_sorted_aggregate(spark):
+    df = with_order(table(spark, SF_DIR, "orders").drop("o_orderdate"), ["o_orderkey"])
+    text = plan(dedupe.dedupe_rows(df))
+    assert "SortAggregate" not in text and "WindowGroupLimit" in text and text.count("Exchange") == 1
+
+
+def test_repeated_rows_are_counted_by_digests(spark):
+    text = plan(duplicate_rows(table(spark, SF_DIR, "orders")))
+    assert "SortAggregate" not in text
+    first = text[text.index("Exchange hashpartitioning") :].splitlines()[0]
+    assert "o_clerk" not in first and "o_orderkey" not in first
+
+
 def test_key_lists(spark):
     df = table(spark, SF_DIR, "orders").withColumn("k", F.col("o_custkey").cast("string"))
     short = plan(match.match_keys(df, "k", ["1", "2"]))

@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import json
 import pathlib
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
+from rowrinse import session
 from rowrinse.sinks import category, writers
 from rowrinse.sources import lookup, readers
 
@@ -218,3 +220,16 @@ def test_errors(table, tmp_path):
     for mode in category.MODES:
         with pytest.raises(ValueError, match="no rows"):
             category.write_by_category(table, "place", str(tmp_path), mode, selected_categories=["nowhere"])
+
+
+def test_writers_leave_no_scratch(spark, table, tmp_path, monkeypatch):
+    """What is staged on the way to a written result is gone afterwards; what was staged before stays."""
+    folder = tmp_path / "scratch"
+    monkeypatch.setattr(session, "scratch_path", lambda _: str(folder / uuid.uuid4().hex))
+    kept = session.stage(table)
+    category.write_by_category(kept, "place", str(tmp_path / "out"), "zip", "parquet", order_by=["n"])
+    writers.write_segments(kept, str(tmp_path / "segments"), "parquet", order_by=["n"])
+    assert len(list(folder.iterdir())) == 1 and kept.count() == table.count()
+    with session.scratch_scope(spark):
+        assert session.stage(table).count() == table.count() and len(list(folder.iterdir())) == 2
+    assert len(list(folder.iterdir())) == 1
