@@ -27,6 +27,7 @@ _SNIFF_LINES = 50
 # What a cell reads as; a column's cells are summed up by the bits of all their kinds.
 SHORT, LONG, BIG, FRACTION, EXACT, SCIENTIFIC, BOOLEAN, DATE, TIME, TEXT = (1 << k for k in range(10))
 _INTEGER = r"^[+-]?\d{1,38}$"
+_TYPED = r"^[-+.\dtTfFiN]"  # how any cell begins that is not text
 _LEADING_ZERO = r"^[+-]?0\d"
 _DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)$"
 _SCIENTIFIC = r"^[+-]?(\d+\.?\d*|\.\d+)[eE][+-]?\d+$|^[+-]?(inf|NaN)$"
@@ -92,35 +93,35 @@ def _odd_quotes(line: Column) -> Column:
     return (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
 
 
-def kind_of(cell: Column) -> Column:
-    """The kind of a cell as one bit, null for a null cell."""
-    digits = F.length(F.translate(cell, "+-.", ""))
-    fits = F.when(digits <= 15, SHORT).when((digits <= 19) & cell.try_cast("bigint").isNotNull(), LONG).otherwise(BIG)
-    # a fraction is exact as a double where the double is written as it is
-    as_double = cell.try_cast("double")
-    exact = (digits <= 15) | (as_double.cast("string") == cell)
-    return (
-        F.when(cell.isNull(), None)
-        .when(cell.rlike(_LEADING_ZERO), F.when(cell.rlike(_DATE), DATE).when(cell.rlike(_TIME), TIME).otherwise(TEXT))
-        .when(cell.rlike(_INTEGER), fits)
-        .when(cell.rlike(_DECIMAL), F.when(exact, FRACTION).otherwise(EXACT))
-        .when(cell.rlike(_SCIENTIFIC), SCIENTIFIC)
-        .when(cell.rlike(_BOOLEAN), BOOLEAN)
-        .when(cell.rlike(_DATE) & cell.try_cast("date").isNotNull(), DATE)
-        .when(cell.rlike(_TIME) & cell.try_cast("timestamp_ntz").isNotNull(), TIME)
-        .otherwise(TEXT)
-    )
-
-
-def kinds_of(cells: Sequence[Column]) -> list[Column]:
-    """Aggregates of each column: the bits of its kinds, the most digits before the point and after it."""
+def kind_of(cell: str) -> str:
+    """SQL for the kind of a cell as one bit, null for a null cell."""
+    is_ = lambda pattern: f"{cell} rlike r'{pattern}'"
+    digits = f"length(translate({cell}, '+-.', ''))"
+    date, time = f"{is_(_DATE)} and try_cast({cell} as date) is not null", f"{is_(_TIME)} and try_cast({cell} as timestamp_ntz) is not null"
+    return f"""case when {cell} is null then null
+        when not ({is_(_TYPED)}) then {TEXT}
+        when {is_(_LEADING_ZERO)} then case when {date} then {DATE} when {time} then {TIME} else {TEXT} end
+        when {is_(_INTEGER)} then case
+            when {digits} <= 15 then {SHORT} when {digits} <= 19 and try_cast({cell} as bigint) is not null then {LONG} else {BIG} end
+        when {is_(_DECIMAL)} then -- exact as a double where the double is written as it is
+            case when {digits} <= 15 or cast(try_cast({cell} as double) as string) = {cell} then {FRACTION} else {EXACT} end
+        when {is_(_SCIENTIFIC)} then {SCIENTIFIC}
+        when {is_(_BOOLEAN)} then {BOOLEAN}
+        when {date} then {DATE}
+        when {time} then {TIME}
+        else {TEXT} end"""
+
+
+def kinds_of(df: DataFrame, cells: Sequence[str], *more: Column) -> DataFrame:
+    """One row: for each column the bits of its kinds and the most digits before the point and after it, and ``more``."""
     out = []
     for i, cell in enumerate(cells):
-        plain = cell.rlike(_DECIMAL)
-        whole = F.when(plain, F.length(F.translate(F.substring_index(cell, ".", 1), "+-", "")))
-        after = F.when(plain & cell.contains("."), F.length(F.substring_index(cell, ".", -1)))
-        out += [F.bit_or(kind_of(cell)).alias(f"k{i}"), F.max(whole).alias(f"w{i}"), F.max(after).alias(f"f{i}")]
-    return out
+        plain = f"__k{i} & {SHORT | LONG | BIG | FRACTION | EXACT} <> 0"
+        out += [
+            f"bit_or(__k{i}) as k{i}",
+            f"max(case when {plain} then length(translate(substring_index({cell}, '.', 1), '+-', '')) end) as w{i}",
+            f"max(case when {plain} and contains({cell}, '.') then length(substring_index({cell}, '.', -1)) end) as f{i}"]
+    return df.selectExpr("*", *[f"{kind_of(c)} as __k{i}" for i, c in enumerate(cells)]).agg(*map(F.expr, out), *more)
 
 
 def type_of(kinds: int, whole: int, after: int, dates: bool = False) -> T.DataType:
@@ -242,7 +243,7 @@ def read_delimited(
             rows = spark.read.text(part.paths).filter(~F.col("value").isin(part.header, "\ufeff" + part.header) & (F.trim("value") != ""))
             rows = rows.select("value", parsed(F.col("value"), part).alias("r"))
             asked = [F.max(_odd_quotes(F.col("value"))).alias("odd")] if multi_line is None else []
-            broken |= _judge(rows, [F.col(f"r.{c}") for c in part.cells], part.names, seen, asked)
+            broken |= _judge(rows, [f"r.{c}" for c in part.cells], part.names, seen, asked)
     frames = []
     if broken:
         seen = {n: [0, 0, 0] for n in names}
@@ -251,7 +252,7 @@ def read_delimited(
             found = found.withColumn("text", F.regexp_replace("text", r"\r$", "")).filter(F.trim("text") != "")
             df = found.select("file", "start", "seq", parsed(F.col("text"), part).alias("r"))
             if judge:
-                _judge(df, [F.col(f"r.{c}") for c in part.cells], part.names, seen, [])
+                _judge(df, [f"r.{c}" for c in part.cells], part.names, seen, [])
             order = F.struct("file", F.col("start").alias("split"), F.col("seq").alias("line")).alias(ORDER)
             frames.append(df.select(*[F.col(f"r.{c}").alias(c) for c in part.cells], *([order] if keep_order else [])))
     else:
@@ -267,9 +268,9 @@ def read_delimited(
     return functools.reduce(DataFrame.unionByName, typed)
 
 
-def _judge(df: DataFrame, cells: list[Column], names: list[str], seen: dict[str, list[int]], asked: list[Column]) -> bool:
+def _judge(df: DataFrame, cells: list[str], names: list[str], seen: dict[str, list[int]], asked: list[Column]) -> bool:
     """Add what the cells of ``df`` are to ``seen``, in one aggregate; returns the first of what else is asked."""
-    row = df.agg(*kinds_of(cells), *asked).first()
+    row = kinds_of(df, cells, *asked).first()
     for i, name in enumerate(names):
         seen[name][0] |= row[f"k{i}"] or 0
         seen[name][1] = max(seen[name][1], row[f"w{i}"] or 0)
