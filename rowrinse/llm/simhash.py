@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowrinse.llm.common import (
-    Stages, block_pairs, components, local_components, partitions, per_batch, quoted, spread, text_of,
+    Stages, block_pairs, components, local_components, numbered, partitions, per_batch, quoted, spread, text_of,
 )
 
 BITS = 64
 SHARD = 2048
 QUERIES = 512
 GROUP_ROWS = 40_000
+# Members of a proposed group compared at once, and how many of those that are joined go on.
+GROUP_SHARD, STAND_INS = 128, 4
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -337,6 +339,60 @@ def missed_pairs(marked: DataFrame, roots: DataFrame, similarity: float, stages:
     )
 
 
+def linked_groups(members: DataFrame, sets_of, similarity: float, stages: Stages) -> DataFrame:
+    """Links (a, b) of similar texts inside proposed groups (group, text_hash), in work linear in a group.
+
+    A group is cut into shards, whose members are compared with one another
+    and joined. Of what is joined the members with most links then stand for
+    it, and meet those of the other shards in the next round, until a group
+    is one shard or half of it no longer joins. All links are exact; what is
+    still apart then is left to the prefix filter. ``sets_of`` gives the
+    shingles (text_hash, shingles) of wanted texts.
+    """
+    spark = members.sparkSession
+    links = None
+    for turn in range(64):
+        sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        shard = F.pmod(F.xxhash64("text_hash", F.lit(turn)), F.ceil(F.col("n") / GROUP_SHARD))
+        blocks = stages(members.join(sizes, "group").select("group", "text_hash", "n", F.xxhash64("group", shard).alias("block")))
+        count = blocks.count()
+        if not count:
+            break
+        tasks = partitions(spark, count, 4 * GROUP_SHARD)
+
+        def compare(rows: pd.DataFrame) -> pd.DataFrame:
+            out = [[], [], [], []]
+            for _, part in rows.groupby("block"):
+                part = part.drop_duplicates("text_hash").sort_values("text_hash")
+                every = np.ones(len(part), bool)
+                i, j = exact_links([np.frombuffer(x, np.uint64) for x in part["shingles"]], every, every, similarity)
+                label = local_components(len(part), i, j)
+                # the best linked of each component go on; they are no link where both ends are the same
+                degree = np.bincount(i, minlength=len(part))
+                order = np.lexsort((np.arange(len(part)), -degree, label))
+                first = order[numbered(label[order]) < STAND_INS]
+                moved = np.flatnonzero(label != np.arange(len(part)))
+                ids = part["text_hash"].to_numpy()
+                for column, values in zip(out, (
+                    np.r_[ids[moved], ids[first]], np.r_[ids[label[moved]], ids[first]],
+                    np.r_[part["group"].to_numpy()[moved], part["group"].to_numpy()[first]], np.r_[part["n"].to_numpy()[moved], part["n"].to_numpy()[first]],
+                )):
+                    column.append(values)
+            return pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in zip(("a", "b", "group", "n"), out)})
+
+        found = stages(
+            blocks.join(sets_of(blocks.select("text_hash")), "text_hash")
+            .withColumn("task", F.pmod(F.col("block"), F.lit(tasks)).cast("int"))
+            .groupBy("task").applyInPandas(compare, "a bigint, b bigint, group bigint, n bigint")
+        )
+        new = found.filter("a <> b").select("a", "b")
+        links = new if links is None else links.unionByName(new)
+        standing = found.filter(F.col("a") == F.col("b")).filter(F.col("n") > GROUP_SHARD).select("group", F.col("a").alias("text_hash"), "n")
+        fewer = standing.groupBy("group", "n").agg(F.count(F.lit(1)).alias("left")).filter("2 * left <= n").select("group")
+        members = stages(standing.select("group", "text_hash").join(fewer, "group", "left_semi"))
+    return links if links is not None else spark.createDataFrame([], "a bigint, b bigint")
+
+
 def similar_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 14
 ) -> DataFrame:
@@ -344,9 +400,10 @@ def similar_documents(
 
     Fingerprints of twice 64 bits within twice ``radius`` propose groups,
     through BK-trees over the first half, so that chance proposes almost none;
-    inside a proposed group, in blocks of shards, similarities are computed
-    exactly. This joins large groups of copies cheaply but may miss a pair; a
-    prefix filter that misses none then finds the pairs between the groups.
+    inside a proposed group similarities are computed exactly, see
+    :func:`linked_groups`. This joins large groups of copies cheaply but may
+    miss a pair; a prefix filter that misses none then finds the pairs between
+    the groups that are left.
     ``component`` is the smallest id of the chain. Equal texts are one text;
     texts without words are similar to each other.
     """
@@ -358,14 +415,18 @@ def similar_documents(
     schema = pa.schema([*[(c, pa.int64()) for c in numbers], ("size", pa.int32()), ("wanted", pa.int32()), ("start", pa.binary()), ("bits", pa.binary())])
     ddl = "id bigint, text_hash bigint, fp bigint, more bigint, size int, wanted int, start binary, bits binary"
 
+    done: dict[int, tuple] = {}  # of one task: copies are marked once, and carry no start and bits
+
     def mark(batch):
         out = []
-        for text in batch["text"].to_pylist():
+        for text_hash, text in zip(batch["text_hash"].to_pylist(), batch["text"].to_pylist()):
+            if text_hash in done:
+                out.append((*done[text_hash], None, None))
+                continue
             both = wide_hashes(text, shingle)
             first, second = np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
-            out.append((
-                majority(first), majority(second), len(first), wanted_start(len(first), similarity),
-                start_of(first, similarity).tobytes(), parity(first).tobytes()))
+            done[text_hash] = majority(first), majority(second), len(first), wanted_start(len(first), similarity)
+            out.append((*done[text_hash], start_of(first, similarity).tobytes(), parity(first).tobytes()))
         fp, more, *rest = zip(*out)
         names = ("size", "wanted", "start", "bits")
         return {
@@ -380,7 +441,6 @@ def similar_documents(
     proposed = texts.join(groups, texts["text_hash"] == groups["node"], "left").select(
         "text_hash", "first", F.coalesce("component", "text_hash").alias("group"))
     proposed = stages(proposed)
-    blocks = stages(block_pairs(proposed.select("group", "text_hash"), "group", "text_hash", 128).select("block", "text_hash", "left", "right"))
     set_schema = pa.schema([("text_hash", pa.int64()), ("shingles", pa.binary())])
 
     def gather(batch):
@@ -390,28 +450,11 @@ def similar_documents(
         picked = key.select("text_hash", "text").join(wanted, "text_hash", "left_semi")
         return picked.mapInArrow(per_batch(gather, set_schema), "text_hash bigint, shingles binary").dropDuplicates(["text_hash"])
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = [], []
-        for _, part in rows.groupby("block"):
-            part = part.drop_duplicates("text_hash")
-            found = exact_links(
-                [np.frombuffer(x, np.uint64) for x in part["shingles"]], part["left"].to_numpy(), part["right"].to_numpy(), similarity)
-            label = local_components(len(part), *found)
-            moved = np.flatnonzero(label != np.arange(len(part)))
-            ids = part["text_hash"].to_numpy()
-            a.append(ids[moved]), b.append(ids[label[moved]])
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}) if a else pd.DataFrame({"a": [], "b": []}, dtype="int64")
-
-    tasks = partitions(spark, blocks.count(), 256)
-    exact = stages(
-        blocks.join(sets_of(blocks.select("text_hash").distinct()), "text_hash")
-        .withColumn("task", F.pmod(F.col("block"), F.lit(tasks)).cast("int"))
-        .groupBy("task").applyInPandas(compare, "a bigint, b bigint")
-    )
+    exact = linked_groups(proposed.select("group", "text_hash"), sets_of, similarity, stages)
     reached = components(exact, stages)
     roots = stages(texts.join(reached, texts["text_hash"] == reached["node"], "left").select(
         "text_hash", F.coalesce("component", "text_hash").alias("root")))
-    pairs = stages(missed_pairs(marked, roots, similarity, stages))
+    pairs = stages(missed_pairs(marked.filter("start is not null"), roots, similarity, stages))
     pair_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def confirm(batch):

@@ -165,3 +165,27 @@ def test_choice_of_blocks_does_not_change_what_is_similar(spark, monkeypatch):
 def test_empty(empty):
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.drop_near_duplicates(empty).count() == 0 and simhash.drop_similar(empty).count() == 0
+
+
+def test_links_of_a_group_grow_with_its_size(spark, tmp_path):
+    """Near copies of one text: one document stays, and the links are about as many as the members."""
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(300)]
+    counts = {}
+    for n in (200, 800):
+        rows = []
+        for i in range(n):
+            words = list(base)
+            for at in rng.choice(len(base), 3, replace=False):
+                words[at] = f"x{i}y{at}"
+            rows.append((i, " ".join(words)))
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+        assert [r["doc_id"] for r in simhash.drop_similar(docs).collect()] == [0]
+        stages = simhash.Stages(spark)
+        members = spark.createDataFrame([(1, i) for i in range(n)], "group bigint, text_hash bigint")
+        sets = {i: simhash.shingles(t, 5).tobytes() for i, t in rows}
+        sets_of = lambda wanted: wanted.join(spark.createDataFrame([(i, bytearray(s)) for i, s in sets.items()], "text_hash bigint, shingles binary"), "text_hash")
+        links = simhash.linked_groups(members, sets_of, 0.8, stages)
+        counts[n] = links.count()
+        stages.close()
+    assert counts[800] <= 1.3 * 800 and counts[200] <= 1.3 * 200
