@@ -22,6 +22,7 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,9 @@ MARK = "▁"
 CHUNK = 32_768
 BLOCK = 256
 TOGETHER = 16_384
-REMEMBERED = 400_000
+REMEMBERED = 100_000
+# Texts that are cut into words one by one: empty, with a word mark of their own, or with spaces that are not single.
+APART = f"^$|^ | $|  |{MARK}"
 SHORT = 40
 HASH = np.uint64(0x9E3779B97F4A7C15)
 WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -269,24 +272,52 @@ class Pieces:
         if not self.words_apart:
             found = [self.best(t)[0] for t in texts]
             return np.array([i for f in found for i in f], np.int32), np.cumsum([0] + [len(f) for f in found])
-        if len(self.number) > REMEMBERED:
-            self.number, self.stored = {}, 0
-        number, known = self.number, len(self.number)
         seen, per_text = [], []
         for text in texts:
             words = WORDS.findall(text)
             per_text.append(len(words))
-            seen += [number.setdefault(w, len(number)) for w in words]
-        new = list(itertools.islice(reversed(number), len(number) - known))[::-1]
+            seen += words
+        starts, counts = self.looked_up(seen)
+        _, place = spread(starts, counts)
+        ends = np.r_[0, np.cumsum(counts)]
+        return self.store[place], ends[np.r_[0, np.cumsum(per_text)].astype(np.int64)]
+
+    def looked_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each word start in ``store``, and how many they are."""
+        if len(self.number) > REMEMBERED:
+            self.number, self.stored = {}, 0
+        number, known = self.number, len(self.number)
+        seen = np.fromiter([number.setdefault(w, len(number)) for w in words], np.int64, len(words))
+        new = list(itertools.islice(number, known, None))
         ids, counts, _ = self.many(new)
         self.store, self.store_at = roomy(self.store, self.stored + len(ids)), roomy(self.store_at, len(number))
         self.store[self.stored : self.stored + len(ids)] = ids
         self.store_at[:, known : len(number)] = self.stored + np.cumsum(counts) - counts, counts
         self.stored += len(ids)
-        starts, counts = self.store_at[:, np.array(seen, np.int64)]
+        return self.store_at[0].take(seen), self.store_at[1].take(seen)
+
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`encode_all` for texts as they are; where words are single spaces apart, each different word of a batch is looked up once."""
+        if not (self.words_apart and self.dummy_prefix):
+            return self.encode_all([self.normal(t) for t in texts.to_pylist()])
+        apart = np.asarray(pc.match_substring_regex(texts, APART), bool)
+        if apart.all():
+            return self.encode_all([self.normal(t) for t in texts.to_pylist()])
+        lists = pc.split_pattern(texts.filter(pa.array(~apart)), " ")
+        coded = lists.flatten().dictionary_encode()
+        at = np.asarray(coded.indices)
+        starts, counts = (x.take(at) for x in self.looked_up([MARK + w for w in coded.dictionary.to_pylist()]))
         _, place = spread(starts, counts)
-        ends = np.r_[0, np.cumsum(counts)]
-        return self.store[place], ends[np.r_[0, np.cumsum(per_text)].astype(np.int64)]
+        ids, ends = self.store.take(place), np.r_[0, np.cumsum(counts)].take(np.r_[0, np.cumsum(np.asarray(lists.value_lengths()))])
+        if not apart.any():
+            return ids, ends
+        more, more_ends = self.encode_all([self.normal(t) for t in texts.filter(pa.array(apart)).to_pylist()])
+        sizes = np.zeros(len(apart), np.int64)
+        sizes[apart], sizes[~apart] = np.diff(more_ends), np.diff(ends)
+        out = np.empty(int(sizes.sum()), np.int32)
+        from_more = np.repeat(apart, sizes)
+        out[from_more], out[~from_more] = more, ids
+        return out, np.r_[0, np.cumsum(sizes)]
 
     def forward(self, text: str, enter: np.ndarray, start: int, stop: int, beyond: int) -> np.ndarray:
         """Best scores at ``stop`` .. ``stop + longest - 1``; ``enter`` has the rows' scores at ``start`` and on.
@@ -322,6 +353,19 @@ class Pieces:
         out = b"".join(map(self.raw.__getitem__, ids)).decode(errors="replace")
         return out[1:] if self.dummy_prefix and out.startswith(" ") else out
 
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of many lists of ids, joined side by side; bytes that are no UTF-8 are replaced one text at a time."""
+        pieces = pa.array(self.raw, pa.large_binary()).take(pa.array(ids))
+        joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pieces), pa.scalar(b"", pa.large_binary()))
+        try:
+            texts = joined.cast(pa.large_string())
+        except pa.ArrowInvalid:
+            texts = pa.array([self.decode(ids[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])], pa.large_string())
+        else:
+            if self.dummy_prefix:
+                texts = pc.if_else(pc.starts_with(texts, " "), pc.utf8_slice_codeunits(texts, 1), texts)
+        return texts.cast(pa.string())
+
 
 IDS = pa.list_(pa.int32())
 
@@ -339,8 +383,10 @@ def _model(path: str) -> Pieces:
     return held(("pieces", path), lambda: Pieces(path))
 
 
-def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """``docs`` as rows (id, row, ids): the best segmentation of every whole text.
+def encode(
+    docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, decoded: bool = False
+) -> DataFrame:
+    """``docs`` as rows (id, row, ids), with ``decoded`` also the text they decode to: the best segmentation of every whole text.
 
     Texts of up to ``chunk`` characters are encoded where they are read. Only
     longer ones are cut, and only their chunks and matrices are shuffled. A
@@ -355,23 +401,28 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
     prefix = 1 if _model(path).dummy_prefix else 0
     kind = base.schema["id"].dataType.simpleString()
     short = base.filter(F.length("text") <= chunk)
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    schema = pa.schema([("id", arrow_id), ("row", pa.int64()), ("ids", IDS)])
+    ddl = f"id {kind}, row bigint, ids array<int>" + (", decoded string" if decoded else "")
 
     def whole(batches):
         p = _model(path)
         for b in in_slices(batches):
-            ids = as_lists(*p.encode_all([p.normal(t) for t in b["text"].to_pylist()]))
-            yield pa.RecordBatch.from_arrays([b["id"], b["row"], ids], schema=schema)
+            ids, ends = p.encode_texts(b["text"])
+            more = {"decoded": p.decode_all(ids, ends)} if decoded else {}
+            yield pa.RecordBatch.from_pydict({"id": b["id"], "row": b["row"], "ids": as_lists(ids, ends), **more})
 
-    plain = short.select("id", "row", "text").mapInArrow(whole, f"id {kind}, row bigint, ids array<int>")
+    plain = short.select("id", "row", "text").mapInArrow(whole, ddl)
     # a chunk carries the characters that its last piece may reach into
     long = stages(base.filter(F.length("text") > chunk).groupBy("id", "row", "text").agg(F.count(F.lit(1)).alias("copies")))
-    starts = F.sequence(F.lit(0), F.length("text") - 1, F.lit(chunk))
-    parts = long.select("id", "row", "copies", "text", F.posexplode(starts).alias("part", "at")).select(
-        "row", "part",
-        F.expr(f"substring(text, at + 1, {chunk + longest})").alias("text"),
-        F.least(F.lit(chunk), F.length("text") - F.col("at")).alias("size"))
+
+    def chunks(batches):
+        for b in in_slices(batches, 1):
+            row, text = b["row"][0].as_py(), b["text"][0].as_py()
+            for k, at in enumerate(range(0, len(text), chunk)):
+                yield pa.RecordBatch.from_pydict({
+                    "row": [row], "part": pa.array([k], pa.int32()), "text": [text[at : at + chunk + longest]],
+                    "size": pa.array([min(chunk, len(text) - at)], pa.int32())})
+
+    parts = long.select("row", "text").mapInArrow(chunks, "row bigint, part int, text string, size int")
     parts = stages(parts.repartition(partitions(spark, 1, 1), "row", "part"))
 
     def text_at(p: Pieces, part: int, text: str) -> tuple[str, int]:
@@ -445,26 +496,32 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
     whole_ids = traced.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("p")).select(
         "row", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))
     joined = long.select("id", "row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("c")).join(whole_ids, "row")
-    return plain.unionByName(joined.select("id", "row", "ids"))
+    joined = joined.select("id", "row", "ids")
+    return plain.unionByName(decode(joined, path) if decoded else joined)
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
-    """``encoded`` (id, row, ids) with the text that the ids stand for."""
+    """``encoded`` (id, row, ids) with the text that the ids stand for; no ids are an empty text."""
     path = model or default_model()
-    kinds = {f.name: f.dataType.simpleString() for f in encoded.schema.fields}
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kinds["id"]]
-    schema = pa.schema([("id", arrow_id), ("row", pa.int64()), ("ids", IDS), ("decoded", pa.string())])
+    kind = encoded.schema["id"].dataType.simpleString()
 
     def run(batches):
         p = _model(path)
         for b in in_slices(batches):
-            yield pa.RecordBatch.from_pydict(
-                {"id": b["id"], "row": b["row"], "ids": b["ids"], "decoded": [p.decode(x) for x in b["ids"].to_pylist()]}, schema=schema)
+            ids, ends = np.asarray(b["ids"].flatten()), np.r_[0, np.cumsum(np.asarray(pc.fill_null(b["ids"].value_lengths(), 0)))]
+            yield pa.RecordBatch.from_pydict({"id": b["id"], "row": b["row"], "ids": b["ids"], "decoded": p.decode_all(ids, ends)})
 
-    return encoded.mapInArrow(run, f"id {kinds['id']}, row bigint, ids array<int>, decoded string")
+    return encoded.select("id", "row", "ids").mapInArrow(run, f"id {kind}, row bigint, ids array<int>, decoded string")
 
 
 def encode_and_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows (id, n_pieces, ids, decoded) of every text."""
-    out = decode(encode(docs, id_col=id_col, text_col=text_col, **options))
+    """Rows (id, n_pieces, ids, decoded) of every text; short texts are encoded and decoded in one pass.
+
+    Ids of any type are carried as they are. A null or empty text has no pieces
+    and decodes to an empty text; repeated rows stay. Of equally good paths the
+    one with the longer earlier piece is taken within a chunk; a text of over
+    ``chunk`` characters may be cut otherwise there than in one go, at the same
+    score. An empty table gives an empty result.
+    """
+    out = encode(docs, id_col=id_col, text_col=text_col, decoded=True, **options)
     return out.select(F.col("id").alias(id_col), F.size("ids").alias("n_pieces"), "ids", "decoded")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as pb
@@ -73,3 +74,26 @@ def test_matrices_combine_associatively():
 
 def test_empty(empty):
     assert pieces.encode_and_decode(empty).count() == 0
+
+
+def test_ids_of_any_type(spark):
+    rows = [(1, "a b  c"), (2, " x"), (2, None), (3, "▁ mark"), (4, "y " * 20)]
+    for kind in ("smallint", "decimal(10,2)", "date", "string"):
+        key = "date_add(date'2024-01-01', cast(n as int))" if kind == "date" else f"cast(n as {kind})"
+        df = spark.createDataFrame(rows, "n int, text string").selectExpr(f"{key} as doc_id", "text")
+        for chunk in (pieces.CHUNK, 8):
+            out = pieces.encode_and_decode(df, chunk=chunk)
+            assert dict(out.dtypes)["doc_id"] == kind
+            assert sorted(r["decoded"] for r in out.collect()) == sorted((t or "").replace("▁", " ") for _, t in rows)
+
+
+def test_words_at_once_equal_words_one_by_one():
+    import pyarrow as pa
+
+    p = pieces.Pieces(pieces.default_model())
+    texts = ["", " ", "one two", "a  b", " lead", "trail ", "▁", "été 日本語 ñ 🎉 x", "x" * 90, "one two one"]
+    ids, ends = p.encode_texts(pa.array(texts))
+    for text, a, b in zip(texts, ends[:-1], ends[1:]):
+        assert ids[a:b].tolist() == p.encode_all([p.normal(text)])[0].tolist()
+    assert p.decode_all(ids, ends).to_pylist() == [t.replace("▁", " ") for t in texts]
+    assert p.decode_all(np.array([p.bytes[0xC3]], np.int32), np.array([0, 1])).to_pylist() == ["�"]
