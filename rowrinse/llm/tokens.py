@@ -36,7 +36,7 @@ from rowrinse.llm.pieces import roomy
 MAGIC = b"IDRANGE1"
 BLOCK = 2048
 END = 1
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 SLOTS = 2048
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-z0-9ªµºß-öø-ÿ²³¹¼½¾]+")
 # Texts that are not looked up by pieces: beyond Latin-1, special tokens, separators that the libraries see otherwise.
@@ -82,7 +82,7 @@ class Encoder:
 
     def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each piece start in ``store``, and how many they are."""
-        if len(self.number) > REMEMBERED or self.stored > 16 * REMEMBERED:
+        if len(self.number) > REMEMBERED or self.stored > 8 * REMEMBERED:
             self.number, self.stored = {}, 0
         if len(self.word) > REMEMBERED:
             self.word = {}
@@ -361,6 +361,7 @@ def _fs(path: str):
 
 
 FILE_BYTES = 12 << 20
+FILE_IDS = 4_000_000
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -404,7 +405,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_co
             state["docs"] += b["id"].to_pylist()
             state["sizes"].append(sizes), state["ids"].append(ids)
             state["n"] += len(ids)
-            if state["n"] > 8_000_000:
+            if state["n"] > FILE_IDS:
                 yield flush()
         if state["docs"]:
             yield flush()
