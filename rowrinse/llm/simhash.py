@@ -21,7 +21,7 @@ SHARD = 2048
 QUERIES = 512
 GROUP_ROWS = 40_000
 # Members of a proposed group compared at once, and how many of those that are joined go on.
-GROUP_SHARD, STAND_INS = 128, 4
+GROUP_SHARD, STAND_INS = 512, 4
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -345,7 +345,7 @@ def linked_groups(members: DataFrame, sets_of, similarity: float, stages: Stages
     A group is cut into shards, whose members are compared with one another
     and joined. Of what is joined the members with most links then stand for
     it, and meet those of the other shards in the next round, until a group
-    is one shard or half of it no longer joins. All links are exact; what is
+    is one shard or a round leaves over nine tenths of it. All links are exact; what is
     still apart then is left to the prefix filter. ``sets_of`` gives the
     shingles (text_hash, shingles) of wanted texts.
     """
@@ -358,7 +358,7 @@ def linked_groups(members: DataFrame, sets_of, similarity: float, stages: Stages
         count = blocks.count()
         if not count:
             break
-        tasks = partitions(spark, count, 4 * GROUP_SHARD)
+        tasks = partitions(spark, count, 2 * GROUP_SHARD)
 
         def compare(rows: pd.DataFrame) -> pd.DataFrame:
             out = [[], [], [], []]
@@ -388,7 +388,7 @@ def linked_groups(members: DataFrame, sets_of, similarity: float, stages: Stages
         new = found.filter("a <> b").select("a", "b")
         links = new if links is None else links.unionByName(new)
         standing = found.filter(F.col("a") == F.col("b")).filter(F.col("n") > GROUP_SHARD).select("group", F.col("a").alias("text_hash"), "n")
-        fewer = standing.groupBy("group", "n").agg(F.count(F.lit(1)).alias("left")).filter("2 * left <= n").select("group")
+        fewer = standing.groupBy("group", "n").agg(F.count(F.lit(1)).alias("left")).filter("10 * left <= 9 * n").select("group")
         members = stages(standing.select("group", "text_hash").join(fewer, "group", "left_semi"))
     return links if links is not None else spark.createDataFrame([], "a bigint, b bigint")
 
