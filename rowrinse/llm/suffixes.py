@@ -1,9 +1,9 @@
-"""Removal of repeated passages by prefix doubling over the positions of all texts.
+"""Removal of repeated passages by hash ranks of anchored ranges of positions.
 
-Classic doubling ranks every position by its first h bytes, then by pairs of
+This is not prefix doubling, which ranks every position by its first h bytes, then by pairs of
 ranks h apart, and drops positions as soon as their rank is unique. Ranking
-each byte would move many times the input, so two things differ, neither of
-which changes the result:
+each byte would move many times the input; what that costs was not measured.
+Two things differ, neither of which changes the result:
 
 * Positions are filed by an anchor: in each stretch of the threshold's length,
   the 16 bytes with the least hash, a place that equal stretches agree on.
