@@ -2,7 +2,7 @@
 
 This is not prefix doubling, which ranks every position by its first h bytes, then by pairs of
 ranks h apart, and drops positions as soon as their rank is unique. Ranking
-each byte would move many times the input; what that costs was not measured.
+each byte moves many times the input, whose cost the README gives.
 Two things differ, neither of which changes the result:
 
 * Positions are filed by an anchor: in each stretch of the threshold's length,
@@ -16,7 +16,8 @@ Two things differ, neither of which changes the result:
   ranked in the same two ways, and only the starts of those that are left then
   are ranked one by one.
 
-Ranks that decide have 128 bits.
+Ranks that decide have 128 bits. Joins on a rank that many rows share deal
+those rows by a salt as well.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowrinse.llm.common import Stages, in_slices, quoted, text_of
@@ -37,8 +38,10 @@ PIECE = 1 << 20
 PLACE = np.uint64((1 << 31) - 1)
 
 SHORT = 24
+SALTS = 256
+HOT = 1024
 
-RANGES = "th_hi bigint, th_lo bigint, s1 int, s2 int, anchor int, half bigint, all_hi bigint, all_lo bigint"
+RANGES = "th_hi bigint, th_lo bigint, pick int, s1 int, s2 int, anchor int, half bigint, all_hi bigint, all_lo bigint"
 CHUNKS = "th_hi bigint, th_lo bigint, r1 int, s1 int, s2 int, known boolean, half bigint, all_hi bigint, all_lo bigint"
 STARTS = "th_hi bigint, th_lo bigint, s int, known boolean, all_hi bigint, all_lo bigint"
 TEXT, RANK = ["th_hi", "th_lo"], ["all_hi", "all_lo"]
@@ -130,6 +133,11 @@ def keyed(docs: DataFrame, text_col: str, *more) -> DataFrame:
         *base.columns, part(1).alias("th_hi"), part(16).alias("th_lo"))
 
 
+def other_columns(docs: DataFrame, text_col: str) -> Column:
+    """A hash that tells rows with one text apart."""
+    return F.xxhash64(*[quoted(c) for c in docs.columns if c != text_col]).alias("row")
+
+
 def arrow_rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     """A batch from tuples; unsigned 64-bit ranks become signed, and a 128-bit rank two numbers."""
     columns = list(zip(*rows)) if rows else [()] * (len(schema) - 1)
@@ -142,33 +150,50 @@ def arrow_rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*arrays, *map(pa.array, halves_of(list(whole)))], schema=schema)
 
 
-def sift(ranges: DataFrame, stages: Stages, key: list[str]) -> tuple[DataFrame, DataFrame]:
+def frequent(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys that hold over a share of 1 / ``HOT`` of all that ``counts`` counts: fewer than ``HOT``."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return counts.filter(F.col("n") > max(total / HOT, SALTS)).select(*keys)
+
+
+def salted(rows: DataFrame, others: DataFrame, keys: list[str], hot: DataFrame, how: str, by: list[str]) -> DataFrame:
+    """``rows`` joined with ``others``, which has a row a key; rows of the ``hot`` keys are dealt by ``by`` too."""
+    flag = F.broadcast(hot.withColumn("hot", F.lit(True)))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0)
+    copies = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(flag, keys, "left").withColumn("salt", salt).drop("hot")
+    right = others.join(flag, keys, "left").withColumn("salt", F.explode(copies)).drop("hot")
+    return left.join(right, [*keys, "salt"], how).drop("salt")
+
+
+def sift(ranges: DataFrame, stages: Stages, key: list[str], by: list[str]) -> tuple[DataFrame, DataFrame]:
     """Of ranges with ranks (half, all_hi, all_lo) those that may repeat, and their classes.
 
     The rows whose half is unique go. A class is the rows of one whole rank,
-    with one of them, its number of rows, and whether its half is in other
-    classes too (``mixed``). ``known`` marks ranges that are known to repeat.
+    with one of them, its number of rows ``n``, and whether its half is in
+    other classes too (``mixed``). ``known`` marks ranges that are known to
+    repeat. ``by`` are the columns that tell the rows of a half apart.
     """
-    shared = ranges.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half")
-    left = stages(ranges.join(shared, "half", "left_semi"))
-    mixed = left.groupBy("half").agg(
-        F.min("all_hi").alias("a"), F.max("all_hi").alias("b"), F.min("all_lo").alias("c"), F.max("all_lo").alias("d"),
-    ).filter("a <> b or c <> d").select("half")
+    shared = stages(ranges.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    hot = frequent(shared, ["half"])
+    left = stages(salted(ranges, shared.select("half"), ["half"], hot, "left_semi", by))
     # written before the join, so that the grouping is dealt by all its keys and not by a half that many rows share
     classes = stages(left.groupBy("half", *RANK).agg(
-        ((F.count(F.lit(1)) > 1) | F.max("known")).alias("known"), *[F.first(c).alias(c) for c in key]))
-    flagged = classes.join(mixed.withColumn("mixed", F.lit(True)), "half", "left").withColumn("mixed", F.col("mixed").isNotNull())
-    return left, stages(flagged.drop("half"))
+        F.count(F.lit(1)).alias("n"), ((F.count(F.lit(1)) > 1) | F.max("known")).alias("known"),
+        *[F.first(c).alias(c) for c in key]))
+    mixed = classes.groupBy("half").agg((F.count(F.lit(1)) > 1).alias("mixed")).filter("mixed")
+    flagged = salted(classes, mixed, ["half"], hot, "left", RANK)
+    return left, stages(flagged.withColumn("mixed", F.col("mixed").isNotNull()).drop("half"))
 
 
 def repeated_starts(docs: DataFrame, stages: Stages, text_col: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
-    """For the texts in which a stretch starts that starts elsewhere too: (texts, marks).
+    """For the texts in which a stretch starts that starts elsewhere too: (marked texts, digests that very many rows share).
 
-    ``texts`` has one row (th_hi, th_lo, text) per text digest, ``marks`` rows
-    (th_hi, th_lo, marks). A mark is a range of starts, s1 .. s2, or, with
-    ``mask``, single starts from s1 on by bits.
+    A marked text is a row (th_hi, th_lo, text, marks), one per text digest. A
+    mark is a range of starts, s1 .. s2, or, with ``mask``, single starts from
+    s1 on by bits. Nothing is left of a text of the second table, as it repeats.
     """
-    long = keyed(docs, text_col, F.xxhash64(*[quoted(c) for c in docs.columns if c != text_col]).alias("row"))
+    long = keyed(docs, text_col, other_columns(docs, text_col))
     long = long.filter(F.octet_length("text") >= length)
     schemas = {ddl: arrow_schema(ddl) for ddl in (RANGES, CHUNKS, STARTS)}
 
@@ -176,22 +201,25 @@ def repeated_starts(docs: DataFrame, stages: Stages, text_col: str = "text", len
         for b in in_slices(batches):
             rows = []
             for hi, lo, text in zip(b["th_hi"].to_pylist(), b["th_lo"].to_pylist(), b["text"].to_pylist()):
-                rows += [(hi, lo, *r) for r in ranges_of(text.encode(), length)]
+                rows += [(hi, lo, i % SALTS, *r) for i, r in enumerate(ranges_of(text.encode(), length), len(rows))]
             yield arrow_rows(schemas[RANGES], rows)
 
     filed = stages(long.select("th_hi", "th_lo", "text").mapInArrow(file, RANGES))
-    left, classes = sift(filed.withColumn("known", F.lit(False)), stages, [*TEXT, "s1", "s2", "anchor"])
+    left, classes = sift(filed.withColumn("known", F.lit(False)), stages, [*TEXT, "s1", "s2", "anchor"], ["pick"])
     stages.drop(filed)
 
-    def marked(rows: DataFrame, found: DataFrame) -> DataFrame:
-        return rows.filter("not known").join(found.filter("known").select(*RANK), RANK, "left_semi").select(*TEXT, "s1", "s2")
+    def marked(rows: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
+        found = found.filter("known").select(*RANK, "n")
+        hits = salted(rows.filter("not known"), found.drop("n"), RANK, frequent(found, RANK), "left_semi", by)
+        return hits.select(*TEXT, "s1", "s2")
 
-    whole = marked(left, classes).distinct()
+    whole = marked(left, classes, ["pick"]).distinct()
 
     # one text for each digest that still matters, with the ranges to be cut
     cut = classes.filter("mixed").groupBy(*TEXT).agg(F.collect_list(F.struct("s1", "s2", "anchor", "known")).alias("ranges"))
-    one = long.select(*TEXT, "row").groupBy(*TEXT).agg(F.min("row").alias("row"))
-    wanted = left.select(*TEXT).distinct().join(one, TEXT).join(cut, TEXT, "left")
+    one = stages(long.groupBy(*TEXT).agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n")))
+    hot = frequent(one, TEXT)
+    wanted = left.select(*TEXT).distinct().join(one.drop("n"), TEXT).join(cut, TEXT, "left")
     texts = stages(long.join(wanted, [*TEXT, "row"]).dropDuplicates([*TEXT, "row"]).drop("row"))
     ranges = texts.select(*TEXT, "text", F.explode("ranges").alias("r")).select(*TEXT, "text", "r.*")
     context = F.substring(F.encode("text", "UTF-8"), F.col("s1") + 1, F.col("s2") - F.col("s1") + length)
@@ -205,8 +233,8 @@ def repeated_starts(docs: DataFrame, stages: Stages, text_col: str = "text", len
             yield arrow_rows(schemas[CHUNKS], rows)
 
     chunks = contexts.mapInArrow(chunk, CHUNKS)
-    short_left, short_classes = sift(stages(chunks), stages, [*TEXT, "r1", "s1", "s2"])
-    short = marked(short_left, short_classes)
+    short_left, short_classes = sift(stages(chunks), stages, [*TEXT, "r1", "s1", "s2"], [*TEXT, "s1"])
+    short = marked(short_left, short_classes, [*TEXT, "s1"])
 
     def start(batches):
         wide = xxhash.xxh3_128_intdigest
@@ -220,14 +248,13 @@ def repeated_starts(docs: DataFrame, stages: Stages, text_col: str = "text", len
     edges = short_classes.filter("mixed").select(*TEXT, "r1", "s1", "s2", "known").join(
         contexts.select(*TEXT, "r1", "context"), [*TEXT, "r1"])
     starts = stages(edges.select(*TEXT, "r1", "s1", "s2", "known", "context").mapInArrow(start, STARTS))
-    twice = starts.groupBy(*RANK).agg(F.count(F.lit(1)).alias("n"), F.max("known").alias("known")).filter("n > 1 or known")
-    single = starts.filter("not known").join(twice.select(*RANK), RANK, "left_semi")
+    twice = stages(starts.groupBy(*RANK).agg(F.count(F.lit(1)).alias("n"), F.max("known").alias("known")).filter("n > 1 or known"))
+    single = salted(starts.filter("not known"), twice.select(*RANK), RANK, frequent(twice, RANK), "left_semi", [*TEXT, "s"])
     bits = single.groupBy(*TEXT, F.expr("s div 32").alias("word")).agg(F.expr("bit_or(shiftleft(1L, s % 32))").alias("mask"))
     marks = whole.unionByName(short).withColumn("mask", F.lit(0).cast("bigint")).unionByName(
         bits.select(*TEXT, (F.col("word") * 32).cast("int").alias("s1"), F.lit(-1).alias("s2"), "mask"))
-    out = stages(marks.groupBy(*TEXT).agg(F.collect_list(F.struct("s1", "s2", "mask")).alias("marks")))
-    stages.close(keep=(texts, out))
-    return texts.select(*TEXT, "text"), out
+    out = marks.groupBy(*TEXT).agg(F.collect_list(F.struct("s1", "s2", "mask")).alias("marks"))
+    return texts.select(*TEXT, "text").join(out, TEXT), hot
 
 
 def covered(size: int, marks: list[dict] | None, length: int = LENGTH) -> np.ndarray:
@@ -245,18 +272,12 @@ def covered(size: int, marks: list[dict] | None, length: int = LENGTH) -> np.nda
     return np.cumsum(step[:-1]) > 0
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """Rows (id, n_bytes, n_removed, n_spans, kept_sha256) of every text as UTF-8 bytes.
-
-    A byte goes if a string of ``length`` bytes that covers it starts anywhere
-    else too, in another document or in the same, judged on the input. Null
-    and shorter texts stay as they are; repeated rows are copies of each other.
-    """
-    texts, marks = repeated_starts(docs, Stages(docs.sparkSession), text_col, length)
-    ddl = "th_hi bigint, th_lo bigint, n_removed bigint, n_spans bigint, cut_sha256 string"
+def cut_texts(marked: DataFrame, stages: Stages, length: int, keep: tuple[DataFrame, ...]) -> DataFrame:
+    """Rows (th_hi, th_lo, n_removed, n_spans, cut_sha256, kept) of the marked texts, written once."""
+    ddl = "th_hi bigint, th_lo bigint, n_removed bigint, n_spans bigint, cut_sha256 string, kept string"
     schema = arrow_schema(ddl)
 
-    def digest(batches):
+    def cut(batches):
         for b in in_slices(batches):
             rows = []
             for hi, lo, text, found in zip(*(b[c].to_pylist() for c in (*TEXT, "text", "marks"))):
@@ -264,40 +285,50 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                 gone = covered(len(data), found, length)
                 spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                rows.append((hi, lo, len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+                rows.append((hi, lo, len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 5, schema)], schema=schema)
+                [pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 6, schema)], schema=schema)
+
+    out = stages(marked.select(*TEXT, "text", "marks").mapInArrow(cut, ddl))
+    stages.close(keep=(out, *keep))
+    return out
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """Rows (id, n_bytes, n_removed, n_spans, kept_sha256, kept_text) of every text as UTF-8 bytes.
 
-    cut = texts.join(marks, TEXT).select(*TEXT, "text", "marks").mapInArrow(digest, ddl)
-    rows = keyed(docs, text_col, quoted(id_col).cast("bigint").alias("id")).select(
-        "id", *TEXT, F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("sha256"))
-    return rows.join(cut, TEXT, "left").select(
+    A byte goes if a string of ``length`` bytes that covers it starts anywhere
+    else too, in another document or in the same, judged on the input. Null
+    and shorter texts stay as they are, a null one as an empty text; repeated
+    rows are copies of each other; an empty table gives no rows. The digest is
+    that of the remaining bytes; in ``kept_text`` a character that loses a
+    byte goes whole.
+    """
+    stages = Stages(docs.sparkSession)
+    marked, hot = repeated_starts(docs, stages, text_col, length)
+    hot = stages(hot)
+    cut = cut_texts(marked, stages, length, keep=(hot,))
+    rows = keyed(docs, text_col, quoted(id_col).cast("bigint").alias("id"), other_columns(docs, text_col)).select(
+        "id", "row", *TEXT, "text", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("sha256"))
+    return salted(rows, cut, TEXT, hot, "left", ["row"]).select(
         "id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
-        F.coalesce("cut_sha256", "sha256").alias("kept_sha256"))
+        F.coalesce("cut_sha256", "sha256").alias("kept_sha256"), F.coalesce("kept", "text").alias("kept_text"))
 
 
 def drop_repeats(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", length: int = LENGTH) -> DataFrame:
     """``docs`` with the repeated bytes gone from its texts; a character that loses a byte goes whole.
 
-    All rows stay; ``chars_col``, where there is one, follows the text.
+    All rows stay, repeated ones too; null, empty and shorter texts do not
+    change. ``chars_col``, where there is one, follows the text.
     """
-    texts, marks = repeated_starts(docs, Stages(docs.sparkSession), text_col, length)
-    ddl = "th_hi bigint, th_lo bigint, kept string"
-    schema = arrow_schema(ddl)
-
-    def cut(batches):
-        for b in in_slices(batches):
-            kept = []
-            for text, found in zip(b["text"].to_pylist(), b["marks"].to_pylist()):
-                data = text.encode()
-                kept.append(np.frombuffer(data, np.uint8)[~covered(len(data), found, length)].tobytes().decode(errors="ignore"))
-            yield pa.RecordBatch.from_arrays([b["th_hi"], b["th_lo"], pa.array(kept, pa.string())], schema=schema)
-
-    changed = texts.join(marks, TEXT).select(*TEXT, "text", "marks").mapInArrow(cut, ddl)
+    stages = Stages(docs.sparkSession)
+    marked, hot = repeated_starts(docs, stages, text_col, length)
+    hot = stages(hot)
+    changed = cut_texts(marked, stages, length, keep=(hot,)).select(*TEXT, "kept")
     names = docs.columns
     inner = {c: f"c{i}" for i, c in enumerate(names)}
-    rows = keyed(docs, text_col, *[quoted(c).alias(inner[c]) for c in names]).drop("text")
-    rows = rows.join(changed, TEXT, "left")
+    rows = keyed(docs, text_col, *[quoted(c).alias(inner[c]) for c in names], other_columns(docs, text_col)).drop("text")
+    rows = salted(rows, changed, TEXT, hot, "left", ["row"])
     out = []
     for c in names:
         new = F.col("kept") if c == text_col else F.length("kept").cast(docs.schema[c].dataType) if c == chars_col else None

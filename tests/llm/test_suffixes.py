@@ -24,8 +24,23 @@ def brute(texts, length):
 def test_against_brute_force(docs, rows):
     for length in (64, 400):
         wanted = sorted((r[0] if r[0] is not None else -1, *x) for r, x in zip(rows, brute([r[1] for r in rows], length)))
-        found = sorted((r[0] if r[0] is not None else -1, *r[1:]) for r in suffixes.repeats(docs, length=length).collect())
-        assert found == wanted
+        got = suffixes.repeats(docs, length=length).collect()
+        assert sorted((r[0] if r[0] is not None else -1, *r[1:5]) for r in got) == wanted
+        assert all(len(r.kept_text.encode()) <= r.n_bytes - r.n_removed for r in got)
+        plain = [r for r in got if r.n_removed == 0 or len(r.kept_text.encode()) == r.n_bytes - r.n_removed]
+        assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in plain)
+
+
+def test_hot_ranks_and_texts(spark, monkeypatch):
+    # one passage, and one text, in most rows: every join takes its salted way
+    monkeypatch.setattr(suffixes, "SALTS", 4)
+    passage, copy = "shared passage " * 40, "the same text in many rows " * 20
+    texts = [f"{i} {i * i} " * 9 + passage + f" {i * 7} {i}" * 9 for i in range(60)] + [copy] * 60 + ["short", "", None]
+    data = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(4)
+    found = sorted(tuple(r[:5]) for r in suffixes.repeats(data).collect())
+    assert found == [(i, *x) for i, x in enumerate(brute(texts, 400))]
+    kept = {r.doc_id: r.text for r in suffixes.drop_repeats(data).collect()}
+    assert all(kept[i] == "" for i in range(60, 120)) and kept[120] == "short" and kept[122] is None
 
 
 def test_pieces_of_a_long_text_do_not_matter(monkeypatch):
