@@ -73,3 +73,18 @@ select anchor_id, positive_id, cast(row_number() over w as int) as rank, negativ
 from bad where 30 * positive_score <= 100 * negative_score and 100 * negative_score <= 90 * positive_score
 window w as (partition by anchor_id, positive_id order by negative_score desc, negative_id)
 qualify row_number() over w <= 10"""
+
+
+# five hex digits of a SHA-1 are four symbols of base32
+WARC = """
+with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as sha from pages),
+f as (select *, min(page_id) over (partition by sha) as first from p),
+r as (select *, first is not null and first is distinct from page_id as again from f)
+select page_id, cast(strlen(html) as bigint) as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast(
+    (cast('0x' || substr(sha, 1 + 5 * (i // 4), 5) as bigint) >> (15 - 5 * (i % 4))) & 31 as bigint), 1)), '') as payload_digest,
+  case when again then 'revisit' else 'response' end as record_type,
+  case when again then first end as refers_to,
+  case when not again then sha256(html) end as payload_sha256
+from r
+"""

@@ -92,7 +92,7 @@ QUERIES = {
     "op2_toxicity": (op2_toxicity, None),
     "op3_suffix_dedup": (op3_suffix_dedup, None),
     "op4_mix_sources": (op4_mix_sources, None),
-    "op5_warc": (op5_warc, None),
+    "op5_warc": (op5_warc, oracles.WARC),
     "op6_quality_rules": (op6_quality_rules, None),
     "op7_token_files": (op7_token_files, None),
     "op8_simhash": (op8_simhash, None),

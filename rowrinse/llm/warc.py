@@ -5,13 +5,21 @@ length, as the format's annex on skip lengths describes. A reader so finds the
 next record without decoding this one: it inflates the header lines alone,
 holds them against the filters that Spark pushes down, and inflates the rest
 only where the payload is asked for. Files are split into partitions by size.
+
+Archives from elsewhere, ``.warc`` or ``.warc.gz``, have no manifest and mostly
+no skip lengths. Each of their files is one partition, read as a stream. A plain
+file is left behind by seeking over unwanted blocks; in a compressed one the
+only way to the next record is to inflate, but nothing is kept.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -30,6 +38,7 @@ from rowrinse.llm.common import quoted, shared_folder
 SCHEMA = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
 HEADERS = {"record_type": "WARC-Type", "url": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest", "page_id": "Page-Id", "refers_to": "Refers-To-Page-Id"}
 MANIFEST = "_manifest.json"
+UNCOMMITTED = re.compile(r"part-[0-9a-f]{32}\.warc\.gz")
 SPLIT = 64 << 20
 HEAD = 2048
 DATE = "1970-01-01T00:00:00Z"
@@ -117,6 +126,56 @@ class Range(InputPartition):
         self.name, self.start, self.stop = name, start, stop
 
 
+class Archive(InputPartition):
+    """A whole file that this library did not lay out."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+
+def pass_over(file, n: int, size: int | None) -> None:
+    """Go ``n`` bytes on; a stream whose ``size`` is unknown is read through."""
+    if size is not None:
+        if file.tell() + n > size:
+            raise ValueError("an archive ends inside a record")
+        file.seek(n, io.SEEK_CUR)
+    while size is None and n:
+        got = len(file.read(min(n, 1 << 20)))
+        if not got:
+            raise ValueError("an archive ends inside a record")
+        n -= got
+
+
+def header_lines(file, limit: int | None = None) -> tuple[dict[str, str], int]:
+    """Fields up to a blank line, by lower-case name, and the bytes read, at most ``limit``."""
+    fields, last, used = {}, None, 0
+    while limit is None or used < limit:
+        line = file.readline() if limit is None else file.readline(limit - used)
+        used += len(line)
+        if not line and limit is None:
+            raise ValueError("a record without an end of its headers")
+        if not line.strip():
+            break
+        text = line.decode(errors="replace")
+        if text[0] in " \t" and last:
+            fields[last] += " " + text.strip()
+        elif ":" in text:
+            last, value = text.split(":", 1)
+            last = last.strip().lower()
+            fields[last] = value.strip()
+    return fields, used
+
+
+def header_row(fields: dict[str, str]) -> dict:
+    """The header columns of a record from its fields by lower-case name."""
+    row = {c: fields.get(h.lower()) for c, h in HEADERS.items()}
+    row["payload_digest"] = row["payload_digest"] and row["payload_digest"].rsplit(":", 1)[-1]
+    row["url"] = row["url"] and row["url"].removeprefix("<").removesuffix(">")
+    for c in ("page_id", "refers_to"):
+        row[c] = None if row[c] is None else int(row[c])
+    return row
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, path: str, wanted: list[str]):
         self.path, self.wanted, self.tests = path, wanted, []
@@ -136,15 +195,64 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         fs, folder = opened(self.path)
+        if fs.get_file_info(f"{folder}/{MANIFEST}").type != pyarrow.fs.FileType.File:
+            return self.archives(fs, folder)
         with fs.open_input_stream(f"{folder}/{MANIFEST}", compression=None) as file:
             listed = json.loads(file.read())
         out = [Range(name, a, b) for name, offsets in listed for a, b in zip(offsets, offsets[1:])]
         return out or [Range("", 0, 0)]
 
+    def archives(self, fs: pyarrow.fs.FileSystem, path: str) -> list[Archive]:
+        """A partition a file; what a writer of this library left without its manifest does not count."""
+        info = fs.get_file_info(path)
+        if info.type == pyarrow.fs.FileType.File:
+            return [Archive(path)]
+        listed = fs.get_file_info(pyarrow.fs.FileSelector(path, recursive=True))
+        names = sorted(f.path for f in listed if f.is_file and f.path.endswith((".warc", ".warc.gz")) and not UNCOMMITTED.fullmatch(f.base_name))
+        if not names:
+            raise FileNotFoundError(f"no WARC archives in {self.path}")
+        return [Archive(n) for n in names]
+
     def passes(self, row: dict) -> bool:
         return all(row[c] is not None if allowed is None else row[c] in allowed for c, allowed in self.tests)
 
-    def read(self, partition: Range):
+    def stream(self, path: str):
+        """Rows of a file in order of its records; a digest that came with a record is given as it stands."""
+        fs, _ = opened(self.path)
+        with fs.open_input_file(path) as raw:
+            packed = raw.read(2) == b"\x1f\x8b"
+            raw.seek(0)
+            file = gzip.GzipFile(fileobj=raw) if packed else io.BufferedReader(raw, 1 << 20)
+            size = None if packed else raw.size()
+            while line := file.readline():
+                if not line.strip():
+                    continue
+                if not line.startswith(b"WARC/"):
+                    raise ValueError(f"{path} has something other than a record where one should start")
+                fields, _ = header_lines(file)
+                left, row = int(fields["content-length"]), header_row(fields)
+                if not self.passes(row):
+                    pass_over(file, left, size)
+                    continue
+                http = {}
+                if fields.get("content-type", "").lower().startswith("application/http"):
+                    http, used = header_lines(file, left)
+                    left -= used
+                revisit, row["payload"] = row["record_type"] == "revisit", None
+                told = http.get("content-length", "")
+                row["payload_bytes"] = left if not revisit else int(told) if told.isdigit() else None
+                if "payload" in self.wanted and not revisit:
+                    row["payload"] = file.read(left)
+                    if len(row["payload"]) < left:
+                        raise ValueError("an archive ends inside a record")
+                else:
+                    pass_over(file, left, size)
+                yield tuple(row[c] for c in self.wanted)
+
+    def read(self, partition: Range | Archive):
+        if isinstance(partition, Archive):
+            yield from self.stream(partition.path)
+            return
         if partition.start == partition.stop:
             return
         fs, folder = opened(self.path)
@@ -173,11 +281,8 @@ class WarcReader(DataSourceReader):
                 raise ValueError("a record without an end of its headers")
             head += more
         lines, _, block = head.partition(b"\r\n\r\n")
-        fields = dict(x.split(": ", 1) for x in lines.decode().split("\r\n")[1:])
-        row = {c: fields.get(h) for c, h in HEADERS.items()}
-        row["payload_digest"] = (row["payload_digest"] or ":").split(":", 1)[1]
-        for c in ("page_id", "refers_to"):
-            row[c] = None if row[c] is None else int(row[c])
+        fields = (x.split(": ", 1) for x in lines.decode().split("\r\n")[1:])
+        row = header_row({name.lower(): value for name, value in fields})
         if not self.passes(row):
             return None
         while b"\r\n\r\n" not in block:
@@ -194,7 +299,7 @@ class WarcReader(DataSourceReader):
 
 
 class WarcSource(DataSource):
-    """Options: ``path``; ``columns``, a comma list of the schema's names, to leave the payload undecoded."""
+    """Options: ``path``, a folder or a file; ``columns``, a comma list of the schema's names, to leave the payload undecoded."""
 
     @classmethod
     def name(cls) -> str:
@@ -225,7 +330,8 @@ def write_pages(pages: DataFrame, path: str, least_bytes: int = 0, id_col="page_
 
     The record with the smallest id of those with one payload is the response,
     the others revisit it. Rows that repeat that id are responses too. Null
-    ids come last; where all are null, all are responses.
+    ids come last; where all are null, all are responses. An empty table makes
+    an archive without records.
     """
     register(pages.sparkSession)
     html = F.coalesce(quoted(html_col), F.lit(""))
@@ -246,6 +352,11 @@ def write_pages(pages: DataFrame, path: str, least_bytes: int = 0, id_col="page_
 
 
 def read_pages(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """Records of archives, of this library or others; ids and digests that a record does not name are null.
+
+    The payload of an HTTP message is its body as stored, of any other record
+    its block; a revisit has none, and its size is what its HTTP headers say.
+    """
     register(spark)
     reader = spark.read.format("warc").option("path", path)
     return (reader.option("columns", ",".join(columns)) if columns else reader).load()
