@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -105,3 +107,25 @@ def test_long_keys_and_texts(spark):
     kept = match.match_keys(df, "t", keys, how="contains")
     assert ids(kept) == list(range(1, 200, 2))
     assert "{1," not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("mode", ["exclude"])
+def test_grams_that_no_key_has_are_not_written(spark, monkeypatch, mode):
+    """Long texts and few keys: what is staged grows with the grams they share, not with the texts."""
+    staged, write = [], match.__dict__.get("stage")
+    monkeypatch.setattr(match, "stage", lambda df: staged.append(write(df)) or staged[-1], raising=False)
+    rows = [(i, hashlib.shake_256(b"%d" % i).hexdigest(500) + (" ñandú öl" if i % 10 == 0 else "")) for i in range(200)]
+    df = spark.createDataFrame(rows, "n int, t string")
+    keys = spark.createDataFrame([("ñandú ö",), ("l ñandú",), ("ú",)], "k string")
+    found = ids(match.match_keys(df, "t", keys, mode, "contains"))
+    assert found == [i for i in range(200) if (i % 10 == 0) == (mode == "keep")]
+    assert staged and sum(s.count() for s in staged) < 1000  # the texts have some 200,000 grams
+
+
+def test_grams_across_blocks_of_places(spark, monkeypatch):
+    monkeypatch.setattr(match, "PLACES", 7)
+    texts = ["", "aé", "xxaéb", "xxxxxxxxxxxxaébxxxxx", "aéaéaéaéb", "bxaé", "é", "😀aéb😀"]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    for k in ("aéb", "é", "b", "aéaéaéaéb", "😀aé", "xx"):
+        keys = spark.createDataFrame([(k,), ("absent from all",)], "k string")
+        assert ids(match.match_keys(df, "t", keys, how="contains")) == [i for i, t in enumerate(texts) if k in t]
