@@ -109,7 +109,7 @@ def test_long_keys_and_texts(spark):
     assert "{1," not in kept._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("mode", ["exclude"])
+@pytest.mark.parametrize("mode", ["exclude", "keep"])
 def test_grams_that_no_key_has_are_not_written(spark, monkeypatch, mode):
     """Long texts and few keys: what is staged grows with the grams they share, not with the texts."""
     staged, write = [], match.__dict__.get("stage")
