@@ -147,11 +147,14 @@ def _framed(lines, before, between, after):
 
 
 def _long_ids(spark, sf):
-    """Ids of 19 and 20 digits, codes with leading zeros, amounts of many digits."""
+    """Ids of 19 and 20 digits, codes with leading zeros, amounts of many digits.
+
+    Keys beyond 4,775,807 make ids of 19 digits that no bigint holds; these are read as decimal(38, 0).
+    """
     path = scratch_path(spark) + ".csv"
     key = F.col("o_orderkey")
     rows = table(spark, sf, "orders").select(
-        (F.lit(9223372036850000000) + key).alias("id19"), F.concat(F.lit("1"), F.lpad(key.cast("string"), 19, "0")).alias("id20"),
+        (F.lit(9223372036850000000).cast("decimal(20,0)") + key).alias("id19"), F.concat(F.lit("1"), F.lpad(key.cast("string"), 19, "0")).alias("id20"),
         F.lpad(key.cast("string"), 9, "0").alias("code"), F.concat(F.lit(9007199254740993) + key, F.lit(".25")).alias("fine"))
     write_table(rows, path, "csv")
     out = read_table(spark, path)

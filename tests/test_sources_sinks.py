@@ -7,6 +7,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from registry import files
 from rowrinse import session
 from rowrinse.sinks import category, writers
 from rowrinse.sources import lookup, readers
@@ -233,3 +234,13 @@ def test_writers_leave_no_scratch(spark, table, tmp_path, monkeypatch):
     with session.scratch_scope(spark):
         assert session.stage(table).count() == table.count() and len(list(folder.iterdir())) == 2
     assert len(list(folder.iterdir())) == 1
+
+
+def test_long_ids_beyond_bigint(spark, tmp_path):
+    """Tables of many keys make ids of 19 digits that a bigint cannot hold; none is lost."""
+    for name, keys, kind in (("few", [0, 7, None, 4_775_807], "bigint"), ("many", [1, None, 4_775_808, 9_000_000], "decimal(38,0)")):
+        spark.createDataFrame([(k,) for k in keys], "o_orderkey bigint").write.parquet(f"{tmp_path}/{name}/orders.parquet")
+        out = files.QUERIES["scan_csv_long_ids"][0](spark, f"{tmp_path}/{name}")
+        assert out.first()["id19_type"] == kind
+        found = {r["id19"]: r["id20"] for r in out.collect()}
+        assert found == {None if k is None else str(9223372036850000000 + k): None if k is None else f"1{k:019d}" for k in keys}
