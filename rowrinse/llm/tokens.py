@@ -1,6 +1,6 @@
 """Token ids in a compressed binary file format.
 
-A text's ids come from a BPE tokenizer; a piece between white space is looked up once.
+A text's ids come from a BPE tokenizer, a batch of texts at a time.
 A file holds the ids of a range of documents in order, cut into blocks that
 each start afresh and carry a checksum. In a block, three predictions are made
 of the next id: the one that last followed the two ids before (order 2), the
@@ -17,6 +17,7 @@ operations over blocks and not a Python loop over ids.
 from __future__ import annotations
 
 import itertools
+import json
 import re
 import struct
 import uuid
@@ -31,16 +32,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rowrinse.llm.common import Stages, held, in_slices, quoted, shared_folder, spread, text_of
-from rowrinse.llm.pieces import roomy
 
 MAGIC = b"IDRANGE1"
 BLOCK = 2048
 END = 1
-REMEMBERED = 200_000
 SLOTS = 2048
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-z0-9ªµºß-öø-ÿ²³¹¼½¾]+")
-# Texts that are not looked up by pieces: beyond Latin-1, special tokens, separators that the libraries see otherwise.
-UNUSUAL = r"<\||[\x1c-\x1f\x{85}]|[^\x{00}-\x{ff}]"
+# Texts that go through the library: beyond Latin-1, special tokens, control characters, and the few whose place
+# among the 256 bytes the last bytes of words take.
+UNUSUAL = r"<\||[\x00-\x08\x0e-\x1f\x7f\x{80}-\x{9f}½¾ÝÞýþ×]|[^\x{00}-\x{ff}]"
 FULL, LEAST, FIELD = (np.uint64(v) for v in ((1 << 64) - 1, 1 << 48, 0xFFFF))
 ONE, TWO, FOUR, WORD_BITS, FIRST, TOP, LAST_FIELD = (np.uint64(v) for v in (1, 2, 4, 16, 16, 48, 48))
 ONES = np.uint64(0x0001_0001_0001_0001)
@@ -59,20 +59,73 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _shown() -> dict[str, int]:
+    """The bytes that the characters of a byte-level vocabulary stand for."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+
+
+UNSHOWN = _shown()
+# How the last byte of a word is written, so that it differs from all bytes inside of words: capital letters, control
+# characters for signs, other second bytes of a character; digits are words by themselves. Texts are lower-cased.
+SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+LAST_BYTE = {b: b - 32 for b in range(0x61, 0x7B)} | {b: b for b in range(0x30, 0x3A)} | {b: k for k, b in enumerate(SIGNS)}
+LAST_BYTE |= {b: b - 32 for b in range(0xA0, 0xBD)} | {0x9F: 0x9D, 0xBF: 0x9E}
+# The mark behind each text, and the id it gets.
+STOP, STOP_ID = 0x7F, 1 << 17
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the 256 Latin-1 characters: lower case, how each is written at the end of a word, and its class."""
+    lower = np.array([ord(chr(c).lower()) if chr(c).lower() < "\u0100" else c for c in range(256)], np.uint8)
+    last = np.arange(256, dtype=np.uint8)
+    for c in range(256):
+        raw = chr(c).encode()
+        if c < 0x80:
+            last[c] = LAST_BYTE.get(c, c)
+        elif c >= 0xA0 and raw[-1] in LAST_BYTE and chr(c) == chr(c).lower():
+            last[c] = ord(bytes([raw[0], LAST_BYTE[raw[-1]]]).decode())
+    kind = np.zeros(256, np.uint8)
+    for c in range(256):
+        if WORD.fullmatch(chr(c)):
+            kind[c] = 1 if re.fullmatch("[a-zªµºß-öø-ÿ]", chr(c)) else 2 if re.fullmatch("[0-9²³¹¼½¾]", chr(c)) else 3
+    kind[STOP] = 4
+    return lower, last, kind
+
+
+LOWER, LAST, KIND_OF = _tables()
+
+
 class Encoder:
     """Ids of texts, equal to those of the tokenizers library for the whole text.
 
-    No word of the tokenizer spans white space, so a text is cut there first and
-    each different piece of a batch is cut into words, and looked up, once.
+    Words and their last characters are found for all texts of a batch at
+    once, in arrays of Latin-1 characters. The last character of a word is
+    rewritten (``LAST_BYTE``), so that tokens that end words are tokens of
+    bytes like any other and tiktoken merges them by the same ranks. Other
+    texts go through the library.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.number: dict[str, int] = {}
-        self.word: dict[str, list[int]] = {}
-        self.stored, self.store, self.store_at = 0, np.zeros(1 << 20, np.uint32), np.zeros((2, 1 << 18), np.int64)
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        self.known = model.get("end_of_word_suffix") == "</w>"  # files of another kind go through the library
+        vocab = model["vocab"] if self.known else {}
+        ranks = {}
+        for token, i in vocab.items():
+            bare = token.removesuffix("</w>")
+            raw, last = bytes(UNSHOWN[c] for c in bare), bare != token
+            # what no lower-cased Latin-1 word holds is left out
+            if raw and all(b in LAST_BYTE or b in (0xC2, 0xC3) for b in raw) and not (last and raw[-1] in (0xC2, 0xC3)):
+                ranks[raw[:-1] + bytes([LAST_BYTE[raw[-1]]]) if last else raw] = i
+        # every byte must have a rank, those that never come as well
+        ranks |= {bytes([b]): STOP_ID + 1 + b for b in range(256) if bytes([b]) not in ranks} | {bytes([STOP]): STOP_ID}
+        ends = "".join(f"\\x{{{c:x}}}" for c in sorted(set(LAST[(KIND_OF > 0) & (KIND_OF < 4)].tolist())))
+        self.fast = tiktoken.Encoding("words", pat_str=f"[^{ends} \\x7f]*[{ends}]|\\x7f", mergeable_ranks=ranks, special_tokens={})
 
     def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts by the library alone, and the number of each text's."""
@@ -80,56 +133,42 @@ class Encoder:
         counts = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(counts.sum())), counts
 
-    def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids of each piece start in ``store``, and how many they are."""
-        if len(self.number) > REMEMBERED or self.stored > 8 * REMEMBERED:
-            self.number, self.stored = {}, 0
-        if len(self.word) > REMEMBERED:
-            self.word = {}
-        number, known, word = self.number, len(self.number), self.word
-        at = np.fromiter([number.setdefault(p, len(number)) for p in pieces], np.int64, len(pieces))
-        words = [WORD.findall(p.lower()) for p in itertools.islice(number, known, None)]
-        unseen = list({w for found in words for w in found if w not in word})
-        for w, e in zip(unseen, self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False)):
-            word[w] = e.ids
-        found = [word[f[0]] if len(f) == 1 else [i for w in f for i in word[w]] for f in words]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(counts.sum())
-        self.store, self.store_at = roomy(self.store, self.stored + total), roomy(self.store_at, len(number))
-        self.store[self.stored : self.stored + total] = np.fromiter(itertools.chain.from_iterable(found), np.uint32, total)
-        self.store_at[:, known : len(number)] = self.stored + np.cumsum(counts) - counts, counts
-        self.stored += total
-        return self.store_at[0].take(at), self.store_at[1].take(at)
+    def marked(self, texts: list[str]) -> str:
+        """The texts, the last character of each word rewritten and ``STOP`` behind each text."""
+        raw = np.frombuffer(("\x7f".join(texts) + "\x7f").encode("latin-1"), np.uint8)
+        raw = LOWER.take(raw)
+        kind = KIND_OF.take(raw)
+        after = np.r_[kind[1:], np.uint8(0)]
+        last = ((kind != after) | (kind == 2)) & (kind > 0) & (kind < 4)
+        # 's and the like, where no sign stands before the quote
+        quote = np.flatnonzero((raw == 0x27) & (np.r_[np.uint8(0), kind[:-1]] != 3) & (after == 1))
+        if len(quote):
+            one, two = (np.r_[raw, np.zeros(2, np.uint8)].take(quote + k) for k in (1, 2))
+            short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+            long = ((one == 0x72) | (one == 0x76)) & (two == 0x65) | (one == 0x6C) & (two == 0x6C)
+            last[quote[short | long]] = False
+            last[quote[short] + 1] = True
+            last[quote[long] + 2] = True
+        raw = np.where(last, LAST.take(raw), raw)
+        raw[kind == 0] = 0x20
+        return raw.tobytes().decode("latin-1")
 
     def encode_all(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, an end id after each text, and the number of each text's."""
         texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
-        apart = np.asarray(pc.match_substring_regex(texts, UNUSUAL), bool)
+        apart = np.asarray(pc.match_substring_regex(texts, UNUSUAL), bool) if self.known else np.ones(len(texts), bool)
         if apart.any():
             texts, odd = pc.if_else(pa.array(apart), "", texts), texts.filter(pa.array(apart)).to_pylist()
-        lists = pc.ascii_split_whitespace(texts)
-        coded = lists.flatten().dictionary_encode()
-        starts, counts = self.pieces(coded.dictionary.to_pylist())
-        at = np.asarray(coded.indices)
-        starts, counts = starts.take(at), counts.take(at)
-        ends = np.r_[0, np.cumsum(counts)]
-        from_here = starts - ends[:-1]
-        ids = self.store.take(np.arange(ends[-1]) + np.repeat(from_here, counts))
-        cuts = ends.take(np.r_[0, np.cumsum(np.asarray(lists.value_lengths()))])
-        sizes = np.diff(cuts)
+        ids = self.fast.encode_to_numpy(self.marked(texts.to_pylist())) if len(texts) else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(ids == STOP_ID)
+        sizes = np.diff(np.r_[-1, ends])
+        out = ids.astype(np.uint32)
+        out[ends] = END
         if apart.any():
-            more, sizes[apart] = self.whole(odd)
-            both, at_more = [], np.r_[0, np.cumsum(sizes[apart])]
-            k = 0
-            for j, alone in enumerate(apart.tolist()):
-                both.append(more[at_more[k] : at_more[k + 1]] if alone else ids[cuts[j] : cuts[j + 1]])
-                k += alone
-            ids = np.concatenate(both)
-        out = np.full(len(ids) + len(sizes), END, np.uint32)
-        word = np.ones(len(out), bool)
-        word[np.cumsum(sizes + 1) - 1] = False
-        out[word] = ids
-        return out, sizes + 1
+            more, counts = self.whole(odd)
+            out = np.insert(out, np.repeat(ends[apart], counts), more)
+            sizes[apart] += counts
+        return out, sizes
 
 
 class Predictor:
@@ -360,8 +399,8 @@ def _fs(path: str):
     return pyarrow.fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "", 1))
 
 
-FILE_BYTES = 12 << 20
-FILE_IDS = 4_000_000
+FILE_BYTES = 32 << 20
+FILE_IDS = 16_000_000
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -60,3 +60,19 @@ def test_files_against_brute_force(docs, rows, encoder):
 
 def test_empty(empty):
     assert tokens.encode_and_read(empty).count() == 0
+
+
+def test_words_are_not_looked_up_one_by_one():
+    """Texts of usual letters take no call of the library; ids are those of the library with quotes, signs and accents."""
+    from rowrinse.llm import tokens
+
+    encoder = tokens.Encoder(tokens.default_tokenizer())
+    library = encoder.tokenizer
+    texts = ["", " ", "it's 'stuff ,'s don't WE'LL I'd re're '''s 's's x'l", "¿Qué? daß ße ß ¿ naïve÷3", "12²3x µm ªº «q» a­b ñ.\tb\r\nc\x0bd", "!!!...?!a_b {x|y} ~`^", "ÀÉ Ç", "'léa 'rë 'v\n'd9 's9 'll"]
+    odd = ["½ þ ýÝ × ÿ", "日本 a", "\x7f a\x01", "<|endoftext|> a", "\x85n"]
+    wanted = [[*e.ids, tokens.END] for e in library.encode_batch(texts + odd + texts, add_special_tokens=False)]
+    ids, sizes = encoder.encode_all(texts + odd + texts)
+    assert [i for w in wanted for i in w] == ids.tolist() and [len(w) for w in wanted] == sizes.tolist()
+    encoder.tokenizer = None  # any call fails from here on
+    ids, sizes = encoder.encode_all(texts)
+    assert ids.tolist() == [i for w in wanted[: len(texts)] for i in w]
