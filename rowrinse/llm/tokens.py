@@ -90,10 +90,13 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if WORD.fullmatch(chr(c)):
             kind[c] = 1 if re.fullmatch("[a-zªµºß-öø-ÿ]", chr(c)) else 2 if re.fullmatch("[0-9²³¹¼½¾]", chr(c)) else 3
     kind[STOP] = 4
+    lower[kind.take(lower) == 0] = 0x20
     return lower, last, kind
 
 
 LOWER, LAST, KIND_OF = _tables()
+# Whether a character of one class ends a word before one of another, by 8 * class + next class.
+ENDS_WORD = np.array([0 < a < 4 and (a != b or a == 2) for a in range(8) for b in range(8)])
 
 
 class Encoder:
@@ -138,10 +141,12 @@ class Encoder:
         raw = np.frombuffer(("\x7f".join(texts) + "\x7f").encode("latin-1"), np.uint8)
         raw = LOWER.take(raw)
         kind = KIND_OF.take(raw)
-        after = np.r_[kind[1:], np.uint8(0)]
-        last = ((kind != after) | (kind == 2)) & (kind > 0) & (kind < 4)
-        # 's and the like, where no sign stands before the quote
-        quote = np.flatnonzero((raw == 0x27) & (np.r_[np.uint8(0), kind[:-1]] != 3) & (after == 1))
+        pair = kind << 3
+        pair[:-1] |= kind[1:]
+        last = ENDS_WORD.take(pair)
+        # 's and the like, where no sign stands before the quote; the last character of all is a mark
+        quote = np.flatnonzero(raw == 0x27)
+        quote = quote[(kind.take(quote + 1) == 1) & ((quote == 0) | (kind.take(quote - 1) != 3))]
         if len(quote):
             one, two = (np.r_[raw, np.zeros(2, np.uint8)].take(quote + k) for k in (1, 2))
             short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
@@ -149,8 +154,8 @@ class Encoder:
             last[quote[short | long]] = False
             last[quote[short] + 1] = True
             last[quote[long] + 2] = True
-        raw = np.where(last, LAST.take(raw), raw)
-        raw[kind == 0] = 0x20
+        ends = np.flatnonzero(last)
+        raw[ends] = LAST.take(raw.take(ends))
         return raw.tobytes().decode("latin-1")
 
     def encode_all(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
