@@ -168,23 +168,6 @@ def held_grams(texts: DataFrame, wanted: np.ndarray, widths: Sequence[int]) -> D
     return texts.select("__id", "__text").mapInArrow(find, "__id bigint, __gram bigint")
 
 
-def may_hold(text: Column, wanted: np.ndarray, widths: Sequence[int]) -> Column:
-    """Whether a text has a gram that passes the filter."""
-
-    @F.arrow_udf("boolean")
-    def look(cells: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        bits = np.unpackbits(wanted.astype("<i8").view(np.uint8), bitorder="little").view(bool)
-        for texts in cells:
-            data, ends = _cells(texts)
-            out = np.zeros(len(texts), bool)
-            for width in widths:
-                for rows, _ in _grams(data, ends, width, bits):
-                    out[rows] = True
-            yield pa.array(out)
-
-    return look(text)
-
-
 def contains_by_grams(df: DataFrame, text: Column, keys: DataFrame, keep: bool, widths: Sequence[int] = GRAMS) -> DataFrame:
     """Substring match for a key list of any length, by the rarest gram of each key.
 
@@ -192,10 +175,8 @@ def contains_by_grams(df: DataFrame, text: Column, keys: DataFrame, keep: bool,
     one that fewest texts hold is looked up, and only texts that hold it are
     searched for the key itself. A filter of fixed size, in which each gram of
     a key has a bit, drops nearly all grams that no key has where a text is
-    read, so what is written grows with the grams that keys and texts share. A
-    second one, of the grams looked up, tells where a text is read whether it
-    is to be searched at all: the others are not shuffled. An empty list is a
-    no-op.
+    read, so what is written grows with the grams that keys and texts share.
+    A text is shuffled once at most, to meet its keys. An empty list is a no-op.
     """
     widest = _width_of(F.octet_length(_KEY), widths)
     used = sorted(keys.agg(F.collect_set(widest)).first()[0])  # at most one number per width
@@ -208,16 +189,13 @@ def contains_by_grams(df: DataFrame, text: Column, keys: DataFrame, keep: bool,
     often = held.groupBy("__gram").agg(F.count(F.lit(1)).alias("__n"))
     # a key with a gram that no text holds is in none
     counted = keyed.join(often, "__gram", "left")
-    rarest = counted.groupBy(_KEY).agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__gram", "__bucket")).alias("least"))
-    rarest = stage(rarest.filter(F.col("least.n") > 0).select(_KEY, "least.__gram", "least.__bucket"))
+    rarest = counted.groupBy(_KEY).agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__gram")).alias("least"))
+    rarest = rarest.filter(F.col("least.n") > 0).select(_KEY, "least.__gram")
     # written, so that adaptive execution can split the copies of a text in the join below
-    asked = stage(held.join(rarest.drop("__bucket"), "__gram").groupBy("__id").agg(F.collect_set(_KEY).alias("__keys")))
+    asked = stage(held.join(rarest, "__gram").groupBy("__id").agg(F.collect_set(_KEY).alias("__keys")))
     # one row per hash, so the join adds no rows; texts that share one are searched for each other's keys too, which changes nothing
     columns = [col(c) for c in df.columns]
-    near = may_hold(text, filter_of(rarest), used)
     # a left join for either mode: as a condition of an inner one the search is also pushed to the side that has no text
-    searched = present.filter(near).join(asked, F.xxhash64(text) == F.col("__id"), "left")
+    searched = present.join(asked, F.xxhash64(text) == F.col("__id"), "left")
     holds = F.coalesce(F.exists("__keys", lambda k: text.contains(k)), F.lit(False))
-    if keep:
-        return searched.filter(holds).select(*columns)
-    return searched.filter(~holds).select(*columns).unionAll(present.filter(~near).select(*columns))
+    return searched.filter(holds if keep else ~holds).select(*columns)
