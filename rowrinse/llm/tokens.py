@@ -8,7 +8,8 @@ one that last followed the id before (order 1), and the block's commonest of
 late (order 0). The counts of which of them came true, each kept under its
 confidence, are mixed into the odds that drive a range coder. An id that none
 foresaw is coded by its class, with the block's counts of four groups and the
-four classes of each, and its place in it.
+four classes of each, and its place in it. These ids have a range coder of
+their own, so that each of the two passes does the same for all its blocks.
 
 All blocks of a file are coded side by side, so that each step is a few array
 operations over blocks and not a Python loop over ids.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from rowrinse.llm.common import Stages, held, in_slices, quoted, shared_folder, spread, text_of
 
-MAGIC = b"IDRANGE1"
+MAGIC = b"IDRANGE2"
 BLOCK = 2048
 END = 1
 SLOTS = 2048
@@ -44,13 +45,15 @@ UNUSUAL = r"<\||[\x00-\x08\x0e-\x1f\x7f\x{80}-\x{9f}½¾ÝÞýþ×]|[^\x{00}-\x{
 FULL, LEAST, FIELD = (np.uint64(v) for v in ((1 << 64) - 1, 1 << 48, 0xFFFF))
 ONE, TWO, FOUR, WORD_BITS, FIRST, TOP, LAST_FIELD = (np.uint64(v) for v in (1, 2, 4, 16, 16, 48, 48))
 ONES = np.uint64(0x0001_0001_0001_0001)
-# What a count gains: seven times a block's gains, mixed, stay below 2^16. An event, a group, a class and a place take
-# 2^40 of the range at most, since what is rare among the events or groups has had few classes counted.
+# What a count gains: seven times a block's gains, mixed, stay below 2^16. A group, a class and a place take
+# 2^40 of the range at most, since what is rare among the groups has had few classes counted.
 GAIN, MORE = np.uint64(4), np.uint64(1)
-# Ids by classes of growing width: 16 classes, in four groups, over ids up to 2^17.
-EDGES = np.r_[0, np.round(2 ** np.linspace(8, 17, 16))].astype(np.int64)
-WIDTHS = np.diff(EDGES).astype(np.uint64)
+# Ids by classes of growing width, powers of two: 16 classes, in four groups, over ids up to 2^17.
+WIDTH_BITS = np.array([9, 8, 8, 9, 9, 10, 10, 11, 11, 12, 12, 13, 13, 14, 14, 16], np.uint64)
+EDGES = np.r_[0, np.cumsum(1 << WIDTH_BITS.astype(np.int64))]
 KIND = np.repeat(np.arange(16, dtype=np.uint8), np.diff(EDGES))
+# What a share of a range is rounded down to.
+ROUND = np.uint64(12)
 
 
 def default_tokenizer() -> str:
@@ -101,6 +104,10 @@ ENDS_WORD = np.array([0 < a and (a != b or a in (2, 4)) for a in range(8) for b
 TO_LOWER, TO_KIND, TO_END = LOWER.tobytes(), KIND_OF.tobytes(), ENDS_WORD.tobytes().ljust(256, b"\0")
 
 
+# Bytes of words whose ids an encoder keeps, with 8 for each word.
+KNOWN_BYTES = 4 << 20
+
+
 class Encoder:
     """Ids of texts, equal to those of the tokenizers library for the whole text.
 
@@ -109,7 +116,8 @@ class Encoder:
     rewritten (``LAST_BYTE``), so that tokens that end words are tokens of
     bytes like any other and tiktoken merges them by the same ranks. Each
     different word of a batch is merged once, and its ids are copied to where
-    it stands. Other texts go through the library.
+    it stands; the first ``KNOWN_BYTES`` of words are kept for later batches.
+    Other texts go through the library.
     """
 
     def __init__(self, path: str):
@@ -136,6 +144,8 @@ class Encoder:
         last = {STOP, *LAST_BYTE.values()}
         self.closes = np.zeros(max(ranks.values()) + 1, bool)
         self.closes[[i for raw, i in ranks.items() if raw[-1] in last]] = True
+        # words kept, all their ids in a row, and where each word's end there
+        self.words, self.ids, self.upto = pa.array([], pa.large_binary()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts by the library alone, and the number of each text's."""
@@ -171,10 +181,19 @@ class Encoder:
         spans = [None, pa.py_buffer(np.r_[0, ends + 1]), pa.py_buffer(raw)]
         words = pa.Array.from_buffers(pa.large_binary(), len(ends), spans).dictionary_encode()
         which, words = words.indices.to_numpy(), words.dictionary
+        place = pc.index_in(words, value_set=self.words)
+        unknown = np.asarray(place.is_null())
+        place = place.fill_null(0).to_numpy().astype(np.int64)
+        place[unknown] = len(self.words) + np.arange(np.count_nonzero(unknown))
+        words = words.filter(pa.array(unknown))
         size = int(np.frombuffer(words.buffers()[1], np.int64, len(words) + 1)[-1])
-        found = self.fast.encode_to_numpy(words.buffers()[2].slice(0, size).to_pybytes().decode("latin-1"))
-        upto = np.flatnonzero(self.closes.take(found)) + 1
+        found = self.fast.encode_to_numpy(words.buffers()[2].slice(0, size).to_pybytes().decode("latin-1")) if size else self.ids[:0]
+        upto = np.r_[self.upto, np.flatnonzero(self.closes.take(found)) + 1 + len(self.ids)]
+        found = np.r_[self.ids, found]
+        if self.words.nbytes + words.nbytes <= KNOWN_BYTES:
+            self.words, self.ids, self.upto = pa.concat_arrays([self.words, words]), found, upto
         counts = np.diff(upto, prepend=0)
+        which = place.take(which)
         begin, counts = (upto - counts).take(which), counts.take(which)
         past = np.cumsum(counts)
         return found.take(np.arange(past[-1]) + np.repeat(begin - past + counts, counts))
@@ -223,12 +242,10 @@ class Predictor:
         # id * 8 + confidence, under a hash of the context
         self.two, self.one = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)
         self.by = [np.full(lanes * 8, ONES) for _ in range(3)]
-        # counts of the four groups of classes, and of the four classes of each group
-        self.groups, self.members = np.full(lanes, ONES), np.full(lanes * 4, ONES)
 
     def shrink(self, lanes: int) -> None:
         """Blocks of full length come first; shorter ones end and leave."""
-        for name in ("slot", "row", "before", "last", "zero", "groups"):
+        for name in ("slot", "row", "before", "last", "zero"):
             setattr(self, name, getattr(self, name)[:lanes])
 
     def predict(self) -> np.ndarray:
@@ -274,6 +291,11 @@ def _part(packed: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (upto << WORD_BITS) >> shift & FIELD, packed >> shift & FIELD, upto >> LAST_FIELD
 
 
+def _share(span: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """``span // total`` but for the last 12 bits: by doubles, which hold the other 52 exactly and divide twice as fast."""
+    return ((span >> ROUND).view(np.int64) / total.view(np.int64)).astype(np.int64).view(np.uint64) << ROUND
+
+
 def _which(packed: np.ndarray, value: np.ndarray, r: np.ndarray) -> np.ndarray:
     """16 times the number of the count among four, each ``r`` wide, that a value falls into."""
     upto = packed * ONES
@@ -281,8 +303,127 @@ def _which(packed: np.ndarray, value: np.ndarray, r: np.ndarray) -> np.ndarray:
     return (one + two + three).astype(np.uint64) << FOUR
 
 
-def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Ids per block and the code words (16 bits each) of every block."""
+class Writer:
+    """The range coders of blocks; word k of all blocks lies side by side, since blocks are at about the same word."""
+
+    def __init__(self, lanes: int, steps: int):
+        self.lanes, self.height = lanes, 4 * steps + 8
+        self.out, self.at = np.zeros(self.height * lanes, np.uint16), np.arange(lanes)
+        self.low, self.span = np.zeros(lanes, np.uint64), np.full(lanes, FULL)
+
+    def narrow(self, a: np.ndarray, s: np.ndarray) -> None:
+        """The first blocks' ranges become a .. a + s; words that are settled are written."""
+        out, at, lanes = self.out, self.at, self.lanes
+        carry = at[np.flatnonzero(a < self.low[: len(a)])] - lanes  # the sum went round
+        while len(carry):
+            out[carry] += 1
+            carry = carry[out[carry] == 0] - lanes
+        short = np.flatnonzero(s < LEAST)
+        while len(short):
+            lower, size, here = a[short], s[short] << WORD_BITS, at[short]
+            out[here] = lower >> TOP
+            at[short] = here + lanes
+            a[short], s[short] = lower << WORD_BITS, size
+            short = short[size < LEAST]
+        self.low[: len(a)], self.span[: len(a)] = a, s
+
+    def words(self) -> list[np.ndarray]:
+        """What is left of the lower ends is written; the words of each block."""
+        for _ in range(4):
+            self.out[self.at] = self.low >> TOP
+            self.low = self.low << WORD_BITS
+            self.at += self.lanes
+        lengths = (self.at // max(1, self.lanes)).tolist()
+        rows = _turned(self.out.reshape(self.height, self.lanes)[: max(lengths, default=0)])
+        return [rows[k, :length] for k, length in enumerate(lengths)]
+
+
+class Reader:
+    """The other side of :class:`Writer`: where each block's code lies in its range, and how wide that is."""
+
+    def __init__(self, words: list[np.ndarray]):
+        self.lanes = lanes = len(words)
+        data = np.zeros((lanes, max(map(len, words), default=0) + 4), np.uint16)
+        for k, w in enumerate(words):
+            data[k, : len(w)] = w
+        data = _turned(data)
+        first = data[:4].astype(np.uint64)
+        self.code = first[0] << TOP | first[1] << np.uint64(32) | first[2] << WORD_BITS | first[3]
+        self.data, self.at, self.span = data.ravel(), np.arange(lanes) + 4 * lanes, np.full(lanes, FULL)
+
+    def narrow(self, a: np.ndarray, s: np.ndarray) -> None:
+        short = np.flatnonzero(s < LEAST)
+        while len(short):
+            here, size = self.at[short], s[short] << WORD_BITS
+            a[short] = a[short] << WORD_BITS | self.data.take(here, mode="clip").astype(np.uint64)
+            self.at[short] = here + self.lanes
+            s[short] = size
+            short = short[size < LEAST]
+        self.code[: len(a)], self.span[: len(a)] = a, s
+
+
+def _by_length(counts: np.ndarray) -> tuple[np.ndarray, dict[int, int]]:
+    """Blocks by falling counts, and how many are alive from each step on where some end."""
+    order = np.argsort(-counts, kind="stable")
+    return order, dict(_lanes(counts[order]))
+
+
+def encode_new(ids: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """The code words of each block's ids that none foresaw; ``ids`` has those of all blocks in a row."""
+    order, ends = _by_length(counts)
+    table = np.zeros((len(counts), int(counts.max(initial=0))), np.int32)
+    table[np.arange(table.shape[1]) < counts[:, None]] = ids
+    table = _turned(table[order])
+    lanes = alive = len(counts)
+    writer = Writer(lanes, len(table))
+    groups, members, row = np.full(lanes, ONES), np.full(lanes * 4, ONES), np.arange(lanes) * 4
+    for step in range(len(table)):
+        alive = ends.get(step, alive)
+        now = table[step, :alive].astype(np.int64)
+        kind = KIND.take(now).astype(np.int64)
+        group = kind >> 2
+        a, s = writer.low[:alive], writer.span[:alive]
+        where = row[:alive] + group
+        for tally, at, key in ((groups, slice(alive), group), (members, where, kind & 3)):
+            packed, key = tally[at], key.astype(np.uint64) << FOUR
+            start, freq, total = _part(packed, key)
+            r = _share(s, total)
+            a, s = a + r * start, r * freq
+            tally[at] = packed + (MORE << key)
+        s = s >> WIDTH_BITS.take(kind)
+        writer.narrow(a + s * (now - EDGES.take(kind)).astype(np.uint64), s)
+    words = writer.words()
+    return [words[k] for k in np.argsort(order).tolist()]
+
+
+def decode_new(counts: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+    """The ids that :func:`encode_new` coded, a column per block."""
+    order, ends = _by_length(counts)
+    lanes = alive = len(counts)
+    reader = Reader([words[k] for k in order.tolist()])
+    table = np.zeros((int(counts.max(initial=0)), lanes), np.int32)
+    groups, members, row = np.full(lanes, ONES), np.full(lanes * 4, ONES), np.arange(lanes) * 4
+    for step in range(len(table)):
+        alive = ends.get(step, alive)
+        a, s, at, kind = reader.code[:alive], reader.span[:alive], slice(alive), 0
+        for tally in (groups, members):
+            packed = tally[at]
+            r = _share(s, packed * ONES >> LAST_FIELD)
+            key = _which(packed, a, r)
+            start, freq, _ = _part(packed, key)
+            a, s = a - r * start, r * freq
+            tally[at] = packed + (MORE << key)
+            kind = kind * 4 + (key >> FOUR).astype(np.int64)
+            at = row[:alive] + kind
+        s = s >> WIDTH_BITS.take(kind)
+        place = a // s
+        table[step, :alive] = EDGES.take(kind) + place.astype(np.int64)
+        reader.narrow(a - s * place, s)
+    return table.take(np.argsort(order), axis=1)
+
+
+def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """Ids per block and the code words (16 bits each) of what came true; of ids that none foresaw the number and words."""
     if block > BLOCK:
         raise ValueError(f"blocks hold up to {BLOCK} ids")
     n = len(ids)
@@ -294,32 +435,8 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, list
     table.ravel()[:n] = ids
     table = _turned(table)
     steps = int(counts.max(initial=0))
-    # word k of all blocks side by side: blocks are at about the same word, so what is written stays near
-    out, at = np.zeros((4 * steps + 8) * lanes, np.uint16), np.arange(lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, FULL)
-    model, ends, alive = Predictor(lanes), dict(_lanes(counts)), lanes
-
-    def emit(a, s):
-        carry = at[np.flatnonzero(a < low[:alive])] - lanes  # the sum went round
-        while len(carry):
-            out[carry] += 1
-            carry = carry[out[carry] == 0] - lanes
-        # a word of each block is written, and written over where the block was not due one
-        due = s < LEAST
-        here = at[:alive]
-        out[here] = (a >> TOP).astype(np.uint16)
-        here += due * np.int64(lanes)
-        bits = due.astype(np.uint64) << FOUR
-        a, s = a << bits, s << bits
-        short = np.flatnonzero(s < LEAST)
-        while len(short):
-            lower, size = a[short], s[short] << WORD_BITS
-            out[at[short]] = lower >> TOP
-            at[short] += lanes
-            a[short], s[short] = lower << WORD_BITS, size
-            short = short[size < LEAST]
-        low[:alive], span[:alive] = a, s
-
+    new = np.zeros((block, lanes), bool)
+    writer, model, ends, alive = Writer(lanes, steps), Predictor(lanes), dict(_lanes(counts)), lanes
     for step in range(steps):
         if step in ends:
             alive = ends[step]
@@ -332,101 +449,61 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, list
         none = not_one & missed[2]
         shift = (not_two.view(np.uint8) + not_one.view(np.uint8) + none.view(np.uint8)).astype(np.uint64) << FOUR
         start, freq, total = _part(odds, shift)
-        r = span[:alive] // total
-        a, s = low[:alive] + r * start, r * freq
-        new = np.flatnonzero(none)
-        if len(new):
-            fresh = now[new].astype(np.int64)
-            kind = KIND.take(fresh).astype(np.int64)
-            group = kind >> 2
-            lower, size = a[new], s[new]
-            for tally, where, key in ((model.groups, new, group), (model.members, new * 4 + group, kind & 3)):
-                packed, key = tally.take(where), key.astype(np.uint64) << FOUR
-                start, freq, total = _part(packed, key)
-                r = size // total
-                lower, size = lower + r * start, r * freq
-                tally[where] = packed + (MORE << key)
-            size //= WIDTHS.take(kind)
-            a[new] = lower + size * (fresh - EDGES.take(kind)).astype(np.uint64)
-            s[new] = size
-        emit(a, s)
+        r = _share(writer.span[:alive], total)
+        writer.narrow(writer.low[:alive] + r * start, r * freq)
         model.learn(now, missed, shift)
-    for _ in range(4):  # what is left of the lower end
-        out[at] = low >> TOP
-        low = low << WORD_BITS
-        at += lanes
-    lengths = (at // max(1, lanes)).tolist()
-    words = _turned(out.reshape(4 * steps + 8, lanes)[: max(lengths, default=0)])
-    return counts, [words[k, :length] for k, length in enumerate(lengths)]
+        new[step, :alive] = none
+    del table, model
+    new = _turned(new)
+    more = new.sum(axis=1)
+    words = writer.words()
+    return counts, words, more, encode_new(ids[new.ravel()[:n]], more)
 
 
-def decode_blocks(counts: np.ndarray, words: list[np.ndarray]) -> list[np.ndarray]:
+def decode_blocks(counts: np.ndarray, words: list[np.ndarray], more: np.ndarray, more_words: list[np.ndarray]) -> list[np.ndarray]:
     """The ids of blocks; only the last may be shorter than the others."""
     lanes, steps = len(counts), int(np.max(counts, initial=0))
-    data = np.zeros((lanes, max(map(len, words), default=0) + 4), np.uint16)
-    for k, w in enumerate(words):
-        data[k, : len(w)] = w
-    data = _turned(data)  # word k of all blocks side by side
-    first = data[:4].astype(np.uint64)
-    code = first[0] << TOP | first[1] << np.uint64(32) | first[2] << WORD_BITS | first[3]
-    data, at, span = data.ravel(), np.arange(lanes) + 4 * lanes, np.full(lanes, FULL)
+    fresh = decode_new(more, more_words)
+    fresh, following = fresh.ravel() if fresh.size else np.zeros(1, np.int32), np.arange(lanes)
     out = np.zeros((steps, lanes), np.int32)
-    model, ends, alive = Predictor(lanes), dict(_lanes(np.asarray(counts))), lanes
-
+    reader, model, ends, alive = Reader(words), Predictor(lanes), dict(_lanes(np.asarray(counts))), lanes
     for step in range(steps):
         if step in ends:
             alive = ends[step]
             model.shrink(alive)
         packed = model.predict()
-        a, s = code[:alive], span[:alive]
-        r = s // (packed * ONES >> LAST_FIELD)
+        a, s = reader.code[:alive], reader.span[:alive]
+        r = _share(s, packed * ONES >> LAST_FIELD)
         shift = _which(packed, a, r)
         start, freq, _ = _part(packed, shift)
-        a, s = a - r * start, r * freq
+        reader.narrow(a - r * start, r * freq)
         two, one, zero = model.guess
-        ids = np.where(shift == 0, two, np.where(shift == FIRST, one, zero))
-        new = np.flatnonzero(shift == LAST_FIELD)
-        if len(new):
-            rest, size, where, kind = a[new], s[new], new, 0
-            for table in (model.groups, model.members):
-                packed = table.take(where)
-                r = size // (packed * ONES >> LAST_FIELD)
-                key = _which(packed, rest, r)
-                start, freq, _ = _part(packed, key)
-                rest, size = rest - r * start, r * freq
-                table[where] = packed + (MORE << key)
-                kind = kind * 4 + (key >> FOUR).astype(np.int64)
-                where = new * 4 + kind
-            size //= WIDTHS.take(kind)
-            place = rest // size
-            a[new], s[new] = rest - size * place, size
-            ids[new] = EDGES.take(kind) + place.astype(np.int64)
-        short = np.flatnonzero(s < LEAST)
-        while len(short):
-            here = at[short]
-            a[short] = a[short] << WORD_BITS | data.take(here).astype(np.uint64)
-            at[short] = here + lanes
-            size = s[short] << WORD_BITS
-            s[short] = size
-            short = short[size < LEAST]
-        code[:alive], span[:alive] = a, s
+        new, here = shift == LAST_FIELD, following[:alive]
+        ids = np.where(new, fresh.take(here, mode="clip"), np.where(shift == 0, two, np.where(shift == FIRST, one, zero)))
+        here += new * np.int64(lanes)
         out[step, :alive] = ids
         model.learn(ids, [g != ids for g in model.guess], shift)
-    out = _turned(out)
-    return [out[k, : counts[k]].astype(np.uint32) for k in range(lanes)]
+    del model, reader, fresh
+    out = _turned(out).view(np.uint32)
+    return [out[k, : counts[k]] for k in range(lanes)]
 
 
 def pack(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """A file: magic, counts, the documents' ids and sizes, a row (ids, words, checksum) per block, checksum of all that, code words."""
+    """A file: magic, counts, the documents' ids and sizes, a row per block, checksum of all that, code words.
+
+    A block's row: ids, words, ids that none foresaw, their words, checksum.
+    """
     if len(ids) and int(ids.max()) >= EDGES[-1]:
         raise ValueError("an id is beyond the format's classes")
-    counts, words = encode_blocks(ids, block)
+    counts, words, more, more_words = encode_blocks(ids, block)
     sums = [zlib.crc32(ids[k * block : k * block + c].astype("<u4").tobytes()) for k, c in enumerate(counts)]
     head = MAGIC + struct.pack("<QQI", len(doc_ids), len(ids), len(counts))
     head += np.array([d is not None for d in doc_ids], np.uint8).tobytes() + np.array([d or 0 for d in doc_ids], "<i8").tobytes()
     head += np.asarray(sizes, "<u4").tobytes()
-    head += np.array([[c, len(w), s] for c, w, s in zip(counts, words, sums)], "<u4").reshape(-1, 3).tobytes()
-    return head + struct.pack("<I", zlib.crc32(head)) + b"".join(w.astype("<u2").tobytes() for w in words)
+    rows = [[c, len(w), m, len(v), s] for c, w, m, v, s in zip(counts, words, more, more_words, sums)]
+    head += np.array(rows, "<u4").reshape(-1, 5).tobytes()
+    both = itertools.chain.from_iterable(zip(words, more_words))
+    return head + struct.pack("<I", zlib.crc32(head)) + b"".join(w.astype("<u2").tobytes() for w in both)
 
 
 def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -438,13 +515,14 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     real = np.frombuffer(data, np.uint8, n, at)
     doc_ids = np.frombuffer(data, "<i8", n, at + n)
     sizes = np.frombuffer(data, "<u4", n, at + 9 * n).astype(np.int64)
-    rows = np.frombuffer(data, "<u4", 3 * blocks, at + 13 * n).reshape(-1, 3).astype(np.int64)
-    at += 13 * n + 12 * blocks
+    rows = np.frombuffer(data, "<u4", 5 * blocks, at + 13 * n).reshape(-1, 5).astype(np.int64)
+    at += 13 * n + 20 * blocks
     if zlib.crc32(data[:at]) != struct.unpack_from("<I", data, at)[0]:
         raise ValueError("the head of a token file is damaged")
-    words = np.frombuffer(data, "<u2", int(rows[:, 1].sum()), at + 4)
-    found = decode_blocks(rows[:, 0], np.split(words, np.cumsum(rows[:, 1])[:-1]) if blocks else [])
-    for k, (ids, wanted) in enumerate(zip(found, rows[:, 2])):
+    lengths = rows[:, [1, 3]].ravel()
+    words = np.split(np.frombuffer(data, "<u2", int(lengths.sum()), at + 4), np.cumsum(lengths)[:-1]) if blocks else []
+    found = decode_blocks(rows[:, 0], words[::2], rows[:, 2], words[1::2])
+    for k, (ids, wanted) in enumerate(zip(found, rows[:, 4])):
         if zlib.crc32(ids.astype("<u4").tobytes()) != wanted:
             raise ValueError(f"block {k} of a token file is damaged")
     ids = np.concatenate(found) if found else np.zeros(0, np.uint32)

@@ -76,3 +76,31 @@ def test_words_are_not_looked_up_one_by_one():
     encoder.tokenizer = None  # any call fails from here on
     ids, sizes = encoder.encode_all(texts)
     assert ids.tolist() == [i for w in wanted[: len(texts)] for i in w]
+
+
+@pytest.mark.parametrize("kept", [0, 4 << 20])
+def test_each_different_word_is_merged_once(monkeypatch, kept):
+    monkeypatch.setattr(tokens, "KNOWN_BYTES", kept)
+    encoder = tokens.Encoder(tokens.default_tokenizer())
+    fast, merged = encoder.fast, []
+
+    class Counting:
+        def encode_to_numpy(self, text):
+            merged.append(len(text))
+            return fast.encode_to_numpy(text)
+
+    encoder.fast = Counting()
+    texts = ["The cat,  the dog; don't ßé 12.", "", " ", "another cat"] * 100
+    wanted = [i for t in texts for i in [*encoder.tokenizer.encode(t, add_special_tokens=False).ids, tokens.END]]
+    for _ in range(2):
+        assert encoder.encode_all(texts)[0].tolist() == wanted
+    assert sum(merged) < (200 if kept == 0 else 100)
+
+
+def test_blocks_with_very_different_shares_of_new_ids():
+    rng = np.random.default_rng(3)
+    parts = [np.full(64, 7), rng.integers(0, 1 << 17, 64), np.arange(64) % 3, rng.integers(0, 1 << 17, 64), np.full(64, 9), rng.integers(0, 300, 5)]
+    ids = np.concatenate(parts).astype(np.uint32)
+    more = tokens.encode_blocks(ids, 64)[2].tolist()
+    assert more[1] == more[3] == 64 and more[0] < 5 and more[4] < 5
+    assert (tokens.unpack(tokens.pack([1], np.array([len(ids)]), ids, block=64))[2] == ids).all()
