@@ -20,6 +20,8 @@ BITS = 64
 SHARD = 2048
 QUERIES = 512
 GROUP_ROWS = 40_000
+# Bits: of more values than 2^21, from half of 2^8 to 2^8 share the bits of a sampled mask by chance.
+KEY_TEXTS = 8
 # Members of a proposed group compared at once, and how many of those that are joined go on.
 GROUP_SHARD, STAND_INS = 512, 4
 
@@ -139,17 +141,22 @@ def bit_blocks(n: int, radius: int) -> list[tuple[int, ...]]:
 
 
 def sampled_blocks(n: int) -> list[tuple[int, ...]]:
-    """Masks of a few of many short blocks, for radii at which no mask is both sure and selective.
+    """Masks for radii at which no mask is both sure and selective, as many for any number of values.
 
-    Ten blocks, two at a time, three of fifteen or four of twenty: more values
-    need longer agreement to keep shards short. The choices miss different
-    pairs, so the caller has to find those in another way.
+    Ten blocks, two at a time. More values need longer agreement to keep
+    shards short: from 2^21 on the masks are as many sets of bits drawn at
+    random, one bit longer for each doubling, so what is shuffled and compared
+    grows with the values. The choices miss different pairs, more of them
+    where they are longer, so the caller has to find those in another way.
     """
-    chosen = 2 if n < 1 << 21 else 3 if n < 1 << 28 else 4
-    b = 5 * chosen
+    b = 10
     edges = [round(BITS * i / b) for i in range(b + 1)]
     masks = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(b)]
-    return [sum(masks[i] for i in some) for some in itertools.combinations(range(b), chosen)]
+    pairs = [sum(some) for some in itertools.combinations(masks, 2)]
+    if n < 1 << 21:
+        return pairs
+    drawn, width = np.random.default_rng(BITS), min(n.bit_length() - KEY_TEXTS, BITS // 2)
+    return [sum(1 << int(bit) for bit in drawn.choice(BITS, width, replace=False)) for _ in pairs]
 
 
 def near_links(values: DataFrame, n: int, radius: int, masks: list[int] | None = None) -> DataFrame:

@@ -189,3 +189,45 @@ def test_links_of_a_group_grow_with_its_size(spark, tmp_path):
         counts[n] = links.count()
         stages.close()
     assert counts[800] <= 1.3 * 800 and counts[200] <= 1.3 * 200
+
+
+def test_sampled_masks_do_not_multiply_with_the_values():
+    """As many keys a text for any number of texts, longer ones for more, and near values still share some."""
+    few = simhash.sampled_blocks(1000)
+    rng = np.random.default_rng(3)
+    for n in (1 << 20, 1 << 21, 1 << 24, 1 << 30):
+        masks = simhash.sampled_blocks(n)
+        assert len(masks) == len(set(masks)) == len(few) and masks == simhash.sampled_blocks(n)
+        assert all(0 < m < 1 << 64 and m.bit_count() >= n.bit_length() - 9 for m in masks)
+        met = 0
+        for _ in range(200):
+            apart = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
+            met += any(m & apart == 0 for m in masks)
+        assert met >= 190
+
+
+def test_any_masks_give_the_same_components(docs, monkeypatch):
+    first = sorted(map(tuple, simhash.similar_documents(docs).collect()))
+    monkeypatch.setattr(simhash, "sampled_blocks", lambda n, f=simhash.sampled_blocks: f(1 << 24))
+    assert sorted(map(tuple, simhash.similar_documents(docs).collect())) == first
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from rowrinse.llm.common import RELEASED, Stages
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    before, set_before = files(), spark.conf.get(RELEASED, None)
+    stages = Stages(spark)
+    out = stages(spark.range(1000).groupBy((F.col("id") % 50).alias("k")).count())
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and out.count() == 50 and spark.conf.get(RELEASED, None) == set_before
+    stages.close()
