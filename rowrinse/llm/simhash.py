@@ -321,7 +321,7 @@ def missed_pairs(marked: DataFrame, roots: DataFrame, similarity: float, stages:
     single = held.select("text_hash", "wanted", "root", F.explode("hs").alias("h"))
     often = stages(single.groupBy("h").agg(
         F.count(F.lit(1)).alias("often"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("h", "often"))
-    ranked = single.join(often, "h").groupBy("text_hash", "wanted", "root").agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("hs"))
+    ranked = single.join(often.hint("merge"), "h").groupBy("text_hash", "wanted", "root").agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("hs"))
     ranked = ranked.filter(F.size("hs") >= F.col("wanted")).select(
         "text_hash", "root", F.slice("hs", F.lit(1), F.size("hs") - F.col("wanted") + 1)["h"].alias("hs"))
     facts = marked.select("text_hash", "size", "bits").join(ranked.select("text_hash"), "text_hash", "left_semi").dropDuplicates(["text_hash"])

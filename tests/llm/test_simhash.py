@@ -231,3 +231,10 @@ def test_written_tables_leave_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not files() - before and out.count() == 50 and spark.conf.get(RELEASED, None) == set_before
     stages.close()
+
+
+def test_exploded_keys_are_never_broadcast(spark):
+    """Spark does not multiply a size by an explode; a few MB of fingerprints would be sent as all their keys."""
+    values = spark.range(1000).selectExpr("id as node", "id as fp", "id as more")
+    plan = simhash.near_links(values, 1000, 14, simhash.sampled_blocks(1000))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
