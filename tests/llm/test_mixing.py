@@ -98,3 +98,21 @@ def test_query_counts_what_the_mix_reads(spark, tmp_path, monkeypatch):
         "reads", F.expr("transform(reads, r -> named_struct('position', r.position, 'text', concat(r.text, ' more')))")))
     more = queries.op4_mix_sources(spark, str(tmp_path)).collect()
     assert sum(r["taken"] for r in more) > in_sequence
+
+
+def test_query_gives_the_whole_sequence(spark, tmp_path, monkeypatch):
+    """The places of all reads and the digests of their texts are those of the sequence that ``mix`` gives, row by row."""
+    import hashlib
+
+    from rowrinse.llm import queries
+
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 8)
+    rows = [(i % 70, f"w{i} " * (i % 9), "abc"[i % 3] if i % 11 else None, 0) for i in range(140)] + [(7, "x y z", "a", 0)] * 3 + [(None, None, "b", 0), (None, "u v", "c", 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars int").repartition(4)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op4_mix_sources(spark, str(tmp_path)).collect()
+    wanted = [(r["doc_id"], hashlib.md5(r["text"].encode()).hexdigest()) for r in mixing.mix(df).collect()]
+    placed = {p: (r["doc_id"], d) for r in out for p, d in zip(r["places"], r["texts_md5"], strict=True)}
+    assert [placed[p] for p in range(len(wanted))] == wanted and len(placed) == sum(r["n_reads"] for r in out) == len(wanted)
+    assert any(r["n_reads"] > 1 for r in out) and len(out) == len(rows)
+    assert all((r["position_ppm"] is None) == (r["n_reads"] == 0) and r["places"] == sorted(r["places"]) for r in out)
