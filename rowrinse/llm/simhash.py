@@ -266,8 +266,8 @@ def wanted_start(size: int, similarity: float) -> int:
 
 
 def parity(hashes: np.ndarray) -> np.ndarray:
-    """Parity of the hashes that fall on each of about as many bits; two sets differ in no fewer elements than bits."""
-    width = 1 << min(max(len(hashes) - 1, 1).bit_length(), 12)
+    """Parity of the hashes that fall on each of about twice as many bits; two sets differ in no fewer elements than bits."""
+    width = 2 << min(max(len(hashes) - 1, 1).bit_length(), 11)
     width = max(width, BITS)
     return np.packbits(np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1)
 

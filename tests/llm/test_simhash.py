@@ -238,3 +238,19 @@ def test_exploded_keys_are_never_broadcast(spark):
     values = spark.range(1000).selectExpr("id as node", "id as fp", "id as more")
     plan = simhash.near_links(values, 1000, 14, simhash.sampled_blocks(1000))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_parities_tell_sets_below_the_similarity_apart():
+    """Sets that share enough are always possible; of those a little below the similarity few are."""
+    rng = np.random.default_rng(5)
+    both, left = np.array([True, True]), {0.74: 0, 0.8: 0}
+    for similarity in left:
+        for _ in range(100):
+            every = rng.integers(0, 1 << 64, 400, dtype=np.uint64)
+            shared = round(similarity * 200 + 0.499)
+            own = (200 - shared) // 2
+            a, b = np.r_[every[:shared], every[200 : 200 + own]], np.r_[every[:shared], every[300 : 300 + 200 - shared - own]]
+            bits = [simhash.parity(x).tobytes() for x in (a, b)]
+            size = np.array([len(a), len(b)])
+            left[similarity] += any(len(i) for i, _ in simhash.possible_pairs(size, np.array([1, 2]), bits, both, both, 0.8))
+    assert left[0.8] == 100 and left[0.74] <= 20
