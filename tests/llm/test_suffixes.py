@@ -62,3 +62,12 @@ def test_dropping_keeps_rows_and_columns(docs, rows):
 
 def test_empty(empty):
     assert suffixes.repeats(empty).count() == 0 and suffixes.drop_repeats(empty).count() == 0
+
+
+def test_salted_keys_are_never_broadcast(spark):
+    """A key table of a few MB is some 20 times as much in the driver."""
+    rows = spark.range(1000).selectExpr("id % 50 as half", "id as pick")
+    others, hot = spark.range(50).selectExpr("id as half"), spark.range(2).selectExpr("id as half")
+    out = suffixes.salted(rows, others, ["half"], hot, "left_semi", ["pick"])
+    joins = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and "LeftSemi" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins) and out.count() == 1000
